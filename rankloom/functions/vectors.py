@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it any number of times in `body`."""
+    return F.transform(F.array(value), body)[0]
+
+
 def as_doubles(vec: Column) -> Column:
     return vec.cast("array<double>")
 
@@ -16,13 +23,19 @@ def inner_product(a: Column, b: Column) -> Column:
 
 
 def norm(vec: Column) -> Column:
-    return F.sqrt(inner_product(vec, vec))
+    squares = F.transform(as_doubles(vec), lambda x: x * x)
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
 
 
 def unit_vector(vec: Column) -> Column:
     """Length 1; a vector of zeros stays as it is."""
-    length = norm(vec)
-    return F.transform(as_doubles(vec), lambda x: F.when(length > 0, x / length).otherwise(x))
+
+    def scaled(v: Column) -> Column:
+        return bound(
+            norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+        )
+
+    return bound(as_doubles(vec), scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -32,11 +45,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def letter_vector(text: Column) -> Column:
     """Unit vector of the counts of a to z: a model-free encoder for tests and examples."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    counts = F.array(
-        *[
-            (F.length(low) - F.length(F.replace(low, F.lit(chr(c))))).cast("double")
-            for c in range(ord("a"), ord("z") + 1)
-        ]
-    )
-    return unit_vector(counts)
+
+    def counts(low: Column) -> Column:
+        return F.array(
+            *[
+                (F.length(low) - F.length(F.replace(low, F.lit(chr(c))))).cast("double")
+                for c in range(ord("a"), ord("z") + 1)
+            ]
+        )
+
+    return unit_vector(bound(F.lower(F.coalesce(text, F.lit(""))), counts))

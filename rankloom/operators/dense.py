@@ -38,9 +38,11 @@ def encode_texts(df: DataFrame, encoder: Callable[[Column], Column]) -> DataFram
 
 def similarity_of_pairs(pairs: DataFrame, encoder: Callable[[Column], Column]) -> DataFrame:
     """Cosine of the listed text pairs (columns `left` and `right`)."""
-    return pairs.withColumn(
-        "similarity", cosine(encoder(F.col("left")), encoder(F.col("right")))
+    encoded = pairs.withColumns(
+        {"left_vec": encoder(F.col("left")), "right_vec": encoder(F.col("right"))}
     )
+    similarity = cosine(F.col("left_vec"), F.col("right_vec"))
+    return encoded.withColumn("similarity", similarity).drop("left_vec", "right_vec")
 
 
 def _best_of_block(doc_ids, doc_vecs, query_ids, query_vecs, k) -> Iterator[pd.DataFrame]:
