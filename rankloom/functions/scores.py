@@ -56,11 +56,16 @@ def confidence(score: Column, method: Column, options: SearchOptions = SearchOpt
     return F.round(value, 6)
 
 
+def _decimal(value: Column, pattern: str) -> Column:
+    """Half-even on the exact binary value (`format_string` would round the printed digits)."""
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def percent_label(share: Column) -> Column:
-    return F.format_string("%.1f%%", share * 100.0)
+    return F.concat(_decimal(share * 100.0, "0.0"), F.lit("%"))
 
 
 def duration_label(ms: Column) -> Column:
-    return F.when(ms < 1000, F.format_string("%.1f ms", ms)).otherwise(
-        F.format_string("%.2f s", ms / 1000.0)
+    return F.when(ms < 1000, F.concat(_decimal(ms, "0.0"), F.lit(" ms"))).otherwise(
+        F.concat(_decimal(ms / 1000.0, "0.00"), F.lit(" s"))
     )

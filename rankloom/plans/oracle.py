@@ -579,9 +579,9 @@ FROM cases LEFT JOIN (SELECT * FROM rankings WHERE rank <= 5) USING (query_id) G
         "response_rows": _with(SEARCHED)
         + """SELECT a.request_id, a.query, a.method AS ranking_method, a.top_k, CAST(count(i.rank) AS INTEGER) AS count,
        string_agg(concat_ws(':', i.rank, i.product_id, i.title), ';' ORDER BY i.rank) AS results,
-       round(sum(i.score), 4) AS score_sum, round(sum(i.confidence), 4) AS confidence_sum
+       round(sum(i.score), 6) AS score_sum, round(sum(i.confidence), 6) AS confidence_sum
 FROM asked a LEFT JOIN response_items i USING (request_id) GROUP BY 1, 2, 3, 4""",
-        "display_labels": """SELECT event_id, printf('%.1f%%', value / 10.0) AS share_label,
+        "display_labels": """SELECT event_id, printf('%.1f%%', value / 1000.0::DOUBLE * 100.0) AS share_label,
        CASE WHEN value * 10 < 1000 THEN printf('%.1f ms', value * 10) ELSE printf('%.2f s', value * 10 / 1000.0) END AS duration_label
 FROM events""",
         "latency_stats": _with(LOG)

@@ -442,7 +442,7 @@ def response_rows(spark, sf_dir):
 
     def total(name):
         values = F.aggregate("results", F.lit(0.0), lambda t, i: t + i[name])
-        return F.round(values, 4).alias(f"{name}_sum")
+        return F.round(values, 6).alias(f"{name}_sum")
 
     return rows.select(
         "request_id",
@@ -512,8 +512,9 @@ def windowed_latency(spark, sf_dir):
 
 
 def _as_stream(spark, sf_dir, name):
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # A pattern, because a stream takes a folder or a pattern but no single file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _fresh(spark, label):
