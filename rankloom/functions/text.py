@@ -25,6 +25,13 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), _no_tokens())
 
 
+def ngram_array(words_array: Column) -> Column:
+    """All words and all pairs of neighbouring words."""
+    following = F.slice(words_array, 2, F.greatest(F.size(words_array), F.lit(1)))
+    pairs = F.zip_with(words_array, following, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(words_array, F.array_compact(pairs))
+
+
 def explode_ngrams(df: DataFrame, words_col: str, *keep: str) -> DataFrame:
     """One row per word and per pair of neighbouring words, as column `term`."""
     w = F.col(words_col)

@@ -16,23 +16,22 @@ B = 0.75
 IDF_FLOOR = 0.25
 
 
-def _plain_idf(n_docs: Column) -> Column:
+def _plain_idf(n_docs: int) -> Column:
     df = F.col("df")
-    return F.ln(n_docs - df + F.lit(0.5)) - F.ln(df + F.lit(0.5))
+    return F.ln(F.lit(n_docs) - df + F.lit(0.5)) - F.ln(df + F.lit(0.5))
 
 
 def idf_table(index: TextIndex) -> DataFrame:
     """term, df, idf. A word in more than half of the documents gets the floor."""
-    n_docs = index.stats.select("n_docs").scalar()
-    floor = F.lit(IDF_FLOOR) * index.terms.select(F.avg(_plain_idf(n_docs))).scalar()
-    idf = _plain_idf(n_docs)
+    idf = _plain_idf(index.n_docs)
+    floor = F.lit(IDF_FLOOR) * index.terms.select(F.avg(idf)).scalar()
     return index.terms.select("term", "df", F.when(idf < 0, floor).otherwise(idf).alias("idf"))
 
 
 def _term_value(index: TextIndex) -> Column:
-    average = index.stats.select(F.col("total_len") / F.col("n_docs")).scalar()
+    average = index.total_len / index.n_docs if index.n_docs else 1.0
     tf, dl = F.col("tf"), F.col("dl")
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(average or 1.0))))
 
 
 def _weights(queries: QuerySet, index: TextIndex) -> DataFrame:
@@ -50,7 +49,7 @@ def scores(queries: QuerySet, index: TextIndex) -> DataFrame:
         index.vocabulary_of(queries.texts),
         _weights(queries, index),
         index.terms,
-        index.stats.select("total_len").scalar(),
+        index.total_len,
         queries,
         _term_value(index),
     )

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankloom.functions.scores import TIE_DECIMALS
 from rankloom.functions.vectors import cosine, inner_product, unit_vector
@@ -45,8 +46,8 @@ def similarity_of_pairs(pairs: DataFrame, encoder: Callable[[Column], Column]) -
     return encoded.withColumn("similarity", similarity).drop("left_vec", "right_vec")
 
 
-def _best_of_block(doc_ids, doc_vecs, query_ids, query_vecs, k) -> Iterator[pd.DataFrame]:
-    """At most k rows per query of one block, ties by document id."""
+def _best_of_block(doc_ids, doc_vecs, query_ids, query_vecs, k) -> Iterator[tuple]:
+    """At most k (query, document, score) rows per query of one block, ties by document id."""
     if len(doc_ids) == 0 or len(query_ids) == 0:
         return
     by_id = np.argsort(doc_ids, kind="stable")
@@ -63,22 +64,22 @@ def _best_of_block(doc_ids, doc_vecs, query_ids, query_vecs, k) -> Iterator[pd.D
         first = np.searchsorted(rows, np.arange(len(block)))
         inside = np.arange(len(rows)) - first[rows] < keep
         rows, cols = rows[inside], cols[inside]
-        yield pd.DataFrame(
-            {
-                "query_id": query_ids[start + rows],
-                "doc_id": doc_ids[cols],
-                "score": block[rows, cols],
-            }
-        )
+        yield query_ids[start + rows], doc_ids[cols], block[rows, cols]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
+def _block(data: pa.RecordBatch | pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of an Arrow block as arrays."""
+    ids, vecs = data.column(key), data.column("vec")
+    if isinstance(data, pa.Table):
+        ids, vecs = ids.combine_chunks(), vecs.combine_chunks()
+    flat = vecs.flatten().to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=False), flat.reshape(len(ids), -1) if len(ids) else flat
 
 
-def _ids(column) -> np.ndarray:
-    values = np.asarray(column)
-    return values.astype(object) if values.dtype.kind not in "iuf" else values
+def _arrow_rows(found: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for columns in found:
+        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema)]
+        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def scan_best(queries: QuerySet, docs: DataFrame, k: int) -> DataFrame:
@@ -96,54 +97,41 @@ def scan_best(queries: QuerySet, docs: DataFrame, k: int) -> DataFrame:
             T.StructField("score", T.DoubleType()),
         ]
     )
-    docs = docs.select("doc_id", "vec")
+    out = to_arrow_schema(schema)
+    docs = docs.select("doc_id", "vec").filter(F.col("vec").isNotNull())
+    asked = queries.vectors.filter(F.col("vec").isNotNull())
     if queries.vectors_fit:
-        rows = queries.vectors.toPandas()
-        shared = docs.sparkSession.sparkContext.broadcast(
-            (_ids(rows["query_id"]), _matrix(rows["vec"]))
-        )
+        shared = docs.sparkSession.sparkContext.broadcast(_block(asked.toArrow(), "query_id"))
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query_ids, query_vecs = shared.value
             for batch in batches:
-                if len(batch):
-                    yield from _best_of_block(
-                        _ids(batch["doc_id"]), _matrix(batch["vec"]), query_ids, query_vecs, k
-                    )
+                best = _best_of_block(*_block(batch, "doc_id"), query_ids, query_vecs, k)
+                yield from _arrow_rows(best, out)
 
-        return docs.mapInPandas(scan, schema)
+        return docs.mapInArrow(scan, schema)
 
     slices = -(-queries.vector_bytes // queries.limit)
     cells = max(1, -(-docs.count() // CELL_ROWS))
-    left = docs.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells))).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
-    )
-    right = queries.vectors.withColumn(
-        "slice", F.pmod(F.xxhash64("query_id"), F.lit(slices))
-    ).withColumn(
-        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
-    )
 
-    def meet(docs_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(docs_part) and len(query_part):
-            found = list(
-                _best_of_block(
-                    _ids(docs_part["doc_id"]),
-                    _matrix(docs_part["vec"]),
-                    _ids(query_part["query_id"]),
-                    _matrix(query_part["vec"]),
-                    k,
-                )
-            )
-        if not found:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        return pd.concat(found)
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    left = docs.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)))
+    left = left.withColumn("slice", numbers(slices))
+    right = asked.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
+    right = right.withColumn("cell", numbers(cells))
+
+    def meet(docs_part: pa.Table, query_part: pa.Table) -> pa.Table:
+        found = _best_of_block(
+            *_block(docs_part, "doc_id"), *_block(query_part, "query_id"), k
+        )
+        return pa.Table.from_batches(_arrow_rows(found, out), schema=out)
 
     return (
         left.groupBy("cell", "slice")
         .cogroup(right.groupBy("cell", "slice"))
-        .applyInPandas(meet, schema)
+        .applyInArrow(meet, schema)
     )
 
 

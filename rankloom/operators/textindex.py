@@ -1,6 +1,6 @@
 """Term statistics and postings of a text corpus.
 
-An index is either computed from the texts on the fly or read from a stored table. Both give
+An index either scans the texts for each batch of queries or reads stored postings. Both give
 the scorer the same thing: the postings of the query's own terms, partitioned by document, so
 that summing a document's score needs no shuffle of (query, document) pairs.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
-from rankloom.runtime import QuerySet, hinted
+from rankloom.runtime import QuerySet, hinted, materialize
 
 TERM_BUCKETS = 256
 # A term with more postings than this share of the corpus is split over several tasks.
@@ -29,31 +29,37 @@ def _bucket(term: Column) -> Column:
 @dataclass(frozen=True)
 class TextIndex:
     terms: DataFrame  # term, df
-    stats: DataFrame  # one row: n_docs, total_len
+    n_docs: int
+    total_len: int
     analyzer: Callable[[Column], Column]
     texts: DataFrame | None = None  # doc_id, dl, tokens
     stored: DataFrame | None = None  # doc_id, term, tf, dl, term_bucket
 
     @staticmethod
     def build(docs: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> TextIndex:
-        """Index of `docs(doc_id, text)`; nothing runs until it is used.
+        """Count the terms of `docs(doc_id, text)` in one pass and keep the counts.
 
         Document frequencies come from each row's distinct tokens, so only one partial count
-        per term and partition is shuffled.
+        per term and partition is shuffled. An extra NULL term per row carries the number and
+        the total length of the documents through the same aggregation.
         """
         texts = docs.select("doc_id", analyzer(F.col("text")).alias("tokens")).select(
             "doc_id", F.size("tokens").alias("dl"), "tokens"
         )
-        terms = (
-            texts.select(F.explode(F.array_distinct("tokens")).alias("term"))
+        no_term = F.lit(None).cast("string")
+        counted = (
+            texts.select("dl", F.explode(F.array_append(F.array_distinct("tokens"), no_term)).alias("term"))
             .groupBy("term")
-            .agg(F.count(F.lit(1)).alias("df"))
+            .agg(
+                F.count(F.lit(1)).alias("df"),
+                F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total_len"),
+            )
         )
-        stats = texts.agg(
-            F.count(F.lit(1)).alias("n_docs"),
-            F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"),
-        )
-        return TextIndex(terms, stats, analyzer, texts=texts)
+        counted = materialize(counted, "terms")
+        totals = counted.filter(F.col("term").isNull()).first()
+        n_docs, total_len = (totals["df"], totals["total_len"]) if totals else (0, 0)
+        terms = counted.filter(F.col("term").isNotNull()).select("term", "df")
+        return TextIndex(terms, n_docs, total_len, analyzer, texts=texts)
 
     def postings(self) -> DataFrame:
         """All postings: doc_id, term, tf, dl."""
@@ -105,15 +111,19 @@ class TextIndex:
             .parquet(f"{path}/postings")
         )
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        sizes = [(self.n_docs, self.total_len)]
+        stats = self.terms.sparkSession.createDataFrame(sizes, "n_docs long, total_len long")
+        stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def read(
         spark: SparkSession, path: str, analyzer: Callable[[Column], Column] = tokens
     ) -> TextIndex:
+        stats = spark.read.parquet(f"{path}/stats").first()
         return TextIndex(
             spark.read.parquet(f"{path}/terms"),
-            spark.read.parquet(f"{path}/stats"),
+            stats["n_docs"],
+            stats["total_len"],
             analyzer,
             stored=spark.read.parquet(f"{path}/postings"),
         )
@@ -125,7 +135,7 @@ def sum_of_products(
     vocabulary: DataFrame,
     weights: DataFrame,
     terms: DataFrame,
-    total_rows: Column,
+    total_rows: int,
     queries: QuerySet,
     value: Column,
 ) -> DataFrame:
@@ -139,7 +149,7 @@ def sum_of_products(
         matched = postings_of(vocabulary).join(F.broadcast(weights), "term")
     else:
         # At most HOT_TERM_PARTS terms can have this many postings, so this side is bounded.
-        rows_per_part = F.greatest(F.lit(HOT_TERM_ROWS), total_rows / F.lit(HOT_TERM_PARTS))
+        rows_per_part = F.lit(max(HOT_TERM_ROWS, total_rows // HOT_TERM_PARTS))
         hot = terms.filter(F.col("df") > rows_per_part).select(
             "term", F.ceil(F.col("df") / rows_per_part).cast("int").alias("parts")
         )

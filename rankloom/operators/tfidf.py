@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import explode_ngrams, words
+from rankloom.functions.text import explode_ngrams, ngram_array, words
 from rankloom.operators.ranking import top_k
 from rankloom.operators.textindex import sum_of_products
-from rankloom.runtime import QuerySet, hinted
+from rankloom.runtime import QuerySet, materialize
 
 # Fixed value: size of the vocabulary. It also bounds the broadcast of the vocabulary.
 MAX_FEATURES = 50_000
@@ -24,29 +24,39 @@ class TfidfIndex:
 
     @staticmethod
     def fit(docs: DataFrame, max_features: int = MAX_FEATURES) -> TfidfIndex:
-        """Three passes over `docs(doc_id, text)`, one shuffle of the text by document.
+        """Choose the vocabulary, then weigh the postings of `docs(doc_id, text)`.
 
-        Pass one counts terms, pass two the documents of the chosen terms, pass three weighs
-        the postings; after the text is partitioned by document, term counts and row lengths
-        need no further shuffle.
+        The first pass counts all occurrences and all documents of each term together, with
+        map-side combine, and keeps the `max_features` most frequent terms (the earlier in
+        alphabetical order on a tie). The second one places the text by document; after that
+        term counts, row lengths and scores need no further shuffle.
         """
-        split = docs.select("doc_id", words(F.col("text")).alias("words"))
-        totals = explode_ngrams(split, "words").groupBy("term").agg(F.count(F.lit(1)).alias("total"))
-        chosen = totals.orderBy(F.col("total").desc(), "term").limit(max_features).select("term")
+        grams = docs.select(words(F.col("text")).alias("words")).select(
+            ngram_array(F.col("words")).alias("grams")
+        )
+        both = F.array(F.col("grams"), F.array_distinct("grams"))
+        counted = (
+            grams.select(F.posexplode(both).alias("distinct", "terms"))
+            .select("distinct", F.explode("terms").alias("term"))
+            .groupBy("term")
+            .agg(
+                F.count_if(F.col("distinct") == 0).alias("total"),
+                F.count_if(F.col("distinct") == 1).alias("df"),
+            )
+        )
+        n_docs = docs.count()
+        idf = F.ln(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+        chosen = counted.orderBy(F.col("total").desc(), "term").limit(max_features)
+        vocabulary = materialize(chosen.select("term", "df", idf.alias("idf")), "vocabulary")
 
         placed = docs.select("doc_id", "text").repartition("doc_id")
         placed = placed.select("doc_id", words(F.col("text")).alias("words"))
         counts = (
             explode_ngrams(placed, "words", "doc_id")
-            .join(F.broadcast(chosen), "term")
+            .join(F.broadcast(vocabulary.select("term")), "term")
             .groupBy("doc_id", "term")
             .agg(F.count(F.lit(1)).alias("tf"))
         )
-        n_docs = docs.select(F.count(F.lit(1))).scalar()
-        idf = F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-        vocabulary = (
-            counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", idf.alias("idf"))
-        )
         return TfidfIndex(vocabulary, _unit_rows(counts, vocabulary, "doc_id"), True)
 
     def postings(self) -> DataFrame:
@@ -92,7 +102,7 @@ def scores(queries: QuerySet, index: TfidfIndex) -> DataFrame:
         _query_terms(queries).select("term").distinct(),
         index.query_weights(queries),
         index.vocabulary,
-        index.vocabulary.select(F.sum("df")).scalar(),
+        index.vocabulary.agg(F.sum("df")).first()[0] or 0,
         queries,
         F.col("value"),
     )
