@@ -32,13 +32,24 @@ def ngram_array(words_array: Column) -> Column:
     return F.concat(words_array, F.array_compact(pairs))
 
 
+def explode_terms(df: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """One row per non-null element of a computed array, as column `term`.
+
+    The outer form keeps Spark from adding a filter on the array's size below the explode,
+    which would compute the whole array a second time.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias("term"))
+    return rows.filter(F.col("term").isNotNull())
+
+
 def explode_ngrams(df: DataFrame, words_col: str, *keep: str) -> DataFrame:
     """One row per word and per pair of neighbouring words, as column `term`."""
     w = F.col(words_col)
     following = F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))
-    pairs = df.select(*keep, F.explode(F.arrays_zip(w.alias("a"), following.alias("b"))).alias("p"))
+    zipped = F.arrays_zip(w.alias("a"), following.alias("b"))
+    pairs = df.select(*keep, F.explode_outer(zipped).alias("p"))
     both = F.array(F.col("p.a"), F.concat(F.col("p.a"), F.lit(" "), F.col("p.b")))
-    return pairs.select(*keep, F.explode(both).alias("term")).filter(F.col("term").isNotNull())
+    return explode_terms(pairs, both, *keep)
 
 
 def token_set(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.scores import tie_key
 from rankloom.operators.ranking import top_k
 from rankloom.operators.textindex import TextIndex, pair_sums, sum_of_products
 from rankloom.runtime import QuerySet, hinted
@@ -108,5 +109,5 @@ def fill_up(ranked: DataFrame, queries: QuerySet, ids: DataFrame, k: int) -> Dat
         )
     )
     filled = ranked.unionByName(padding)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "rank")
+    order = Window.partitionBy("query_id").orderBy(tie_key(F.col("score")).desc(), "rank")
     return filled.withColumn("rank", F.row_number().over(order))

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import tokens
-from rankloom.runtime import QuerySet, hinted, materialize
+from rankloom.functions.text import explode_terms, tokens
+from rankloom.runtime import QuerySet, by_document, hinted, materialize
 
 TERM_BUCKETS = 256
 # A term with more postings than this share of the corpus is split over several tasks.
@@ -48,7 +48,7 @@ class TextIndex:
         )
         no_term = F.lit(None).cast("string")
         counted = (
-            texts.select("dl", F.explode(F.array_append(F.array_distinct("tokens"), no_term)).alias("term"))
+            texts.select("dl", F.explode_outer(F.array_append(F.array_distinct("tokens"), no_term)).alias("term"))
             .groupBy("term")
             .agg(
                 F.count(F.lit(1)).alias("df"),
@@ -65,7 +65,7 @@ class TextIndex:
         """All postings: doc_id, term, tf, dl."""
         if self.stored is not None:
             return self.stored.select("doc_id", "term", "tf", "dl")
-        return self._count(self.texts.select("doc_id", "dl", F.explode("tokens").alias("term")))
+        return self._count(explode_terms(self.texts, F.col("tokens"), "doc_id", "dl"))
 
     @staticmethod
     def _count(occurrences: DataFrame) -> DataFrame:
@@ -82,14 +82,14 @@ class TextIndex:
             found = self.stored.join(wanted, ["term_bucket", "term"], "left_semi")
             found = found.select("doc_id", "term", "tf", "dl")
         else:
-            seen = self.texts.select("doc_id", "dl", F.explode("tokens").alias("term"))
+            seen = explode_terms(self.texts, F.col("tokens"), "doc_id", "dl")
             found = self._count(seen.join(F.broadcast(vocabulary), "term", "left_semi"))
-        return found.repartition("doc_id")
+        return by_document(found)
 
     def query_terms(self, queries: DataFrame) -> DataFrame:
         """query_id, term, qtf: a repeated word counts as often as it is said."""
         return (
-            queries.select("query_id", F.explode(self.analyzer(F.col("text"))).alias("term"))
+            explode_terms(queries, self.analyzer(F.col("text")), "query_id")
             .groupBy("query_id", "term")
             .agg(F.count(F.lit(1)).alias("qtf"))
         )

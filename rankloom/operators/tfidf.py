@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import explode_ngrams, ngram_array, words
+from rankloom.functions.text import explode_ngrams, explode_terms, ngram_array, words
 from rankloom.operators.ranking import top_k
 from rankloom.operators.textindex import sum_of_products
-from rankloom.runtime import QuerySet, materialize
+from rankloom.runtime import QuerySet, by_document, materialize
 
 # Fixed value: size of the vocabulary. It also bounds the broadcast of the vocabulary.
 MAX_FEATURES = 50_000
@@ -36,8 +36,11 @@ class TfidfIndex:
         )
         both = F.array(F.col("grams"), F.array_distinct("grams"))
         counted = (
-            grams.select(F.posexplode(both).alias("distinct", "terms"))
-            .select("distinct", F.explode("terms").alias("term"))
+            explode_terms(
+                grams.select(F.posexplode_outer(both).alias("distinct", "terms")),
+                F.col("terms"),
+                "distinct",
+            )
             .groupBy("term")
             .agg(
                 F.count_if(F.col("distinct") == 0).alias("total"),
@@ -49,7 +52,7 @@ class TfidfIndex:
         chosen = counted.orderBy(F.col("total").desc(), "term").limit(max_features)
         vocabulary = materialize(chosen.select("term", "df", idf.alias("idf")), "vocabulary")
 
-        placed = docs.select("doc_id", "text").repartition("doc_id")
+        placed = by_document(docs.select("doc_id", "text"))
         placed = placed.select("doc_id", words(F.col("text")).alias("words"))
         counts = (
             explode_ngrams(placed, "words", "doc_id")
@@ -64,7 +67,7 @@ class TfidfIndex:
 
     def postings_of(self, vocabulary: DataFrame) -> DataFrame:
         found = self.weights.join(F.broadcast(vocabulary), "term", "left_semi")
-        return found if self.by_document else found.repartition("doc_id")
+        return found if self.by_document else by_document(found)
 
     def query_weights(self, queries: QuerySet) -> DataFrame:
         counts = _query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -20,7 +20,7 @@ from rankloom.operators.rerank import reorder, score_pairs, text_pairs
 from rankloom.operators.search import SearchIndex
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
-from rankloom.runtime import QuerySet, materialize
+from rankloom.runtime import QuerySet, materialize, spread
 
 DEPTH = 50
 
@@ -101,7 +101,7 @@ def text_queries(spark: SparkSession, sf_dir: str) -> QuerySet:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def text_hybrid(spark: SparkSession, sf_dir: str) -> tuple[QuerySet, DataFrame, DataFrame]:
@@ -202,7 +202,7 @@ def requests(conversations: DataFrame) -> DataFrame:
 
 def text_search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     """All documents, letter-count vectors and token-overlap pair scores."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     goods = docs.select(
         "doc_id",
         F.concat_ws(" ", "lang", "source").alias("title"),

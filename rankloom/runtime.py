@@ -114,5 +114,24 @@ class QuerySet:
         return self.count * rows_per_query * row_bytes <= self.limit
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deal out the rows of a file scan that has fewer partitions than the cluster has cores.
+
+    A table of many files is left as it is; a small one in a single row group would otherwise
+    keep one core busy with all of the text work.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
+def by_document(df: DataFrame) -> DataFrame:
+    """Hash partition by document into the session's full number of shuffle partitions.
+
+    The number is given explicitly because the rows fan out afterwards (one posting meets many
+    queries): merging partitions that look small now would leave too few tasks for that.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def hinted(df: DataFrame, fits: bool) -> DataFrame:
     return F.broadcast(df) if fits else df
