@@ -106,14 +106,12 @@ class Forest:
 
 def score_rows(rows: DataFrame, forest: Forest, name: str = "ltr_score") -> DataFrame:
     """Add the forest's score to rows that carry its feature columns."""
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
     columns = list(forest.features)
 
     @F.pandas_udf("double")
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        model = shared.value
         for batch in batches:
-            yield pd.Series(model.predict(batch[columns].to_numpy(dtype=np.float64)))
+            yield pd.Series(forest.predict(batch[columns].to_numpy(dtype=np.float64)))
 
     return rows.withColumn(name, walk(F.struct(*columns)))
 
