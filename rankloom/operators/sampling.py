@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.runtime import materialize
+from rankloom.runtime import hinted, materialize
 
 SEED = 42
+BROADCAST_ROWS = 500_000
 PREFIX = 4  # hex digits: 65,536 evenly filled hash ranges
 
 
@@ -26,11 +27,15 @@ def with_position(
     by: tuple[str, ...] = (),
     at_most: Column | None = None,
     seed: int = SEED,
+    total: int | None = None,
 ) -> DataFrame:
     """Add `position`, 1.. in hash order within each `by` group (non-null columns).
 
     With `at_most`, only rows up to that position remain; hash ranges beyond it are dropped
     before rows are moved. `key` must be unique within a group.
+
+    The table of ranges is broadcast where its size has a bound: 65,536 rows without groups,
+    and with groups no more than the `total` rows that remain, since no range is empty.
     """
     hashed = df.withColumn("_h", hash_key(key, seed)).withColumn("_r", F.substring("_h", 1, PREFIX))
     counts = hashed.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"))
@@ -39,7 +44,8 @@ def with_position(
     if at_most is not None:
         ranges = ranges.filter(F.col("_before") < at_most)
     within = Window.partitionBy(*by, "_r").orderBy("_h", key)
-    placed = hashed.join(ranges.drop("_n"), [*by, "_r"]).withColumn(
+    bounded = not by or (total is not None and total <= BROADCAST_ROWS)
+    placed = hashed.join(hinted(ranges.drop("_n"), bounded), [*by, "_r"]).withColumn(
         "position", F.row_number().over(within) + F.col("_before")
     )
     if at_most is not None:
@@ -52,7 +58,7 @@ def balanced_sample(
 ) -> DataFrame:
     """floor(target / number of labels) rows of each label, or all it has."""
     per_label = F.floor(F.lit(target) / df.select(F.count_distinct(label)).scalar())
-    return with_position(df, key, (label,), per_label, seed).drop("position")
+    return with_position(df, key, (label,), per_label, seed, target).drop("position")
 
 
 def topped_up_sample(

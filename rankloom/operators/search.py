@@ -18,7 +18,7 @@ from rankloom.operators.ranking import top_k
 from rankloom.operators.rerank import Scorer, attach, score_pairs, text_pairs
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
-from rankloom.runtime import QuerySet, materialize
+from rankloom.runtime import BROADCAST_BYTES, QuerySet, materialize
 
 SINGLE_STAGE = ("tfidf", "bm25", "embedding")
 # What a rejected request is told.
@@ -148,7 +148,8 @@ def answer(requests: DataFrame, index: SearchIndex) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole
+    # Titles, responses and sinks all read the answers; the searches run once.
+    return materialize(whole, "answers")
 
 
 def _hybrid(asked: DataFrame, cands: DataFrame, max_top_k: int) -> DataFrame:
@@ -190,7 +191,11 @@ def _second_stage(
     pairs = materialize(
         first.select("query_id", "doc_id", "rank", "score", "bm25_norm", "emb_norm"), "pairs"
     )
-    scored = _pair_scores(pairs, queries, index, small).withColumnRenamed("rank", "hybrid_rank")
+    # Written down, so that the model sees each pair once however often the scores are read.
+    scored = materialize(
+        _pair_scores(pairs, queries, index, small).withColumnRenamed("rank", "hybrid_rank"),
+        "pair-scores",
+    )
     by = ("query_id", "candidate_depth")
     lists = depths.join(scored, "query_id").filter(F.col("hybrid_rank") <= F.col("candidate_depth"))
     if method == "rerank":
@@ -258,8 +263,10 @@ def _forest_scores(
 
 
 def items(ranked: DataFrame, catalog: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
-    """Flat response rows: title, score at 6 decimals, confidence."""
-    titled = attach(ranked, catalog.select("doc_id", "title"), ("title",), False)
+    """Flat response rows: title, score at 6 decimals, confidence. `ranked` is what `answer`
+    wrote, so counting it is cheap and says whether its ids may be broadcast."""
+    small = 64 * ranked.count() <= BROADCAST_BYTES
+    titled = attach(ranked, catalog.select("doc_id", "title"), ("title",), small)
     return titled.select(
         "request_id",
         "method",

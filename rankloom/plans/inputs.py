@@ -214,7 +214,10 @@ def text_search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
         catalog=goods,
         text_index=TextIndex.build(goods),
         tfidf_index=TfidfIndex.fit(goods),
-        vectors=goods.select("doc_id", letter_vector(F.col("text")).alias("vec")),
+        # Several methods read the vectors: encode once, as a served index would be.
+        vectors=materialize(
+            goods.select("doc_id", letter_vector(F.col("text")).alias("vec")), "vectors"
+        ),
         encode=lambda df: df.withColumn("vec", letter_vector(F.col("text"))),
         scorer=token_cosine,
     )

@@ -596,6 +596,9 @@ FROM events""",
         + """SELECT method, count(*) AS pairs, round(sum(latency_ms) / 1000.0, 6) AS seconds,
        round(count(*) / (sum(latency_ms) / 1000.0), 6) AS pairs_per_second, round(sum(latency_ms) / count(*), 6) AS ms_per_pair
 FROM log GROUP BY 1""",
+        "report_extract": _with(LOG)
+        + """SELECT method, max(round(latency_ms, 2)) FILTER (WHERE phase = 'cold') AS cold,
+       max(round(latency_ms, 2)) FILTER (WHERE phase = 'warm') AS warm FROM log GROUP BY 1""",
         "windowed_latency": _with(LOG)
         + """SELECT strftime(date_trunc('hour', time), '%Y-%m-%d %H:%M') AS window_start, path, count(*) AS requests,
        round(avg(latency_ms), 6) AS mean_ms, max(latency_ms) AS max_ms, count(*) FILTER (WHERE status_code >= 500) AS errors

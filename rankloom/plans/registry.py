@@ -21,6 +21,7 @@ from rankloom.operators.tfidf import TfidfIndex
 from rankloom.plans import inputs
 from rankloom.plans.inputs import Shop
 from rankloom.runtime import QuerySet, materialize, shared_dir
+from rankloom.sources import reports
 from rankloom.sources.vectors import id_differences
 from rankloom.streaming.monitor import windowed
 from rankloom.streaming.requests import serve
@@ -491,6 +492,15 @@ def throughput(spark, sf_dir):
     return rates.select("method", "pairs", *r6("seconds", "pairs_per_second", "ms_per_pair"))
 
 
+@registered
+def report_extract(spark, sf_dir):
+    """The log printed as report lines, then read back as numbers."""
+    log = inputs.search_log(spark, sf_dir)
+    cells = [F.col("method"), F.col("phase"), F.format_string("%.2f", "latency_ms")]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    return reports.latency_table(log.select(line.alias("line")))
+
+
 def _windows(log):
     rows = windowed(log, "1 hour", by="path")
     return rows.select(
