@@ -30,7 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"
+    )
+    line = spread(line, "l_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     label = F.element_at(
         F.array(*[F.lit(x) for x in "ICSE"]), (F.col("l_linenumber") % 4 + 1).cast("int")
