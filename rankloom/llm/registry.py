@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontaminate, linededup, simhash
+from rankloom.llm import (
+    decontaminate,
+    edits,
+    langid,
+    licenses,
+    linededup,
+    packing,
+    quality,
+    simhash,
+    warc,
+)
 
 QUERIES = {
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_simhash": simhash.op3_simhash,
+    "op4_warc": warc.op4_warc,
+    "op5_licenses": licenses.op5_licenses,
+    "op6_language": langid.op6_language,
+    "op7_token_counts": edits.op7_token_counts,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_quality": quality.op9_quality,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": linededup.OP2_SQL,
+    "op4_warc": warc.OP4_SQL,
+    "op5_licenses": licenses.OP5_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
 }
