@@ -95,6 +95,9 @@ class CountTree:
             if offset - start >= self.chars[node]:
                 start += self.chars[node]
                 node += 1
+        last = self.leaves - 1
+        if node - self.width > last:  # only where all leaves are empty
+            return last, self.chars[1] - self.chars[last + self.width]
         return node - self.width, start
 
     def add(self, leaf: int, chars: int, tokens: int) -> None:

@@ -9,12 +9,14 @@ from rankloom.llm import (
     licenses,
     linededup,
     packing,
+    pii,
     quality,
     simhash,
     warc,
 )
 
 QUERIES = {
+    "op1_surrogates": pii.op1_surrogates,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_warc": warc.op4_warc,
