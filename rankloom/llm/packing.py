@@ -19,6 +19,7 @@ packed each; ties in rank follow (hash block, id, piece).
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -43,12 +44,13 @@ def sequence_cost(length: int) -> float:
 
 @dataclass(frozen=True)
 class Run:
-    """Pieces first_rank .. first_rank + count - 1 of one length go to bins first_bin ..., each
-    at the same offset."""
+    """Pieces first_rank .. first_rank + count - 1 of one length go to bins first_bin ...,
+    per_bin to each, from the same offset on."""
 
     length: int
     first_rank: int
     count: int
+    per_bin: int
     first_bin: int
     offset: int
 
@@ -64,17 +66,18 @@ class _Open:
         if room not in self.groups:
             bisect.insort(self.rooms, room)
             self.groups[room] = []
-        self.groups[room].append((first, count, size))
+        heapq.heappush(self.groups[room], (size, first, count))
 
     def tightest(self, length: int) -> int | None:
         at = bisect.bisect_left(self.rooms, length)
         return self.rooms[at] if at < len(self.rooms) else None
 
     def take(self, room: int, most: int) -> tuple[int, int, int]:
-        first, count, size = self.groups[room].pop()
+        """Of bins with equal room, those of the smallest size go first."""
+        size, first, count = heapq.heappop(self.groups[room])
         used = min(count, most)
         if used < count:
-            self.groups[room].append((first + used, count - used, size))
+            heapq.heappush(self.groups[room], (size, first + used, count - used))
         if not self.groups[room]:
             del self.groups[room]
             self.rooms.remove(room)
@@ -120,19 +123,21 @@ def plan(
                     (s for s in permitted if s >= length),
                     key=lambda s: (cost(s) / _filled(s, length, left, pending), s),
                 )
-                count = -(-todo // (size // length))
+                count = max(1, todo // (size // length))  # bins that these pieces fill
                 opened.add(size, n_bins, count, size)
                 n_bins += count
                 room = size
-            first, used, size = opened.take(room, todo)
-            runs.append(Run(length, rank, used, first, size - room))
-            opened.add(room - length, first, used, size)
-            rank += used
-            todo -= used
+            # The bin just used is the tightest one: it is filled before the next is begun.
+            per_bin = min(todo, room // length)
+            first, used, size = opened.take(room, todo // per_bin)
+            runs.append(Run(length, rank, used * per_bin, per_bin, first, size - room))
+            opened.add(room - per_bin * length, first, used, size)
+            rank += used * per_bin
+            todo -= used * per_bin
         pending.pop()
     sizes = []
     for room, groups in opened.groups.items():
-        for first, count, size in groups:
+        for size, first, _ in groups:
             sizes.append((first, permitted[bisect.bisect_left(permitted, size - room)]))
     return runs, sorted(sizes)
 
@@ -196,8 +201,8 @@ def pack(
 
 def _assigned(placed: DataFrame, runs: list[Run], sizes: list[tuple[int, int]], most: int) -> DataFrame:
     table_ = np.array(
-        sorted((r.length, r.first_rank, r.first_bin, r.offset) for r in runs), np.int64
-    ).reshape(-1, 4)
+        sorted((r.length, r.first_rank, r.first_bin, r.offset, r.per_bin) for r in runs), np.int64
+    ).reshape(-1, 5)
     spans = np.array(sizes, np.int64).reshape(-1, 2)
     sent = placed.sparkSession.sparkContext.broadcast((table_, spans))
 
@@ -209,7 +214,8 @@ def _assigned(placed: DataFrame, runs: list[Run], sizes: list[tuple[int, int]],
             low, high = np.searchsorted(table_[:, 0], [value, value + 1])
             mine = length == value
             at[mine] = low + np.searchsorted(table_[low:high, 1], rank[mine], side="right") - 1
-        bins = table_[at, 2] + rank - table_[at, 1]
+        turn, place = np.divmod(rank - table_[at, 1], table_[at, 4])
+        bins = table_[at, 2] + turn
         size = spans[np.searchsorted(spans[:, 0], bins, side="right") - 1, 1]
         return {
             "doc_id": batch.column(0),
@@ -217,7 +223,7 @@ def _assigned(placed: DataFrame, runs: list[Run], sizes: list[tuple[int, int]],
             "first_token": batch.column(1).to_numpy() * most,
             "n_tokens": length,
             "bin_id": bins,
-            "bin_offset": table_[at, 3],
+            "bin_offset": table_[at, 3] + place * length,
             "bin_size": size,
         }
 
