@@ -130,6 +130,8 @@ def mentions(text: str | None) -> list[Mention]:
             own = [m.span() for m in pattern.finditer(text)]
             spans = sorted(taken)
             for start, stop in own:
+                if kind == "iban" and not valid_iban(text[start:stop]):
+                    continue
                 if not _overlaps(spans, start, stop):
                     taken.append((start, stop))
                     found.append((start, stop, kind, canonical(kind, text[start:stop])))
@@ -196,6 +198,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def valid_iban(mention: str) -> bool:
+    form = canonical("iban", mention)
+    return 15 <= len(form) <= 34 and iban_check(form[:2], form[4:]) == form[2:4]
+
+
 def iban_check(country: str, body: str) -> str:
     number = "".join(str(int(c, 36)) for c in body + country + "00")
     return f"{98 - int(number) % 97:02d}"
