@@ -16,7 +16,7 @@ class SearchOptions:
     candidate_depth: int = 50
     alpha: float = 0.4
     beta: float = 0.6
-    pair_max_chars: int | None = 400
+    pair_max_chars: int | None = None
     bm25_saturation: float = 8.0
     min_query_length: int = 1
     max_query_length: int = 256

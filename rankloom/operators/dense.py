@@ -17,7 +17,8 @@ from rankloom.functions.vectors import cosine, inner_product, unit_vector
 from rankloom.operators.ranking import top_k
 from rankloom.runtime import QuerySet, hinted
 
-CELL_ROWS = 50_000
+# A cell of documents and a slice of queries meet in one task; both are cut by bytes.
+CELL_BYTES = 32 * 1024 * 1024
 
 
 def vector_table(df: DataFrame, id_col: str, vec_col: str, key: str = "doc_id") -> DataFrame:
@@ -112,7 +113,7 @@ def scan_best(queries: QuerySet, docs: DataFrame, k: int) -> DataFrame:
         return docs.mapInArrow(scan, schema)
 
     slices = -(-queries.vector_bytes // queries.limit)
-    cells = max(1, -(-docs.count() // CELL_ROWS))
+    cells = max(1, -(-docs.count() * 8 * queries.width // CELL_BYTES))
 
     def numbers(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

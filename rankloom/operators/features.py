@@ -32,7 +32,9 @@ MONOTONE = {
 FEATURES = tuple(MONOTONE)
 
 
-def features(cands: DataFrame, queries: DataFrame, catalog: DataFrame, small: bool) -> DataFrame:
+def features(
+    cands: DataFrame, queries: DataFrame, catalog: DataFrame, small: bool, texts_fit: bool = False
+) -> DataFrame:
     """query_id, doc_id and the 15 feature columns, all double.
 
     `cands` carries ce_score, hybrid_score, hybrid_rank, bm25_norm and emb_norm; `catalog` has
@@ -47,7 +49,7 @@ def features(cands: DataFrame, queries: DataFrame, catalog: DataFrame, small: bo
     )
     rows = attach(cands, facts, ("title", "brand", "color", "doc_text"), small)
     named = queries.select("query_id", F.col("text").alias("query_text"))
-    rows = rows.join(hinted(named, small), "query_id").withColumns(
+    rows = rows.join(hinted(named, texts_fit), "query_id").withColumns(
         {
             "ce_rank": rank_by("ce_score", "hybrid_rank"),
             "q_tokens": tokens(F.col("query_text")),

@@ -24,9 +24,6 @@ from rankloom.operators.forest import Forest, Tree, score_rows
 from rankloom.operators.ranking import top_k
 from rankloom.runtime import materialize
 
-# A candidate list longer than this is refused: lists come from a top-k of at most a few
-# hundred, and gradients compare all rows of one list.
-MAX_LIST = 10_000
 METRIC_NODE = -1
 
 
@@ -164,8 +161,6 @@ def _histograms(
             for query_id, split, labels, bins, scores in zip(
                 batch["query_id"], batch["split"], batch["labels"], batch["bins"], batch["scores"]
             ):
-                if len(labels) > MAX_LIST:
-                    raise ValueError(f"candidate list of {query_id} has {len(labels)} rows")
                 x = np.asarray(bins, dtype=np.int64).reshape(-1, width)
                 y = np.asarray(labels, dtype=np.float64)
                 s = np.array(scores, dtype=np.float64)

@@ -36,12 +36,16 @@ def attach(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...], small:
 
 
 def text_pairs(
-    cands: DataFrame, queries: DataFrame, corpus: DataFrame, max_chars: int | None, small: bool
+    cands: DataFrame, queries: DataFrame, corpus: DataFrame, max_chars: int | None, small: bool, texts_fit: bool = False
 ) -> DataFrame:
-    """Candidates plus `query_text` and `doc_text` (cut to `max_chars` if given)."""
+    """Candidates plus `query_text` and `doc_text` (cut to `max_chars` if given).
+
+    `small`: the candidates' ids were checked to fit a broadcast; `texts_fit`: the query texts,
+    by their measured bytes.
+    """
     texts = corpus.select("doc_id", cut(F.col("text"), max_chars).alias("doc_text"))
     named = queries.select("query_id", F.col("text").alias("query_text"))
-    return attach(cands, texts, ("doc_text",), small).join(hinted(named, small), "query_id")
+    return attach(cands, texts, ("doc_text",), small).join(hinted(named, texts_fit), "query_id")
 
 
 def score_pairs(pairs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -63,9 +67,12 @@ def rerank(
     k: int = 10,
     max_chars: int | None = None,
     small: bool = False,
+    texts_fit: bool = False,
 ) -> DataFrame:
     """query_id, doc_id, score, rank, hybrid_rank of ranked candidate lists."""
-    pairs = text_pairs(cands.select("query_id", "doc_id", "rank"), queries, corpus, max_chars, small)
+    pairs = text_pairs(
+        cands.select("query_id", "doc_id", "rank"), queries, corpus, max_chars, small, texts_fit
+    )
     return reorder(score_pairs(pairs, scorer), k).select(
         "query_id", "doc_id", "score", "rank", "hybrid_rank"
     )

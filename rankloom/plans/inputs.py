@@ -83,19 +83,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id (string), vec."""
-    stored = dense.vector_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return stored.withColumn("doc_id", F.col("doc_id").cast("string"))
-
-
 def shop_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, text, vec: each query with the vector of its lowest source part."""
-    source = judgments(spark, sf_dir).groupBy("query").agg(F.min("source_key").alias("vec_id"))
-    stored = dense.vector_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "vec_id")
-    return source.join(stored, "vec_id").select(
-        F.col("query").alias("query_id"), F.col("query").alias("text"), "vec"
-    )
+    """query_id, text, vec of every judged query."""
+    asked = judgments(spark, sf_dir).select(F.col("query").alias("query_id")).distinct()
+    return dense.encode_texts(asked.withColumn("text", F.col("query_id")), letter_vector)
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> QuerySet:
@@ -108,14 +99,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_hybrid(spark: SparkSession, sf_dir: str) -> tuple[QuerySet, DataFrame, DataFrame]:
-    """Queries with vectors, documents that have a vector, and those vectors."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    stored = table(spark, sf_dir, "embeddings")
-    query_vecs = dense.vector_table(stored, "vec_id", "embedding", "query_id")
-    doc_vecs = dense.vector_table(stored, "vec_id", "embedding")
-    docs = documents(spark, sf_dir).join(doc_vecs.select("doc_id"), "doc_id", "left_semi")
-    kept = doc_vecs.join(docs.select("doc_id"), "doc_id", "left_semi")
-    return QuerySet(items.join(query_vecs, "query_id")), docs, kept
+    """Queries with vectors, all documents, and the documents' vectors."""
+    docs = documents(spark, sf_dir)
+    queries = dense.encode_texts(text_queries(spark, sf_dir).df, letter_vector)
+    encoded = dense.encode_texts(docs, letter_vector).select("doc_id", "vec")
+    return QuerySet(queries), docs, materialize(encoded, "vectors")
 
 
 @dataclass
@@ -127,11 +115,10 @@ class Shop:
 
     def __post_init__(self) -> None:
         self.queries = QuerySet(materialize(shop_queries(self.spark, self.sf_dir), "queries"))
-        vecs = vectors(self.spark, self.sf_dir)
-        goods = corpus(self.spark, self.sf_dir)
-        self.vectors = vecs.join(goods.select("doc_id"), "doc_id", "left_semi")
-        self.corpus = goods.join(vecs.select("doc_id"), "doc_id", "left_semi")
-        self.qrels = qrels(self.spark, self.sf_dir)
+        self.corpus = corpus(self.spark, self.sf_dir)
+        encoded = dense.encode_texts(self.corpus, letter_vector).select("doc_id", "vec")
+        self.vectors = materialize(encoded, "vectors")
+        self.qrels = materialize(qrels(self.spark, self.sf_dir), "qrels")
 
     def pool(self) -> DataFrame:
         index = TextIndex.build(self.corpus)
@@ -148,11 +135,13 @@ class Shop:
             .unionByName(as_ranking(hybrid.fuse(pool, 0.4, 0.6), "hybrid"))
         )
 
-    def scored_candidates(self, pool: DataFrame, max_chars: int | None = 400) -> DataFrame:
+    def scored_candidates(self, pool: DataFrame, max_chars: int | None = None) -> DataFrame:
         """The hybrid top 50 with the stand-in pair model's `ce_score`."""
         top = hybrid.fuse(pool, 0.4, 0.6, DEPTH)
         small = self.queries.rows_fit(DEPTH, 128)
-        pairs = text_pairs(top, self.queries.texts, self.corpus, max_chars, small)
+        pairs = text_pairs(
+            top, self.queries.texts, self.corpus, max_chars, small, self.queries.texts_fit
+        )
         return score_pairs(pairs, token_cosine).drop("query_text", "doc_text")
 
     def reranked(self, scored: DataFrame) -> DataFrame:
@@ -170,7 +159,9 @@ class Shop:
             {"rank": "hybrid_rank", "score": "hybrid_score"}
         )
         small = self.queries.rows_fit(DEPTH, 128)
-        return features(materialize(scored, "scored"), self.queries.texts, self.corpus, small)
+        return features(
+            materialize(scored, "scored"), self.queries.texts, self.corpus, small, self.queries.texts_fit
+        )
 
     def splits(self) -> DataFrame:
         return sampling.split_queries(self.queries.df.select("query_id"), "query_id")

@@ -37,6 +37,19 @@ unit AS (
   FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n
         FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)))"""
 
+LETTERS = ", ".join(
+    f"CAST(length(lo) - length(replace(lo, '{chr(c)}', '')) AS DOUBLE)" for c in range(97, 123)
+)
+
+
+def letter_vectors(name: str, source: str, key: str) -> str:
+    return f"""
+{name} AS (
+  SELECT {key}, text, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS vec
+  FROM (SELECT {key}, text, v, sqrt(list_dot_product(v, v)) AS n
+        FROM (SELECT {key}, text, [{LETTERS}] AS v FROM (SELECT {key}, text, lower(coalesce(text, '')) AS lo FROM {source}))))"""
+
+
 SHOP = (
     JUDGMENTS
     + ","
@@ -46,20 +59,21 @@ SHOP = (
     + ","
     + QRELS
     + ","
-    + UNIT_VECTORS
+    + letter_vectors("queries", "(SELECT DISTINCT query AS query_id, query AS text FROM judgments)", "query_id")
+    + ","
+    + letter_vectors("goods", "(SELECT product_id AS doc_id, product_text AS text FROM catalog)", "doc_id")
     + r""",
-queries AS (
-  SELECT q.query AS query_id, q.query AS text, u.vec
-  FROM (SELECT query, min(source_key) AS k FROM judgments GROUP BY 1) q JOIN unit u ON u.vec_id = q.k),
 docs AS (
   SELECT c.product_id AS doc_id, c.product_title AS title, c.product_brand AS brand, c.product_color AS color,
-         c.product_text AS text, u.vec
-  FROM catalog c JOIN unit u ON CAST(u.vec_id AS VARCHAR) = c.product_id)"""
+         c.product_text AS text, g.vec
+  FROM catalog c JOIN goods g ON g.doc_id = c.product_id)"""
 )
 
-TEXTS = UNIT_VECTORS + r""",
-queries AS (SELECT b.item_id AS query_id, b.text, u.vec FROM benchmark b JOIN unit u ON u.vec_id = b.item_id),
-docs AS (SELECT d.doc_id, d.text, u.vec FROM documents d JOIN unit u ON u.vec_id = d.doc_id)"""
+TEXTS = (
+    letter_vectors("queries", "(SELECT item_id AS query_id, text FROM benchmark)", "query_id")
+    + ","
+    + letter_vectors("docs", "documents", "doc_id")
+)
 
 
 def _tokens(text: str) -> str:
@@ -150,7 +164,7 @@ def _cosine(query: str, text: str) -> str:
     )
 
 
-def pair_scored(depth: int = 50, max_chars: int | None = 400) -> str:
+def pair_scored(depth: int = 50, max_chars: int | None = None) -> str:
     text = "coalesce(d.text, '')" if max_chars is None else f"substring(coalesce(d.text, ''), 1, {max_chars})"
     return (
         hybrid(depth, name="top")
@@ -275,19 +289,6 @@ FEATURED = ",".join(
     [SHOP, bm25_scores(), dense_scores(), pool(), pair_scored(), FEATURE_ROWS]
 )
 
-LETTERS = ", ".join(
-    f"CAST(length(lo) - length(replace(lo, '{chr(c)}', '')) AS DOUBLE)" for c in range(97, 123)
-)
-
-
-def letter_vectors(name: str, source: str, key: str) -> str:
-    return f"""
-{name} AS (
-  SELECT {key}, text, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS vec
-  FROM (SELECT {key}, text, v, sqrt(list_dot_product(v, v)) AS n
-        FROM (SELECT {key}, text, [{LETTERS}] AS v FROM (SELECT {key}, text, lower(coalesce(text, '')) AS lo FROM {source}))))"""
-
-
 STRIPPED = r"regexp_replace(coalesce(query, ''), '^\s+|\s+$', '', 'g')"
 
 VALIDATED = f"""
@@ -499,6 +500,8 @@ FROM turns a JOIN turns b ON b.k = a.k AND b.turn = a.turn + 1
             SHOP, bm25_scores(), dense_scores(), pool(), pair_scored(50, None), RERANKED
         )
         + f"SELECT {RANKED}, hybrid_rank FROM reranked",
+        "pair_text_cut": _with(SHOP, bm25_scores(), dense_scores(), pool(), pair_scored(50, 20))
+        + "SELECT query_id, doc_id, round(score, 6) AS ce_score FROM scored",
         "missing_pairs": _with(TEXTS, bm25_scores(), dense_scores(), pool(), hybrid(50), hybrid(50, "0.6", "0.4", "other"))
         + """SELECT o.query_id, o.doc_id FROM other o
 WHERE NOT EXISTS (SELECT 1 FROM hyb h WHERE h.query_id = o.query_id AND h.doc_id = o.doc_id)""",

@@ -269,11 +269,26 @@ def best_weights(spark, sf_dir):
 def pair_rerank(spark, sf_dir):
     shop = Shop(spark, sf_dir)
     top = materialize(hybrid.fuse(shop.pool(), 0.4, 0.6, inputs.DEPTH), "top")
-    small = shop.queries.rows_fit(inputs.DEPTH)
-    best = reranking.rerank(top, shop.queries.texts, shop.corpus, token_cosine, small=small)
+    queries = shop.queries
+    best = reranking.rerank(
+        top,
+        queries.texts,
+        shop.corpus,
+        token_cosine,
+        small=queries.rows_fit(inputs.DEPTH),
+        texts_fit=queries.texts_fit,
+    )
     return best.select("query_id", "doc_id", *r6("score"), "rank", "hybrid_rank")
 
 
+@registered
+def pair_text_cut(spark, sf_dir):
+    """Pair scores over the first 20 characters of each product text."""
+    shop = Shop(spark, sf_dir)
+    scored = shop.scored_candidates(shop.pool(), 20)
+    return scored.select("query_id", "doc_id", *r6("ce_score"))
+
+
 @registered
 def missing_pairs(spark, sf_dir):
     pool = materialize(_text_pool(spark, sf_dir), "pool")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +37,13 @@ def local_session(name: str = "rankloom", cores: str | int = "*", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder.
 
-    Only a session that names none (a test on one machine) gets a fresh local folder.
+    Only a session on one machine may name none; it gets a fresh local folder.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="rankloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
@@ -55,9 +59,33 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for owned in _scopes:
+        owned.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that `materialize` writes inside this block when it ends.
+
+    For callers that write their result before they return, such as a micro-batch.
+    """
+    owned: list[str] = []
+    _scopes.append(owned)
+    try:
+        yield
+    finally:
+        _scopes.remove(owned)
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in owned:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 class QuerySet:
     """The query side of a retrieval: `query_id` plus `text` and/or `vec`.
 
@@ -109,19 +137,39 @@ class QuerySet:
         n, _, width = self._measured
         return 8 * n * max(width, 1)
 
+    @property
+    def width(self) -> int:
+        return max(self._measured[2], 1)
+
+    @property
+    def texts_fit(self) -> bool:
+        """Do the texts with their ids (which may be texts too) fit a broadcast?"""
+        return self.text_bytes <= self.limit
+
+    @property
+    def text_bytes(self) -> int:
+        """Measured bytes of the texts and ids, with the overhead of a row."""
+        n, chars, _ = self._measured
+        return chars + self._id_bytes + 64 * n
+
+    @cached_property
+    def _id_bytes(self) -> int:
+        return self.df.agg(F.sum(F.octet_length(F.col("query_id").cast("string")))).first()[0] or 0
+
     def rows_fit(self, rows_per_query: int, row_bytes: int = 64) -> bool:
-        """Does a table with at most `rows_per_query` rows per query fit a broadcast?"""
-        return self.count * rows_per_query * row_bytes <= self.limit
+        """Does a table with at most `rows_per_query` rows per query fit a broadcast? Every row
+        carries the query's id, whose bytes are measured."""
+        return rows_per_query * (self.count * row_bytes + self._id_bytes) <= self.limit
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Deal out the rows of a file scan that has fewer partitions than the cluster has cores.
+    """Deal out the rows of a file scan where the session asks for it.
 
-    A table of many files is left as it is; a small one in a single row group would otherwise
-    keep one core busy with all of the text work.
+    A table in a single row group keeps one core busy with all of the text work; who reads such
+    a table sets `spark.rankloom.scanPartitions`. Without the setting nothing is moved.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+    wanted = scan.sparkSession.conf.get("spark.rankloom.scanPartitions", None)
+    return scan if wanted is None else scan.repartition(int(wanted), key)
 
 
 def by_document(df: DataFrame) -> DataFrame:
