@@ -19,6 +19,7 @@ from rankloom.operators.rerank import Scorer, attach, score_pairs, text_pairs
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
 from rankloom.runtime import BROADCAST_BYTES, QuerySet, materialize
+from rankloom.sources.scores import ScoreStore
 
 SINGLE_STAGE = ("tfidf", "bm25", "embedding")
 # What a rejected request is told.
@@ -26,6 +27,14 @@ EMPTY_QUERY = "empty_query"
 QUERY_TOO_LONG = "query_too_long"
 INVALID_PARAMETER = "invalid_parameter"
 UNSUPPORTED_METHOD = "unsupported_method"
+NOT_READY = "not_ready"
+MISSING_ID = "missing_request_id"
+REPEATED_ID = "repeated_request_id"
+
+# A query text that more than one in HOT_SHARE requests ask (there are fewer than HOT_SHARE of
+# them) is delivered in HOT_PARTS parts.
+HOT_SHARE = 256
+HOT_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -39,15 +48,34 @@ class SearchIndex:
     encode: Callable[[DataFrame], DataFrame]  # adds `vec` to (query_id, text, ...)
     scorer: Scorer | None = None
     forest: Forest | None = None
-    known_scores: DataFrame | None = None  # text, doc_id, ce_score
+    known_scores: ScoreStore | None = None
     options: SearchOptions = field(default_factory=SearchOptions)
 
-
-def validate(requests: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    @property
+    def ready(self) -> tuple[str, ...]:
+        """Methods that this index has the models for."""
+        missing = set()
+        if self.scorer is None:
+            missing |= {"rerank", "ltr"}
+        if self.forest is None:
+            missing.add("ltr")
+        return tuple(m for m in self.options.methods if m not in missing)
+
+
+def validate(
+    requests: DataFrame,
+    options: SearchOptions = SearchOptions(),
+    ready: tuple[str, ...] | None = None,
+) -> DataFrame:
     """Resolve defaults and add `error` (NULL for an accepted request).
 
-    alpha and beta only matter to hybrid, the depth only to rerank and ltr.
+    alpha and beta only matter to hybrid, the depth only to rerank and ltr. A request whose id
+    is NULL or is used twice in the batch cannot be answered by id and is rejected; one whose
+    method is not in `ready` (the index lacks its model) is rejected alone.
     """
+    ready = options.methods if ready is None else ready
+    repeated = requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    requests = requests.join(repeated, "request_id", "left")
     query = strip(F.coalesce("query", F.lit("")))
     method = F.lower(strip(F.coalesce("method", F.lit("hybrid"))))
     k = F.coalesce("top_k", F.lit(options.default_top_k))
@@ -61,7 +89,10 @@ def validate(requests: DataFrame, options: SearchOptions = SearchOptions()) -> D
     weights_wrong = (method == "hybrid") & (outside(alpha, 0.0, 1.0) | outside(beta, 0.0, 1.0))
     depth_wrong = method.isin("rerank", "ltr") & outside(depth, 1, options.candidate_pool_size)
     error = (
-        F.when(~method.isin(*options.methods), UNSUPPORTED_METHOD)
+        F.when(F.col("request_id").isNull(), MISSING_ID)
+        .when(F.col("_n").isNotNull(), REPEATED_ID)
+        .when(~method.isin(*options.methods), UNSUPPORTED_METHOD)
+        .when(~method.isin(*ready), NOT_READY)
         .when(F.length(query) < options.min_query_length, EMPTY_QUERY)
         .when(F.length(query) > options.max_query_length, QUERY_TOO_LONG)
         .when(outside(k, 1, options.max_top_k), INVALID_PARAMETER)
@@ -95,9 +126,17 @@ def answer(requests: DataFrame, index: SearchIndex) -> DataFrame:
     """
     options = index.options
     asked = materialize(
-        requests.withColumn("query_id", F.sha2("query", 256)), "requests"
+        requests.filter(F.col("method").isin(*index.ready)).withColumn(
+            "query_id", F.sha2("query", 256)
+        ),
+        "requests",
     )
-    present = {row["method"] for row in asked.select("method").distinct().collect()}
+    # One row per method: how deep its lists must be.
+    depth = {
+        row["method"]: row["k"]
+        for row in asked.groupBy("method").agg(F.max("top_k").alias("k")).collect()
+    }
+    present = set(depth)
     parts = []
 
     def texts_for(methods) -> DataFrame:
@@ -109,19 +148,35 @@ def answer(requests: DataFrame, index: SearchIndex) -> DataFrame:
         of = asked.filter(F.col("method").isin(*methods)).select(
             "request_id", "query_id", "method", "top_k"
         )
-        joined = of.join(ranking.select("query_id", "doc_id", "score", "rank"), "query_id")
+        lists = ranking.select("query_id", "doc_id", "score", "rank")
+        counts = of.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        popular = F.broadcast(
+            counts.filter(F.col("n") * HOT_SHARE > of.count()).select(
+                "query_id", F.lit(HOT_PARTS).alias("parts")
+            )
+        )
+        parts = F.coalesce("parts", F.lit(1))
+        of = of.join(popular, "query_id", "left").withColumn(
+            "part", F.pmod(F.xxhash64("request_id"), parts).cast("int")
+        )
+        lists = lists.join(popular, "query_id", "left").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), parts - 1))
+        )
+        joined = of.drop("parts").join(lists.drop("parts"), ["query_id", "part"])
         return joined.filter(F.col("rank") <= F.col("top_k")).select(
             "request_id", "method", "doc_id", "score", "rank"
         )
 
-    k = options.max_top_k
     if "tfidf" in present:
-        parts.append(deliver(tfidf.retrieve(QuerySet(texts_for(["tfidf"])), index.tfidf_index, k), ["tfidf"]))
+        found = tfidf.retrieve(QuerySet(texts_for(["tfidf"])), index.tfidf_index, depth["tfidf"])
+        parts.append(deliver(found, ["tfidf"]))
     if "bm25" in present:
-        parts.append(deliver(bm25.retrieve(QuerySet(texts_for(["bm25"])), index.text_index, k), ["bm25"]))
+        found = bm25.retrieve(QuerySet(texts_for(["bm25"])), index.text_index, depth["bm25"])
+        parts.append(deliver(found, ["bm25"]))
     if "embedding" in present:
         encoded = materialize(index.encode(texts_for(["embedding"])), "query-vectors")
-        parts.append(deliver(dense.retrieve(QuerySet(encoded), index.vectors, k), ["embedding"]))
+        found = dense.retrieve(QuerySet(encoded), index.vectors, depth["embedding"])
+        parts.append(deliver(found, ["embedding"]))
     staged = sorted(present & {"hybrid", "rerank", "ltr"})
     if staged:
         encoded = materialize(index.encode(texts_for(staged)), "query-vectors")
@@ -131,7 +186,7 @@ def answer(requests: DataFrame, index: SearchIndex) -> DataFrame:
             hybrid.candidates(queries, index.text_index, index.vectors, pool), "pool"
         )
         if "hybrid" in staged:
-            parts.append(_hybrid(asked, cands, k))
+            parts.append(_hybrid(asked, cands, depth["hybrid"]))
         if "rerank" in staged:
             parts.append(_second_stage(asked, cands, queries, index, "rerank"))
         if "ltr" in staged:
@@ -215,28 +270,23 @@ def _pair_scores(
     pairs: DataFrame, queries: QuerySet, index: SearchIndex, small: bool
 ) -> DataFrame:
     """ce_score of each pair: from the stored scores if known, else from the model."""
-    if index.scorer is None:
-        raise ValueError("rerank and ltr requests need a pair scorer")
-    texts = queries.texts
-    if index.known_scores is not None:
-        ids = texts.join(index.known_scores, "text").select(
-            "query_id", "doc_id", "ce_score"
-        )
-        known = pairs.join(ids, ["query_id", "doc_id"])
-        new = pairs.join(ids, ["query_id", "doc_id"], "left_anti")
-    else:
-        known, new = None, pairs
-    named = text_pairs(new, texts, index.catalog, index.options.pair_max_chars, small)
-    fresh = score_pairs(named, index.scorer).drop("query_text", "doc_text")
-    return fresh if known is None else known.unionByName(fresh)
+    named = text_pairs(
+        pairs, queries.texts, index.catalog, index.options.pair_max_chars, small, queries.texts_fit
+    )
+    if index.known_scores is None:
+        return score_pairs(named, index.scorer).drop("query_text", "doc_text")
+    # Read once: the stored scores and the pairs that lack one come from the same lookup.
+    looked = materialize(index.known_scores.lookup(named), "known-scores")
+    known = looked.filter(F.col("ce_score").isNotNull())
+    new = looked.filter(F.col("ce_score").isNull()).drop("ce_score")
+    fresh = score_pairs(new, index.scorer)
+    return known.unionByName(fresh).drop("query_text", "doc_text")
 
 
 def _forest_scores(
     lists: DataFrame, queries: QuerySet, index: SearchIndex, small: bool
 ) -> DataFrame:
     """Features within each (query, depth) list, then the forest."""
-    if index.forest is None:
-        raise ValueError("ltr requests need a trained forest")
     # A list is identified by query and depth: the pair-score rank depends on the depth.
     keyed = lists.withColumn("list_id", F.concat_ws("|", "query_id", "candidate_depth"))
     as_query = queries.texts.join(

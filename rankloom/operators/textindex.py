@@ -78,8 +78,10 @@ class TextIndex:
     def postings_of(self, vocabulary: DataFrame) -> DataFrame:
         """Postings of a small `vocabulary(term)`, hash partitioned by document."""
         if self.stored is not None:
-            wanted = F.broadcast(vocabulary.withColumn("term_bucket", _bucket(F.col("term"))))
-            found = self.stored.join(wanted, ["term_bucket", "term"], "left_semi")
+            # At most TERM_BUCKETS numbers; as literals they prune the folders that are read.
+            buckets = vocabulary.select(_bucket(F.col("term")).alias("b")).distinct().collect()
+            kept = self.stored.filter(F.col("term_bucket").isin([row["b"] for row in buckets]))
+            found = kept.join(F.broadcast(vocabulary), "term", "left_semi")
             found = found.select("doc_id", "term", "tf", "dl")
         else:
             seen = explode_terms(self.texts, F.col("tokens"), "doc_id", "dl")

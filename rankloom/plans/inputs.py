@@ -20,7 +20,7 @@ from rankloom.operators.rerank import reorder, score_pairs, text_pairs
 from rankloom.operators.search import SearchIndex
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
-from rankloom.runtime import QuerySet, materialize, spread
+from rankloom.runtime import QuerySet, fresh_dir, materialize, spread
 
 DEPTH = 50
 
@@ -194,8 +194,21 @@ def requests(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _stored_text_index(goods: DataFrame) -> TextIndex:
+    path = fresh_dir(goods.sparkSession, "text-index")
+    TextIndex.build(goods).write(path)
+    return TextIndex.read(goods.sparkSession, path)
+
+
+def _stored_tfidf_index(goods: DataFrame) -> TfidfIndex:
+    path = fresh_dir(goods.sparkSession, "tfidf-index")
+    TfidfIndex.fit(goods).write(path)
+    return TfidfIndex.read(goods.sparkSession, path)
+
+
 def text_search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """All documents, letter-count vectors and token-overlap pair scores."""
+    """All documents, letter-count vectors and token-overlap pair scores. The indexes are
+    written once; batches and micro-batches read them and tokenise no document again."""
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     goods = docs.select(
         "doc_id",
@@ -206,8 +219,8 @@ def text_search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     )
     return SearchIndex(
         catalog=goods,
-        text_index=TextIndex.build(goods),
-        tfidf_index=TfidfIndex.fit(goods),
+        text_index=_stored_text_index(goods),
+        tfidf_index=_stored_tfidf_index(goods),
         # Several methods read the vectors: encode once, as a served index would be.
         vectors=materialize(
             goods.select("doc_id", letter_vector(F.col("text")).alias("vec")), "vectors"

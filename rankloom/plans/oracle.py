@@ -302,10 +302,13 @@ requests AS (
 resolved AS (
   SELECT request_id, {STRIPPED} AS query, lower(trim(coalesce(method, 'hybrid'))) AS method,
          CAST(coalesce(top_k, 10) AS INTEGER) AS top_k, CAST(coalesce(alpha, 0.4) AS DOUBLE) AS alpha,
-         CAST(coalesce(beta, 0.6) AS DOUBLE) AS beta, CAST(coalesce(candidate_depth, 50) AS INTEGER) AS candidate_depth
+         CAST(coalesce(beta, 0.6) AS DOUBLE) AS beta, CAST(coalesce(candidate_depth, 50) AS INTEGER) AS candidate_depth,
+         count(*) OVER (PARTITION BY request_id) AS times
   FROM requests),
 validated AS (
-  SELECT *, CASE WHEN method NOT IN ('tfidf', 'bm25', 'embedding', 'hybrid', 'rerank', 'ltr') THEN 'unsupported_method'
+  SELECT * EXCLUDE (times), CASE WHEN request_id IS NULL THEN 'missing_request_id'
+                 WHEN times > 1 THEN 'repeated_request_id'
+                 WHEN method NOT IN ('tfidf', 'bm25', 'embedding', 'hybrid', 'rerank', 'ltr') THEN 'unsupported_method'
                  WHEN length(query) < 1 THEN 'empty_query'
                  WHEN length(query) > 256 THEN 'query_too_long'
                  WHEN top_k NOT BETWEEN 1 AND 100 THEN 'invalid_parameter'
@@ -502,6 +505,8 @@ FROM turns a JOIN turns b ON b.k = a.k AND b.turn = a.turn + 1
         + f"SELECT {RANKED}, hybrid_rank FROM reranked",
         "pair_text_cut": _with(SHOP, bm25_scores(), dense_scores(), pool(), pair_scored(50, 20))
         + "SELECT query_id, doc_id, round(score, 6) AS ce_score FROM scored",
+        "score_store_resume": _with(SHOP, bm25_scores(), dense_scores(), pool(), pair_scored())
+        + "SELECT query_id, doc_id, round(score, 6) AS ce_score FROM scored",
         "missing_pairs": _with(TEXTS, bm25_scores(), dense_scores(), pool(), hybrid(50), hybrid(50, "0.6", "0.4", "other"))
         + """SELECT o.query_id, o.doc_id FROM other o
 WHERE NOT EXISTS (SELECT 1 FROM hyb h WHERE h.query_id = o.query_id AND h.doc_id = o.doc_id)""",

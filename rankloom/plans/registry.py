@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +19,9 @@ from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
 from rankloom.plans import inputs
 from rankloom.plans.inputs import Shop
-from rankloom.runtime import QuerySet, materialize, shared_dir
+from rankloom.runtime import QuerySet, fresh_dir, materialize
 from rankloom.sources import reports
+from rankloom.sources.scores import ScoreStore
 from rankloom.sources.vectors import id_differences
 from rankloom.streaming.monitor import windowed
 from rankloom.streaming.requests import serve
@@ -289,6 +289,22 @@ def pair_text_cut(spark, sf_dir):
     return scored.select("query_id", "doc_id", *r6("ce_score"))
 
 
+@registered
+def score_store_resume(spark, sf_dir):
+    """Half of the pairs are scored in one run, the rest in a second run in three chunks."""
+    shop = Shop(spark, sf_dir)
+    queries = shop.queries
+    top = hybrid.fuse(shop.pool(), 0.4, 0.6, inputs.DEPTH).select("query_id", "doc_id")
+    small = queries.rows_fit(inputs.DEPTH, 128)
+    pairs = materialize(
+        reranking.text_pairs(top, queries.texts, shop.corpus, None, small, queries.texts_fit), "pairs"
+    )
+    store = ScoreStore(spark, fresh_dir(spark, "scores"), "token-cosine")
+    store.score_missing(pairs.filter(F.pmod(F.xxhash64("query_id", "doc_id"), F.lit(2)) == 0), token_cosine)
+    store.score_missing(pairs, token_cosine, chunks=3)
+    return store.lookup(pairs).select("query_id", "doc_id", *r6("ce_score"))
+
+
 @registered
 def missing_pairs(spark, sf_dir):
     pool = materialize(_text_pool(spark, sf_dir), "pool")
@@ -542,14 +558,10 @@ def _as_stream(spark, sf_dir, name):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _fresh(spark, label):
-    return f"{shared_dir(spark)}/rankloom-{label}-{uuid.uuid4().hex}"
-
-
 @registered
 def stream_requests(spark, sf_dir):
     """`conversations` as a request stream, answered batch by batch."""
-    out = _fresh(spark, "stream")
+    out = fresh_dir(spark, "stream")
     index = inputs.text_search_index(spark, sf_dir)
     stream = inputs.requests(_as_stream(spark, sf_dir, "conversations"))
     serve(stream, index, out, f"{out}/checkpoint", once=True).awaitTermination()
@@ -561,7 +573,7 @@ def stream_requests(spark, sf_dir):
 @registered
 def stream_latency(spark, sf_dir):
     """`events` as a log stream; the state of all windows after the last batch."""
-    out = _fresh(spark, "windows")
+    out = fresh_dir(spark, "windows")
     log = inputs.log_columns(_as_stream(spark, sf_dir, "events"))
     query = (
         _windows(log)

@@ -50,6 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/rankloom-{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` as a parquet table in the shared folder and read it back.
 
@@ -57,7 +61,7 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     executor costs nothing, and the readers get column pruning and exact file sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rankloom-{label}-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, label)
     df.write.parquet(path)
     for owned in _scopes:
         owned.append(path)

@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 import hashlib
+import time
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.rerank import Scorer, score_pairs
+from rankloom.runtime import materialize
 
 KEYS = ["query_text", "doc_id", "text_hash"]
 
 
+@dataclass(frozen=True)
+class ScoringRun:
+    """Numbers of one scoring run."""
+
+    new_pairs: int
+    reused_pairs: int
+    seconds: float
+
+    @property
+    def pairs_per_second(self) -> float | None:
+        return self.new_pairs / self.seconds if self.new_pairs and self.seconds > 0 else None
+
+
 class ScoreStore:
     """A parquet table partitioned by signature (model and text limit).
 
@@ -33,7 +49,9 @@ class ScoreStore:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        return stored.filter(F.col("signature") == self.signature).drop("signature")
+        own = stored.filter(F.col("signature") == self.signature)
+        # A run repeated after a lost commit, or two runs at once, may have stored a pair twice.
+        return own.groupBy(*KEYS).agg(F.max("ce_score").alias("ce_score"))
 
     @staticmethod
     def keyed(pairs: DataFrame) -> DataFrame:
@@ -45,25 +63,33 @@ class ScoreStore:
         stored = self.read()
         return wanted if stored is None else wanted.join(stored.select(*KEYS), KEYS, "left_anti")
 
-    def score_missing(self, pairs: DataFrame, scorer: Scorer, chunks: int = 1) -> None:
+    def score_missing(self, pairs: DataFrame, scorer: Scorer, chunks: int = 1) -> ScoringRun:
         """Score what is missing, chunk by chunk; the pairs are cut by the hash of their key."""
+        asked = self.keyed(pairs).select(*KEYS).distinct().count()
+        new_pairs, started = 0, time.monotonic()
         for chunk in range(chunks):
             part = pairs
             if chunks > 1:
                 place = F.pmod(F.xxhash64("query_text", "doc_id"), F.lit(chunks))
                 part = pairs.filter(place == chunk)
-            scored = score_pairs(self.missing(part), scorer)
+            missing = materialize(self.missing(part), "unscored")
+            count = missing.count()
+            if not count:
+                continue
+            new_pairs += count
+            scored = score_pairs(missing, scorer)
             (
                 scored.select(*KEYS, "ce_score", F.lit(self.signature).alias("signature"))
                 .write.mode("append")
                 .partitionBy("signature")
                 .parquet(self.path)
             )
+        return ScoringRun(new_pairs, asked - new_pairs, time.monotonic() - started)
 
     def scores(self, pairs: DataFrame, scorer: Scorer, chunks: int = 1) -> DataFrame:
         """The given pairs with `ce_score`; new scores are stored on the way."""
         self.score_missing(pairs, scorer, chunks)
-        return self.keyed(pairs).join(self.read(), KEYS).drop("text_hash")
+        return self.lookup(pairs)
 
     def lookup(self, pairs: DataFrame) -> DataFrame:
         """Read only: the pairs with `ce_score`, NULL where none is stored."""

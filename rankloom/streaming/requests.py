@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rankloom.operators.search import SearchIndex, accepted, answer, items, rejected, validate
-from rankloom.runtime import materialize
+from rankloom.runtime import materialize, scratch
 from rankloom.schema import REQUESTS
 
 
@@ -20,11 +19,12 @@ def read_requests(spark: SparkSession, path: str, files_per_batch: int = 64) ->
 
 def answer_batch(batch: DataFrame, batch_id: int, index: SearchIndex, out: str) -> None:
     """Answer one micro-batch. A batch that runs again replaces its own output."""
-    checked = materialize(validate(batch, index.options), "batch")
-    rejected(checked).write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
-    ranked = answer(accepted(checked), index)
-    rows = items(ranked, index.catalog, index.options)
-    rows.write.mode("overwrite").parquet(f"{out}/answers/batch_id={batch_id}")
+    with scratch(batch.sparkSession):
+        checked = materialize(validate(batch, index.options, index.ready), "batch")
+        rejected(checked).write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
+        ranked = answer(accepted(checked), index)
+        rows = items(ranked, index.catalog, index.options)
+        rows.write.mode("overwrite").parquet(f"{out}/answers/batch_id={batch_id}")
 
 
 def serve(
@@ -37,7 +37,3 @@ def serve(
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
-
-
-def read_answers(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/answers").withColumn("batch_id", F.col("batch_id").cast("long"))

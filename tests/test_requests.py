@@ -13,6 +13,7 @@ from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
 from rankloom.schema import LOG_RECORD, REQUESTS
 from rankloom.sources import reports, tables
+from rankloom.sources.scores import ScoreStore
 from rankloom.streaming.monitor import read_log, windowed
 from rankloom.streaming.requests import read_requests, serve
 
@@ -94,15 +95,67 @@ def test_equal_queries_with_different_settings(spark, index):
     assert counts == {0: 2, 1: 4, 2: 2, 3: 5}
 
 
-def test_known_pair_scores_are_reused(spark, index):
+def test_known_pair_scores_are_reused(spark, index, tmp_path):
     from dataclasses import replace
 
-    known = spark.createDataFrame([("oak desk", "g4", 9.0)], "text string, doc_id string, ce_score double")
+    store = ScoreStore(spark, str(tmp_path / "scores"), "test model")
+    text = dict((g[0], g[4]) for g in GOODS)["g4"]
+    pairs = spark.createDataFrame([("oak desk", "g4", text)], "query_text string, doc_id string, doc_text string")
+    nine = lambda q, d: F.lit(9.0)
+    assert store.score_missing(pairs, nine).new_pairs == 1
+    again = store.score_missing(pairs, nine)
+    assert (again.new_pairs, again.reused_pairs, again.pairs_per_second) == (0, 1, None)
+    stored = spark.read.parquet(store.path)
+    stored.write.mode("append").partitionBy("signature").parquet(store.path)  # a lost commit, run again
     asked = search.accepted(search.validate(requests(spark, ("oak desk", "rerank", 5, None, None, 5))))
-    got = search.answer(asked, replace(index, known_scores=known)).orderBy("rank").collect()
+    got = search.answer(asked, replace(index, known_scores=store)).orderBy("rank").collect()
     assert got[0]["doc_id"] == "g4" and got[0]["score"] == 9.0 and len(got) == 5
 
 
+def test_awkward_requests_are_rejected_alone(spark, index):
+    from dataclasses import replace
+
+    rows = [(1, "oak desk", "bm25"), (1, "wool rug", "bm25"), (None, "oak", "bm25"), (2, "oak desk", "ltr"), (3, "oak desk", "rerank"), (4, "oak desk", "bm25")]
+    asked = spark.createDataFrame([(*r, None, None, None, None) for r in rows], REQUESTS)
+    bare = replace(index, scorer=None, forest=None)
+    checked = search.validate(asked, bare.options, bare.ready)
+    errors = sorted((r["request_id"] or 0, r["error"]) for r in search.rejected(checked).collect())
+    assert errors == [(0, "missing_request_id"), (1, "repeated_request_id"), (1, "repeated_request_id"), (2, "not_ready"), (3, "not_ready")]
+    got = search.answer(search.accepted(checked), bare)
+    assert {r["request_id"] for r in got.collect()} == {4}
+    # Unchecked requests for a method without its model get no rows; the others are answered.
+    loose = search.answer(search.accepted(search.validate(asked)), bare)
+    assert {r["request_id"] for r in loose.collect()} == {4}
+    only_forest_missing = replace(index, forest=None)
+    assert "rerank" in only_forest_missing.ready and "ltr" not in only_forest_missing.ready
+
+
+def test_popular_query_is_delivered_to_everyone(spark, index):
+    asked = spark.createDataFrame([(i, "oak desk" if i % 3 else f"oak {i}", "bm25", 2, None, None, None) for i in range(300)], REQUESTS)
+    got = search.answer(search.accepted(search.validate(asked)), index)
+    assert got.filter("rank = 1").count() == 300
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    from pathlib import Path
+
+    from rankloom.runtime import materialize, scratch
+
+    with scratch(spark):
+        path = materialize(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+        assert Path(path).exists()
+    assert not Path(path).parent.exists()
+
+
+def test_stored_postings_read_only_their_buckets(spark, index, tmp_path):
+    index.text_index.write(str(tmp_path / "i"))
+    stored = TextIndex.read(spark, str(tmp_path / "i"))
+    found = stored.postings_of(spark.createDataFrame([("oak",)], "term string"))
+    plan = found._jdf.queryExecution().toString()
+    assert "term_bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "IN" in plan.upper()
+    assert {r["doc_id"] for r in found.collect()} == {"g1", "g5"}
+
+
 def test_request_stream_equals_the_batch(spark, index, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
