@@ -81,8 +81,8 @@ def cut(text: Column, max_chars: int | None) -> Column:
 
 
 def preview(text: Column, limit: int) -> Column:
-    """At most `limit` characters; a longer text ends in an ellipsis."""
-    text = F.coalesce(text, F.lit(""))
+    """At most `limit` characters, white space collapsed; a longer text ends in an ellipsis."""
+    text = squeeze(F.coalesce(text, F.lit("")))
     short = F.concat(F.substring(text, 1, limit - 1), F.lit("…"))
     return F.when(F.length(text) <= limit, text).otherwise(short)
 

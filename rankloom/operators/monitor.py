@@ -2,34 +2,67 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.runtime import hinted, materialize
+
+BROADCAST_GROUPS = 200_000
+
 
 def exact_medians(df: DataFrame, by: tuple[str, ...], value: str, accuracy: int = 10_000) -> DataFrame:
     """by..., median. Exact, without gathering a group in one task.
 
     A sketch gives bounds that enclose the median ranks of each group. Rows below the bounds
-    are only counted; rows inside are counted per distinct value, and the middle values are
-    read off the running counts of that narrow band.
+    are only counted; rows inside are counted per distinct value, before they are moved, and the
+    middle values are read off the running counts of that narrow band. Should a band miss the
+    middle, its group is measured again with a wider one, in the end with its whole range.
+    A NULL in `by` is a group like any other.
     """
-    margin = 2.0 / accuracy
+    log = df.filter(F.col(value).isNotNull())
+    found = None
+    for margin in (2.0 / accuracy, 20.0 / accuracy, 0.5):
+        medians = materialize(_banded_medians(log, by, value, accuracy, margin), "medians")
+        hit = medians.filter(F.col("median").isNotNull())
+        found = hit if found is None else found.unionByName(hit)
+        missed = medians.filter(F.col("median").isNull()).drop("median")
+        if missed.isEmpty():
+            break
+        log = _matched(log, missed, by, "left_semi")
+    return found
+
+
+def _matched(left: DataFrame, right: DataFrame, by: tuple[str, ...], how: str) -> DataFrame:
+    """Join a log with a table of one row per group, broadcast if its counted rows are few."""
+    renamed = right.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    joined = left.join(hinted(renamed, right.count() <= BROADCAST_GROUPS), same, how)
+    return joined.drop(*(f"_{c}" for c in by))
+
+
+def _banded_medians(
+    df: DataFrame, by: tuple[str, ...], value: str, accuracy: int, margin: float
+) -> DataFrame:
+    """by..., median; NULL where the band does not hold the middle."""
     sketch = F.percentile_approx(
-        value, F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), F.lit(accuracy)
+        value, F.array(F.lit(max(0.0, 0.5 - margin)), F.lit(min(1.0, 0.5 + margin))), F.lit(accuracy)
     )
     bounds = df.groupBy(*by).agg(
         F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("z"), sketch.alias("b")
     )
-    small = F.col("n") <= accuracy
-    bounds = bounds.filter(F.col("n") > 0).select(
+    whole = F.lit(margin >= 0.5)
+    bounds = bounds.select(
         *by,
         "n",
-        F.when(small, F.col("a")).otherwise(F.col("b")[0]).alias("low"),
-        F.when(small, F.col("z")).otherwise(F.col("b")[1]).alias("high"),
+        F.when(whole, F.col("a")).otherwise(F.col("b")[0]).alias("low"),
+        F.when(whole, F.col("z")).otherwise(F.col("b")[1]).alias("high"),
     )
     v = F.col(value)
-    # One row per group at most: the table of bounds is as small as the report itself.
-    placed = df.filter(v.isNotNull()).join(bounds, list(by)).filter(v <= F.col("high"))
+    # One row per group: the table of bounds is as small as the report itself.
+    placed = _matched(df, materialize(bounds, "bounds"), by, "inner").filter(v <= F.col("high"))
     banded = placed.withColumn("v", F.when(v >= F.col("low"), v))
     counts = banded.groupBy(*by, "n", "v").agg(F.count(F.lit(1)).alias("c"))
     running = Window.partitionBy(*by).orderBy(F.col("v").asc_nulls_first())
@@ -55,7 +88,7 @@ def latency(log: DataFrame, by: tuple[str, ...] = ("method", "phase"), value: st
         F.max(value).alias("max_ms"),
     )
     medians = exact_medians(log, by, value).withColumnRenamed("median", "median_ms")
-    return plain.join(medians, list(by), "left")
+    return _matched(plain, medians, by, "left")
 
 
 def stage_averages(log: DataFrame, value: str = "latency_ms") -> DataFrame:

@@ -65,9 +65,10 @@ def topped_up_sample(
     df: DataFrame, label: str, key: str, target: int = 50_000, seed: int = SEED
 ) -> DataFrame:
     """The balanced sample, completed to `target` from the rows it left out."""
+    df = materialize(df, "sampled-from")  # read four times below
     base = materialize(balanced_sample(df, label, key, target, seed), "sample")
-    # The sample has at most `target` rows: a fixed bound for the broadcast.
-    rest = df.join(F.broadcast(base.select(key)), key, "left_anti")
+    # The sample has at most `target` rows.
+    rest = df.join(hinted(base.select(key), target <= BROADCAST_ROWS), key, "left_anti")
     need = F.lit(target) - base.select(F.count(F.lit(1))).scalar()
     extra = with_position(rest, key, (), need, seed).drop("position")
     return base.unionByName(extra)

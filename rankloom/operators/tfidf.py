@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import explode_ngrams, explode_terms, ngram_array, words
 from rankloom.operators.ranking import top_k
 from rankloom.operators.textindex import sum_of_products
-from rankloom.runtime import QuerySet, by_document, materialize
+from rankloom.runtime import QuerySet, by_document, hinted, materialize
 
-# Fixed value: size of the vocabulary. It also bounds the broadcast of the vocabulary.
+# Fixed value: size of the vocabulary.
 MAX_FEATURES = 50_000
+# A vocabulary of at most this many terms may be broadcast.
+BROADCAST_TERMS = 500_000
 
 
 @dataclass(frozen=True)
@@ -49,18 +51,19 @@ class TfidfIndex:
         )
         n_docs = docs.count()
         idf = F.ln(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-        chosen = counted.orderBy(F.col("total").desc(), "term").limit(max_features)
+        chosen = most_frequent(materialize(counted, "grams"), max_features)
         vocabulary = materialize(chosen.select("term", "df", idf.alias("idf")), "vocabulary")
+        small = max_features <= BROADCAST_TERMS
 
         placed = by_document(docs.select("doc_id", "text"))
         placed = placed.select("doc_id", words(F.col("text")).alias("words"))
         counts = (
             explode_ngrams(placed, "words", "doc_id")
-            .join(F.broadcast(vocabulary.select("term")), "term")
+            .join(hinted(vocabulary.select("term"), small), "term")
             .groupBy("doc_id", "term")
             .agg(F.count(F.lit(1)).alias("tf"))
         )
-        return TfidfIndex(vocabulary, _unit_rows(counts, vocabulary, "doc_id"), True)
+        return TfidfIndex(vocabulary, _unit_rows(counts, vocabulary, "doc_id", small), True)
 
     def postings(self) -> DataFrame:
         return self.weights
@@ -84,14 +87,34 @@ class TfidfIndex:
         )
 
 
+def most_frequent(counted: DataFrame, n: int) -> DataFrame:
+    """The n rows of `counted(term, total, ...)` with the largest totals, ties by term.
+
+    Terms are counted per total; the running count tells the total at which n is reached. There
+    are at most sqrt(2 x occurrences) different totals. Everything above that total is taken
+    unsorted, and only the terms on it are sorted.
+    """
+    order = Window.orderBy(F.col("total").desc())
+    per_total = counted.groupBy("total").agg(F.count(F.lit(1)).alias("terms"))
+    upto = per_total.withColumn("upto", F.sum("terms").over(order))
+    cut = upto.filter(F.col("upto") >= n).orderBy("upto").select("total", "terms", "upto").first()
+    if cut is None:
+        return counted
+    above = counted.filter(F.col("total") > cut["total"])
+    on = counted.filter(F.col("total") == cut["total"])
+    return above.unionByName(on.orderBy("term").limit(n - (cut["upto"] - cut["terms"])))
+
+
 def _query_terms(queries: QuerySet) -> DataFrame:
     split = queries.texts.select("query_id", words(F.col("text")).alias("words"))
     return explode_ngrams(split, "words", "query_id")
 
 
-def _unit_rows(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+def _unit_rows(
+    counts: DataFrame, vocabulary: DataFrame, key: str, small: bool = False
+) -> DataFrame:
     """tf * idf, scaled so that the squares of one text's weights sum to 1."""
-    weighed = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn(
+    weighed = counts.join(hinted(vocabulary.select("term", "idf"), small), "term").withColumn(
         "w", F.col("tf") * F.col("idf")
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))

@@ -238,6 +238,7 @@ def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_columns(events: DataFrame) -> DataFrame:
     warm = F.col("user_id") % 2 == 1
     return events.select(
+        "event_id",
         F.col("ts").cast("timestamp").alias("time"),
         F.col("event_type").alias("method"),
         F.concat(F.lit("/"), "event_type").alias("path"),

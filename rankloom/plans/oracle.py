@@ -369,7 +369,7 @@ response_items AS (
 
 LOG = r"""
 log AS (
-  SELECT ts AS time, event_type AS method, '/' || event_type AS path,
+  SELECT event_id, ts AS time, event_type AS method, '/' || event_type AS path,
          CASE WHEN user_id % 2 = 1 THEN 'warm' ELSE 'cold' END AS phase, CAST(user_id % 2 = 1 AS INTEGER) AS cached,
          value AS latency_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code
   FROM events)"""
@@ -424,7 +424,9 @@ SELECT round(avg(n), 6) AS mean_len, CAST(min(n) AS INTEGER) AS min_len, CAST(ma
         + "SELECT relevance_score, count(*) AS n FROM graded GROUP BY 1",
         "product_text": _with(CATALOG)
         + "SELECT product_id, product_text FROM catalog WHERE length(product_text) > 0",
-        "text_preview": "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE substring(text, 1, 59) || '…' END AS preview FROM documents",
+        "text_preview": r"""WITH d AS (
+  SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x1c-\x1f]+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE substring(t, 1, 59) || '…' END AS preview FROM d""",
         "judgments_join_catalog": _with(JUDGMENTS, GRADED, CATALOG)
         + "SELECT example_id, query, product_id, relevance_score, product_title, product_text FROM graded JOIN catalog USING (product_id)",
         "judgments_join_catalog_locale": _with(JUDGMENTS, CATALOG)
@@ -605,11 +607,16 @@ FROM events""",
        round(count(*) / (sum(latency_ms) / 1000.0), 6) AS pairs_per_second, round(sum(latency_ms) / count(*), 6) AS ms_per_pair
 FROM log GROUP BY 1""",
         "report_extract": _with(LOG)
-        + """SELECT method, max(round(latency_ms, 2)) FILTER (WHERE phase = 'cold') AS cold,
-       max(round(latency_ms, 2)) FILTER (WHERE phase = 'warm') AS warm FROM log GROUP BY 1""",
+        + """SELECT method, arg_max(round(latency_ms, 2), event_id) FILTER (WHERE phase = 'cold') AS cold,
+       arg_max(round(latency_ms, 2), event_id) FILTER (WHERE phase = 'warm') AS warm FROM log GROUP BY 1""",
+        "report_numbers": _with(LOG)
+        + """SELECT ['search', 'rerank', 'ltr', 'cached', 'rss_before_mb', 'rss_after_mb', 'rss_peak_mb', 'load_footprint_mb',
+        'startup_s', 'logical_cpus', 'physical_cpus', 'corpus'][event_id % 12 + 1] AS name,
+       arg_min(round(latency_ms, 2), event_id) AS value FROM log GROUP BY 1""",
         "windowed_latency": _with(LOG)
         + """SELECT strftime(date_trunc('hour', time), '%Y-%m-%d %H:%M') AS window_start, path, count(*) AS requests,
-       round(avg(latency_ms), 6) AS mean_ms, max(latency_ms) AS max_ms, count(*) FILTER (WHERE status_code >= 500) AS errors
+       round(avg(latency_ms), 6) AS mean_ms, max(latency_ms) AS max_ms,
+       quantile_disc(latency_ms, 0.95) AS p95_ms, count(*) FILTER (WHERE status_code >= 500) AS errors
 FROM log GROUP BY 1, 2""",
     }
     sql["best_weights"] = sql["weight_sweep"].split("SELECT CAST(alpha AS DOUBLE)")[0] + (

@@ -529,7 +529,19 @@ def report_extract(spark, sf_dir):
     log = inputs.search_log(spark, sf_dir)
     cells = [F.col("method"), F.col("phase"), F.format_string("%.2f", "latency_ms")]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    return reports.latency_table(log.select(line.alias("line")))
+    place = F.col("event_id").alias("place")
+    return reports.latency_table(log.select(F.lit("log").alias("file"), place, line.alias("line")))
+
+
+@registered
+def report_numbers(spark, sf_dir):
+    """The log printed as report lines under known labels; the first of each label is read."""
+    log = inputs.search_log(spark, sf_dir)
+    labels = F.array(*[F.lit(f"{label.capitalize()} (all calls)") for label in list(reports.LABELS.values())[:-1]])
+    label = F.get(labels, F.col("event_id") % F.size(labels))
+    line = F.concat(label, F.lit(": "), F.format_number("latency_ms", 2), F.lit(" ms"))
+    place = F.col("event_id").alias("place")
+    return reports.numbers(log.select(F.lit("log").alias("file"), place, line.alias("line")))
 
 
 def _windows(log):
@@ -540,6 +552,7 @@ def _windows(log):
         "requests",
         *r6("mean_ms"),
         "max_ms",
+        "p95_ms",
         "errors",
     )
 
@@ -570,18 +583,36 @@ def stream_requests(spark, sf_dir):
     )
 
 
+CLOSING = "/closing"
+
+
 @registered
 def stream_latency(spark, sf_dir):
-    """`events` as a log stream; the state of all windows after the last batch."""
+    """`events` as a log stream in append mode: a window is written once the watermark has
+    passed it. A second batch brings late copies of the first hour's rows, which are dropped,
+    and a row far ahead that closes all windows; a third one lets them be written."""
     out = fresh_dir(spark, "windows")
-    log = inputs.log_columns(_as_stream(spark, sf_dir, "events"))
-    query = (
-        _windows(log)
-        .writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/windows"))
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/windows")
+    log = inputs.log_columns(inputs.table(spark, sf_dir, "events"))
+    first, last = log.agg(F.min("time"), F.max("time")).first()
+    late = log.filter(F.col("time") < F.lit(first) + F.expr("INTERVAL 1 HOUR"))
+    late = late.withColumn("latency_ms", F.col("latency_ms") + 1000)
+
+    def closing(days):
+        return log.limit(1).withColumns(
+            {"time": F.lit(last) + F.expr(f"INTERVAL {days} DAYS"), "path": F.lit(CLOSING)}
+        )
+
+    for batch in (log, late.unionByName(closing(30)), closing(60)):
+        batch.write.mode("append").parquet(f"{out}/log")
+        stream = spark.readStream.schema(log.schema).parquet(f"{out}/log")
+        (
+            _windows(stream)
+            .writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{out}/windows")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    return spark.read.parquet(f"{out}/windows").filter(F.col("path") != CLOSING)
