@@ -1,9 +1,9 @@
 """LambdaMART trained by Spark jobs.
 
 Training rows are kept as one row per query: a candidate list of bounded length with its
-labels, binned features and current scores. A pass over that table turns each list into
-lambda gradients, adds them to gradient histograms per partition, and sums the histograms by
-(node, feature, bin) in one small shuffle. The driver only sees those sums, whose number
+labels, binned features and current scores. Once per tree that table is turned into lambda
+gradients. A pass over those adds them to gradient histograms per partition, and sums the
+histograms by (node, feature, bin) in one small shuffle. The driver only sees those sums, whose number
 depends on the model's size and not on the data, and picks the splits.
 """
 
@@ -24,7 +24,6 @@ from rankloom.operators.forest import Forest, Tree, score_rows
 from rankloom.operators.ranking import top_k
 from rankloom.runtime import materialize
 
-METRIC_NODE = -1
 
 
 @dataclass(frozen=True)
@@ -64,7 +63,7 @@ def bin_edges(rows: DataFrame, max_bin: int, features=FEATURES) -> list[np.ndarr
 
 
 def pack(rows: DataFrame, edges: list[np.ndarray], features=FEATURES) -> DataFrame:
-    """query_id, split, labels, bins (row-major), scores: one row per query.
+    """query_id, split, doc_ids, labels, bins (row-major), scores: one row per query.
 
     `rows` are candidate lists cut at a fixed depth, which bounds every collected list.
     """
@@ -73,7 +72,13 @@ def pack(rows: DataFrame, edges: list[np.ndarray], features=FEATURES) -> DataFra
         rows.select("query_id", "split", "doc_id", "label", F.array(*features).alias("x"))
         .groupBy("query_id", "split")
         .agg(F.array_sort(F.collect_list(F.struct("doc_id", "label", "x"))).alias("list"))
-        .select("query_id", "split", F.col("list.label").alias("labels"), F.flatten("list.x").alias("x"))
+        .select(
+            "query_id",
+            "split",
+            F.col("list.doc_id").alias("doc_ids"),
+            F.col("list.label").alias("labels"),
+            F.flatten("list.x").alias("x"),
+        )
     )
 
     def to_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,8 +92,11 @@ def pack(rows: DataFrame, edges: list[np.ndarray], features=FEATURES) -> DataFra
                 scores.append(np.zeros(len(x)))
             yield batch.assign(bins=bins, scores=scores)
 
-    kind = rows.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, split string, labels array<int>, bins array<int>, scores array<double>"
+    kind, doc_kind = (rows.schema[c].dataType.simpleString() for c in ("query_id", "doc_id"))
+    schema = (
+        f"query_id {kind}, split string, doc_ids array<{doc_kind}>, labels array<int>, "
+        "bins array<int>, scores array<double>"
+    )
     return listed.mapInPandas(to_bins, schema)
 
 
@@ -142,22 +150,15 @@ def list_ndcg(labels, scores, k: int) -> float | None:
     return float((top * discount[: len(top)]).sum() / ideal)
 
 
-def _histograms(
-    packed: DataFrame, pending: list[Tree], tree: Tree, nodes: list[int], t: int, p: LtrParams
-) -> pd.DataFrame:
-    """Sums (node, feature, bin, g, h, n) for the given leaves of the tree being grown.
-
-    Validation lists add one row of node -1: their NDCG sum and count under the finished trees.
-    """
+def _graded(packed: DataFrame, pending: list[Tree], t: int, p: LtrParams) -> DataFrame:
+    """query_id, bins, g, h of every training list for tree t, rows outside the tree's sample
+    left out; validation lists give their NDCG under the finished trees instead. Written down,
+    so that the passes over a tree's leaves compute no gradient again."""
     width = len(FEATURES)
-    first_pass = len(tree.feature) == 1
-    wanted = np.array(sorted(nodes))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        ndcg, judged = 0.0, 0
-        size = p.max_bin + 1
+    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for query_id, split, labels, bins, scores in zip(
                 batch["query_id"], batch["split"], batch["labels"], batch["bins"], batch["scores"]
             ):
@@ -167,22 +168,42 @@ def _histograms(
                 for done in pending:
                     s = s + done.predict(x)
                 if split == "validation":
-                    value = list_ndcg(y, s, p.eval_at) if first_pass else None
+                    value = list_ndcg(y, s, p.eval_at)
                     if value is not None:
-                        ndcg, judged = ndcg + value, judged + 1
+                        rows.append(([], [], [], value))
                     continue
                 g, h = lambda_gradients(y, s, p.truncation)
                 draw = np.random.default_rng([p.seed, t, zlib.crc32(str(query_id).encode())])
                 taken = draw.random(len(y)) < p.subsample
-                leaf = tree.leaf_of(x)
-                for node in wanted:
-                    rows = np.nonzero(taken & (leaf == node))[0]
-                    if not len(rows):
-                        continue
-                    table = sums.setdefault(int(node), np.zeros((3, width * size)))
-                    cell = (x[rows] + np.arange(width) * size).ravel()
-                    for i, weight in enumerate((g[rows], h[rows], np.ones(len(rows)))):
-                        table[i] += np.bincount(cell, np.repeat(weight, width), width * size)
+                rows.append((x[taken].ravel().astype(np.int32), g[taken], h[taken], None))
+            yield pd.DataFrame(rows, columns=["bins", "g", "h", "ndcg"])
+
+    schema = "bins array<int>, g array<double>, h array<double>, ndcg double"
+    return materialize(packed.mapInPandas(grade, schema), "gradients")
+
+
+def _histograms(graded: DataFrame, tree: Tree, nodes: list[int], p: LtrParams) -> pd.DataFrame:
+    """Sums (node, feature, bin, g, h, n) for the given leaves of the tree being grown."""
+    width = len(FEATURES)
+    wanted = np.array(sorted(nodes))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        size = p.max_bin + 1
+        for batch in batches:
+            # All lists of a batch at once: the sums do not depend on the list.
+            x = np.concatenate([np.asarray(b, dtype=np.int64) for b in batch["bins"]] or [[]])
+            x = x.astype(np.int64).reshape(-1, width)
+            g, h = (np.concatenate([np.asarray(v, float) for v in batch[c]] or [[]]) for c in "gh")
+            leaf = tree.leaf_of(x)
+            for node in wanted:
+                rows = np.nonzero(leaf == node)[0]
+                if not len(rows):
+                    continue
+                table = sums.setdefault(int(node), np.zeros((3, width * size)))
+                cell = (x[rows] + np.arange(width) * size).ravel()
+                for i, weight in enumerate((g[rows], h[rows], np.ones(len(rows)))):
+                    table[i] += np.bincount(cell, np.repeat(weight, width), width * size)
         for node, table in sums.items():
             cell = np.nonzero(table[2])[0]
             yield pd.DataFrame(
@@ -195,28 +216,36 @@ def _histograms(
                     "n": table[2][cell],
                 }
             )
-        if judged:
-            yield pd.DataFrame(
-                {
-                    "node": [METRIC_NODE],
-                    "feature": [0],
-                    "bin": [0],
-                    "g": [ndcg],
-                    "h": [0.0],
-                    "n": [float(judged)],
-                }
-            )
 
     schema = "node int, feature int, bin int, g double, h double, n double"
-    columns = packed if first_pass else packed.filter(F.col("split") == "train")
     return (
-        columns.mapInPandas(scan, schema)
+        graded.filter(F.col("ndcg").isNull())
+        .mapInPandas(scan, schema)
         .groupBy("node", "feature", "bin")
         .agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
         .toPandas()
     )
 
 
+def first_gradients(packed: DataFrame, truncation: int = 30) -> DataFrame:
+    """query_id, doc_id, label, grad, hess of the first round, in which all scores are equal."""
+    kinds = packed.schema["query_id"].dataType, packed.schema["doc_ids"].dataType.elementType
+    schema = "query_id {}, doc_id {}, label int, grad double, hess double".format(
+        *(k.simpleString() for k in kinds)
+    )
+
+    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for query_id, docs, labels in zip(batch["query_id"], batch["doc_ids"], batch["labels"]):
+                y = np.asarray(labels, dtype=np.float64)
+                g, h = lambda_gradients(y, np.zeros(len(y)), truncation)
+                yield pd.DataFrame(
+                    {"query_id": query_id, "doc_id": list(docs), "label": labels, "grad": g, "hess": h}
+                )
+
+    return packed.mapInPandas(grade, schema)
+
+
 def _output(g, h, p: LtrParams, low: float, high: float):
     return np.clip(g / (h + p.reg_lambda), low, high)
 
@@ -279,18 +308,17 @@ def _grow(packed: DataFrame, pending: list[Tree], t: int, p: LtrParams):
     rng = np.random.default_rng([p.seed, t])
     n_features = max(1, round(p.colsample * len(FEATURES)))
     allowed = sorted(rng.choice(len(FEATURES), n_features, replace=False).tolist())
-    tree, metric = Tree(), None
+    tree = Tree()
+    graded = _graded(packed, pending, t, p)
+    metric = graded.agg(F.avg("ndcg")).first()[0]
 
-    def measure(leaves: list[_Leaf]) -> pd.DataFrame:
-        sums = _histograms(packed, pending, tree, [x.node for x in leaves], t, p)
+    def measure(leaves: list[_Leaf]) -> None:
+        sums = _histograms(graded, tree, [x.node for x in leaves], p)
         for leaf in leaves:
             leaf.split = _best_split(sums[sums["node"] == leaf.node], leaf, allowed, p)
-        return sums
 
     root = _Leaf(0)
-    judged = measure([root]).query(f"node == {METRIC_NODE}")
-    if len(judged):
-        metric = float(judged["g"].iloc[0] / judged["n"].iloc[0])
+    measure([root])
     frontier, children, chosen = [root], {}, set()
     while len(frontier) < p.num_leaves:
         splittable = sorted((x for x in frontier if x.split), key=lambda x: -x.split[0])
@@ -385,8 +413,7 @@ def train(rows: DataFrame, params: LtrParams = LtrParams()) -> Forest:
 
 def _validation_metric(packed: DataFrame, pending: list[Tree], p: LtrParams) -> float | None:
     held = packed.filter(F.col("split") == "validation")
-    sums = _histograms(held, pending, Tree(), [], 0, p)
-    return float(sums["g"].iloc[0] / sums["n"].iloc[0]) if len(sums) else None
+    return _graded(held, pending, 0, p).agg(F.avg("ndcg")).first()[0]
 
 
 def rank(rows: DataFrame, forest: Forest, k: int = 10) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import explode_terms, tokens
 from rankloom.runtime import QuerySet, by_document, hinted, materialize
 
-TERM_BUCKETS = 256
+TERM_BUCKETS = 64
 # A term with more postings than this share of the corpus is split over several tasks.
 HOT_TERM_PARTS = 20_000
 HOT_TERM_ROWS = 1_000_000
@@ -101,8 +101,10 @@ class TextIndex:
 
     def write(self, path: str) -> None:
         """Store the index. Postings are laid out by term bucket, so a query batch reads only
-        the buckets of its own terms; a frequent term is spread over several files."""
-        spread = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+        the buckets of its own terms. The files of a bucket grow in number with the counted
+        postings, and a frequent term is spread over all of them."""
+        rows = self.terms.agg(F.sum("df")).first()[0] or 0
+        spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 + rows // (TERM_BUCKETS * HOT_TERM_ROWS)))
         (
             self.postings()
             .withColumn("term_bucket", _bucket(F.col("term")))

@@ -367,6 +367,31 @@ response_items AS (
   FROM answers a LEFT JOIN documents d ON d.doc_id = a.doc_id)"""
 )
 
+# First-round gradients: all scores are equal, so a list is in the order of its ids.
+LAMBDAS = r"""
+listed AS (
+  SELECT query_id, doc_id, coalesce(rel, 0) AS label, pow(2.0, coalesce(rel, 0)) - 1 AS gain,
+         row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS place
+  FROM feats LEFT JOIN qrels USING (query_id, doc_id)),
+best AS (
+  SELECT query_id, sum(CASE WHEN r <= 30 THEN gain / log2(r + 1) ELSE 0 END) AS ideal
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS r FROM listed) GROUP BY 1),
+mates AS (
+  SELECT a.query_id, a.doc_id AS a, b.doc_id AS b, CASE WHEN a.label > b.label THEN 1 ELSE -1 END AS sign,
+         abs(a.gain - b.gain) * abs(1 / log2(a.place + 1) - 1 / log2(b.place + 1)) / ideal AS worth
+  FROM listed a JOIN listed b ON b.query_id = a.query_id AND b.place > a.place AND b.label <> a.label
+       JOIN best ON best.query_id = a.query_id
+  WHERE a.place <= 30 AND ideal > 0),
+pushes AS (
+  SELECT query_id, a AS doc_id, sign * 0.5 * worth AS g, 0.25 * worth AS h FROM mates
+  UNION ALL SELECT query_id, b, -sign * 0.5 * worth, 0.25 * worth FROM mates),
+totals AS (SELECT query_id, sum(worth) AS t FROM mates GROUP BY 1),
+lambdas AS (
+  SELECT l.query_id, l.doc_id, l.label, coalesce(sum(p.g), 0) * coalesce(any_value(log2(1 + t) / t), 1) AS grad,
+         coalesce(sum(p.h), 0) * coalesce(any_value(log2(1 + t) / t), 1) AS hess
+  FROM listed l LEFT JOIN pushes p ON p.query_id = l.query_id AND p.doc_id = l.doc_id
+       LEFT JOIN totals t ON t.query_id = l.query_id GROUP BY 1, 2, 3)"""
+
 LOG = r"""
 log AS (
   SELECT event_id, ts AS time, event_type AS method, '/' || event_type AS path,
@@ -582,6 +607,32 @@ FROM cases LEFT JOIN (SELECT * FROM rankings WHERE rank <= 5) USING (query_id) G
             "cases AS (SELECT * FROM changed ORDER BY round(abs(diff), 9) DESC, query_id LIMIT 6)",
         )
         + "SELECT query_id, doc_id, rel FROM qrels WHERE query_id IN (SELECT query_id FROM cases)",
+        "csv_round_trip": r"""WITH d AS (
+  SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x1c-\x1f]+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, replace(CASE WHEN length(t) <= 80 THEN t ELSE substring(t, 1, 79) || '…' END, 'e', '"') AS text FROM d""",
+        "sample_round_trip": _with(JUDGMENTS, GRADED, CATALOG)
+        + """SELECT example_id, query, product_id, relevance_score, product_text FROM graded JOIN catalog USING (product_id)
+WHERE length(product_text) > 0""",
+        "preview_rows": _with(JUDGMENTS)
+        + "SELECT example_id, query, product_id, product_locale, esci_label FROM judgments ORDER BY example_id LIMIT 100",
+        "shuffled_rows": _with(JUDGMENTS)
+        + "SELECT example_id, row_number() OVER (ORDER BY md5(concat('42|', example_id)), example_id) AS position FROM judgments",
+        "resumed_vectors": _with(letter_vectors("v", "documents", "doc_id"))
+        + "SELECT doc_id, round(vec[5], 6) AS e_share FROM v",
+        "arrow_encoder": _with(
+            letter_vectors("v", "(SELECT item_id AS query_id, text FROM benchmark)", "query_id")
+        )
+        + "SELECT query_id, round(vec[5], 6) AS e_share FROM v",
+        "arrow_pair_scores": _with(SHOP, bm25_scores(), dense_scores(), pool(), pair_scored())
+        + "SELECT query_id, doc_id, round(score, 6) AS ce_score FROM scored",
+        "forest_scores": _with(FEATURED)
+        + """SELECT query_id, doc_id, round(CASE WHEN ce_score <= 0.25 THEN -0.5 WHEN title_overlap_count <= 1 THEN 0.25 ELSE 0.75 END
+       + CASE WHEN hybrid_rank <= 10 THEN 0.125 ELSE -0.125 END, 6)::DOUBLE AS ltr_score FROM feats""",
+        "ltr_lambdas": _with(FEATURED, LAMBDAS)
+        + "SELECT query_id, doc_id, round(grad, 6) AS grad, round(hess, 6) AS hess FROM lambdas",
+        "ltr_root_sums": _with(FEATURED, LAMBDAS)
+        + """SELECT label, title_overlap_count, round(sum(grad), 4) AS grad, round(sum(hess), 4) AS hess, count(*) AS n
+FROM lambdas JOIN feats USING (query_id, doc_id) GROUP BY 1, 2""",
         "request_validation": _with(VALIDATED)
         + "SELECT request_id, query, method, top_k, round(alpha, 6) AS alpha, beta, candidate_depth, error FROM validated",
         "search_batch": _with(SEARCHED)
@@ -623,6 +674,7 @@ FROM log GROUP BY 1, 2""",
         """SELECT CAST(alpha AS DOUBLE) AS alpha, CAST(beta AS DOUBLE) AS beta, round(ndcg, 6) AS ndcg
 FROM means JOIN grid USING (method) ORDER BY round(ndcg, 9) DESC, method LIMIT 1"""
     )
+    sql["report_round_trip"] = sql["latency_stats"]
     sql["stream_requests"] = sql["search_batch"]
     sql["stream_latency"] = sql["windowed_latency"]
     return sql

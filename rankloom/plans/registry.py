@@ -13,16 +13,17 @@ from rankloom.functions.vectors import letter_vector
 from rankloom.operators import bm25, compare, dense, hybrid, ltr, metrics, monitor, prepare
 from rankloom.operators import rerank as reranking
 from rankloom.operators import sampling, search, tfidf
-from rankloom.operators.forest import importance
+from rankloom.operators.forest import Forest, Tree, importance, score_rows
 from rankloom.operators.ranking import result_rows
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
 from rankloom.plans import inputs
 from rankloom.plans.inputs import Shop
 from rankloom.runtime import QuerySet, fresh_dir, materialize
-from rankloom.sources import reports
+from rankloom.sources import reports, tables
+from rankloom.sources.models import load_forest, save_forest
 from rankloom.sources.scores import ScoreStore
-from rankloom.sources.vectors import id_differences
+from rankloom.sources.vectors import ensure_vectors, id_differences
 from rankloom.streaming.monitor import windowed
 from rankloom.streaming.requests import serve
 
@@ -443,6 +444,149 @@ def known_judgments(spark, sf_dir):
     return compare.known_judgments(cases, shop.qrels)
 
 
+# --- stored tables and models ------------------------------------------------------------
+
+
+@registered
+def csv_round_trip(spark, sf_dir):
+    """Result rows written as CSV with quoted texts and read back with a schema."""
+    docs = inputs.documents(spark, sf_dir)
+    rows = docs.select("doc_id", F.regexp_replace(preview(F.col("text"), 80), "e", '"').alias("text"))
+    path = fresh_dir(spark, "csv")
+    tables.write_results(rows, path)
+    return tables.read_csv(spark, path, rows.schema, "results")
+
+
+@registered
+def sample_round_trip(spark, sf_dir):
+    """The graded sample, stored and read with its column check."""
+    graded = prepare.grade(inputs.judgments(spark, sf_dir))
+    joined = prepare.join_catalog(graded, inputs.catalog(spark, sf_dir))
+    rows = prepare.drop_empty_text(prepare.add_product_text(joined))
+    path = fresh_dir(spark, "sample-table")
+    tables.write_sample(rows.select(*SAMPLE_COLUMNS, "product_text"), path)
+    return tables.read_sample(spark, path)
+
+
+@registered
+def preview_rows(spark, sf_dir):
+    path = fresh_dir(spark, "preview")
+    rows = inputs.judgments(spark, sf_dir).select(*JUDGMENT_COLUMNS)
+    tables.write_preview(rows, path, "example_id", 100)
+    return tables.read_csv(spark, path, rows.schema, "preview")
+
+
+@registered
+def report_round_trip(spark, sf_dir):
+    """The latency report as JSON lines."""
+    stats = latency_stats(spark, sf_dir)
+    path = fresh_dir(spark, "report")
+    tables.write_report(stats, path)
+    return spark.read.schema(stats.schema).json(path)
+
+
+@registered
+def shuffled_rows(spark, sf_dir):
+    """The judgments in seeded random order, written in that order and read with their place."""
+    rows = sampling.shuffled(inputs.judgments(spark, sf_dir), "example_id")
+    path = fresh_dir(spark, "shuffled")
+    rows.select("example_id").write.parquet(path)
+    return sampling.with_position(spark.read.parquet(path), "example_id")
+
+
+@registered
+def resumed_vectors(spark, sf_dir):
+    """Half of the documents are encoded first; the second call encodes only the others."""
+    docs = inputs.documents(spark, sf_dir)
+    path = fresh_dir(spark, "stored-vectors")
+    half = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    ensure_vectors(spark, half, path, letter_vector)
+    vectors = ensure_vectors(spark, docs, path, letter_vector)
+    return vectors.select("doc_id", F.round(F.get("vec", F.lit(4)), 6).alias("e_share"))
+
+
+def _letter_counts():
+    """An encoder as a model would be wrapped: loaded once per worker, fed with text batches."""
+    import numpy as np
+
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+
+    def encode(texts):
+        return np.array([[t.lower().count(c) for c in letters] for t in texts], dtype=np.float32)
+
+    return encode
+
+
+@registered
+def arrow_encoder(spark, sf_dir):
+    """Query texts through a wrapped encoder in Arrow batches."""
+    encoder = dense.encoder_udf(_letter_counts)
+    asked = dense.encode_texts(inputs.text_queries(spark, sf_dir).df, encoder)
+    return asked.select("query_id", F.round(F.get("vec", F.lit(4)), 6).alias("e_share"))
+
+
+def _overlap():
+    import numpy as np
+
+    def score(left, right):
+        out = []
+        for a, b in zip(left, right):
+            a, b = set(a.lower().split()), set(b.lower().split())
+            out.append(len(a & b) / (len(a) * len(b)) ** 0.5 if a and b else 0.0)
+        return np.array(out)
+
+    return score
+
+
+@registered
+def arrow_pair_scores(spark, sf_dir):
+    """Candidate pairs through a wrapped pair model in Arrow batches."""
+    shop = Shop(spark, sf_dir)
+    top = hybrid.fuse(shop.pool(), 0.4, 0.6, inputs.DEPTH)
+    small = shop.queries.rows_fit(inputs.DEPTH, 128)
+    pairs = reranking.text_pairs(
+        top, shop.queries.texts, shop.corpus, None, small, shop.queries.texts_fit
+    )
+    scored = reranking.score_pairs(pairs, reranking.model_scorer(_overlap))
+    return scored.select("query_id", "doc_id", *r6("ce_score"))
+
+
+@registered
+def forest_scores(spark, sf_dir):
+    """A stored forest of two trees applied to the features of all candidates."""
+    def place(name):
+        return ltr.FEATURES.index(name)
+
+    by_pair = Tree([place("ce_score"), -1, place("title_overlap_count"), -1, -1], [0.25, 0, 1.0, 0, 0],
+                   [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0, -0.5, 0, 0.25, 0.75], [2.0, 0, 1.0, 0, 0])
+    by_rank = Tree([place("hybrid_rank"), -1, -1], [10.0, 0, 0], [1, -1, -1], [2, -1, -1], [0, 0.125, -0.125], [1.0, 0, 0])
+    path = fresh_dir(spark, "forest")
+    save_forest(spark, Forest([by_pair, by_rank]), path)
+    rows = Shop(spark, sf_dir).features()
+    return score_rows(rows, load_forest(spark, path)).select("query_id", "doc_id", *r6("ltr_score"))
+
+
+@registered
+def ltr_lambdas(spark, sf_dir):
+    """The first round's gradients, from equal scores, of every training list."""
+    rows = materialize(Shop(spark, sf_dir).training_rows(), "training")
+    edges = ltr.bin_edges(rows, 255)
+    found = ltr.first_gradients(ltr.pack(rows, edges))
+    return found.select("query_id", "doc_id", *r6("grad", "hess"))
+
+
+@registered
+def ltr_root_sums(spark, sf_dir):
+    """First-round gradients summed per label and per value of a whole-number feature."""
+    rows = materialize(Shop(spark, sf_dir).training_rows(), "training")
+    found = ltr.first_gradients(ltr.pack(rows, ltr.bin_edges(rows, 255)))
+    joined = found.join(rows.select("query_id", "doc_id", "title_overlap_count"), ["query_id", "doc_id"])
+    sums = joined.groupBy("label", "title_overlap_count").agg(
+        F.sum("grad").alias("grad"), F.sum("hess").alias("hess"), F.count(F.lit(1)).alias("n")
+    )
+    return sums.select("label", "title_overlap_count", *(F.round(c, 4).alias(c) for c in ("grad", "hess")), "n")
+
+
 # --- requests and logs -------------------------------------------------------------------
 
 
