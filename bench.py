@@ -35,7 +35,7 @@ WARM_UP = ["label_counts", "bm25_topk", "tfidf_topk", "dense_topk", "metrics_by_
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("bench", cores=cpus)
+    spark = local_session("bench", cores=cpus, spark__rankloom__scanPartitions=cpus)
     small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(small):  # compile the code paths on the smallest tables first
         for name in WARM_UP:

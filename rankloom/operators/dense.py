@@ -17,9 +17,6 @@ from rankloom.functions.vectors import cosine, inner_product, unit_vector
 from rankloom.operators.ranking import top_k
 from rankloom.runtime import QuerySet, hinted
 
-# A cell of documents and a slice of queries meet in one task; both are cut by bytes.
-CELL_BYTES = 32 * 1024 * 1024
-
 
 def vector_table(df: DataFrame, id_col: str, vec_col: str, key: str = "doc_id") -> DataFrame:
     """Any id and array columns as the common (key, vec) table of unit vectors."""
@@ -87,9 +84,8 @@ def scan_best(queries: QuerySet, docs: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score: a superset of the top k of each query.
 
     Every block of vectors is multiplied with the query matrix and cut to k rows per query
-    before anything is shuffled. A query matrix too large to broadcast is cut into slices;
-    documents and queries then meet in a grid of (document cell, query slice) groups, all of
-    them of bounded size because both are cut by the hash of a unique id.
+    before anything is shuffled. A query matrix too large to broadcast is cut into slices by the
+    hash of the query id; the vectors are scanned once per slice and never move.
     """
     schema = T.StructType(
         [
@@ -101,39 +97,26 @@ def scan_best(queries: QuerySet, docs: DataFrame, k: int) -> DataFrame:
     out = to_arrow_schema(schema)
     docs = docs.select("doc_id", "vec").filter(F.col("vec").isNotNull())
     asked = queries.vectors.filter(F.col("vec").isNotNull())
-    if queries.vectors_fit:
-        shared = docs.sparkSession.sparkContext.broadcast(_block(asked.toArrow(), "query_id"))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, query_vecs = shared.value
-            for batch in batches:
-                best = _best_of_block(*_block(batch, "doc_id"), query_ids, query_vecs, k)
-                yield from _arrow_rows(best, out)
-
-        return docs.mapInArrow(scan, schema)
-
-    slices = -(-queries.vector_bytes // queries.limit)
-    cells = max(1, -(-docs.count() * 8 * queries.width // CELL_BYTES))
-
-    def numbers(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    left = docs.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)))
-    left = left.withColumn("slice", numbers(slices))
-    right = asked.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
-    right = right.withColumn("cell", numbers(cells))
-
-    def meet(docs_part: pa.Table, query_part: pa.Table) -> pa.Table:
-        found = _best_of_block(
-            *_block(docs_part, "doc_id"), *_block(query_part, "query_id"), k
-        )
-        return pa.Table.from_batches(_arrow_rows(found, out), schema=out)
-
-    return (
-        left.groupBy("cell", "slice")
-        .cogroup(right.groupBy("cell", "slice"))
-        .applyInArrow(meet, schema)
-    )
+    slices = max(1, -(-queries.vector_bytes // max(queries.limit, 1)))
+    slices = min(slices, max(1, queries.count))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+    found = None
+    for number in range(slices):
+        part = asked if slices == 1 else asked.filter(place == number)
+        shared = docs.sparkSession.sparkContext.broadcast(_block(part.toArrow(), "query_id"))
+        best = docs.mapInArrow(_scanner(shared, k, out), schema)
+        found = best if found is None else found.union(best)
+    return found
+
+
+def _scanner(shared, k: int, out: pa.Schema) -> Callable:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, query_vecs = shared.value
+        for batch in batches:
+            best = _best_of_block(*_block(batch, "doc_id"), query_ids, query_vecs, k)
+            yield from _arrow_rows(best, out)
+
+    return scan
 
 
 def retrieve(queries: QuerySet, docs: DataFrame, k: int = 10) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import token_cosine
 from rankloom.functions.vectors import letter_vector
 from rankloom.operators import bm25, dense, hybrid, prepare, sampling, tfidf
-from rankloom.operators.features import features, training_rows
+from rankloom.operators.features import FEATURES, features, training_rows
+from rankloom.operators.forest import Forest, Tree
 from rankloom.operators.ranking import as_ranking
 from rankloom.operators.rerank import reorder, score_pairs, text_pairs
 from rankloom.operators.search import SearchIndex
@@ -173,7 +174,7 @@ class Shop:
 def requests(conversations: DataFrame) -> DataFrame:
     """Every turn of every conversation as a search request; some are not valid."""
     turn = F.col("turn")
-    method = F.element_at(
+    named = F.element_at(
         F.create_map(
             *[
                 x
@@ -183,6 +184,7 @@ def requests(conversations: DataFrame) -> DataFrame:
         ),
         turn,
     )
+    method = F.when((turn == 4) & (F.col("conv_id") % 2 == 1), "ltr").otherwise(named)
     return conversations.select(
         (F.col("conv_id") * 100 + turn).alias("request_id"),
         F.col("text").alias("query"),
@@ -194,6 +196,31 @@ def requests(conversations: DataFrame) -> DataFrame:
     )
 
 
+def stand_in_forest() -> Forest:
+    """Two small trees in place of a trained ranker, for rows that SQL can follow."""
+
+    def place(name: str) -> int:
+        return FEATURES.index(name)
+
+    by_pair = Tree(
+        [place("ce_score"), -1, place("title_overlap_count"), -1, -1],
+        [0.25, 0.0, 1.0, 0.0, 0.0],
+        [1, -1, 3, -1, -1],
+        [2, -1, 4, -1, -1],
+        [0.0, -0.5, 0.0, 0.25, 0.75],
+        [2.0, 0.0, 1.0, 0.0, 0.0],
+    )
+    by_rank = Tree(
+        [place("hybrid_rank"), -1, -1],
+        [10.0, 0.0, 0.0],
+        [1, -1, -1],
+        [2, -1, -1],
+        [0.0, 0.125, -0.125],
+        [1.0, 0.0, 0.0],
+    )
+    return Forest([by_pair, by_rank])
+
+
 def _stored_text_index(goods: DataFrame) -> TextIndex:
     path = fresh_dir(goods.sparkSession, "text-index")
     TextIndex.build(goods).write(path)
@@ -227,6 +254,7 @@ def text_search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
         ),
         encode=lambda df: df.withColumn("vec", letter_vector(F.col("text"))),
         scorer=token_cosine,
+        forest=stand_in_forest(),
     )
 
 

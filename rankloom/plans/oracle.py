@@ -289,13 +289,18 @@ FEATURED = ",".join(
     [SHOP, bm25_scores(), dense_scores(), pool(), pair_scored(), FEATURE_ROWS]
 )
 
+FOREST = (
+    "(CASE WHEN ce_score <= 0.25 THEN -0.5 WHEN title_overlap_count <= 1 THEN 0.25 ELSE 0.75 END"
+    " + CASE WHEN hybrid_rank <= 10 THEN 0.125 ELSE -0.125 END)::DOUBLE"
+)
+
 STRIPPED = r"regexp_replace(coalesce(query, ''), '^\s+|\s+$', '', 'g')"
 
 VALIDATED = f"""
 requests AS (
   SELECT conv_id * 100 + turn AS request_id, text AS query,
-         CASE turn WHEN 0 THEN 'tfidf' WHEN 1 THEN 'bm25' WHEN 2 THEN 'embedding' WHEN 3 THEN 'hybrid' WHEN 4 THEN 'rerank'
-                   WHEN 5 THEN ' BM25 ' WHEN 6 THEN 'magic' END AS method,
+         CASE WHEN turn = 4 AND conv_id % 2 = 1 THEN 'ltr' ELSE CASE turn WHEN 0 THEN 'tfidf' WHEN 1 THEN 'bm25' WHEN 2 THEN 'embedding' WHEN 3 THEN 'hybrid' WHEN 4 THEN 'rerank'
+                   WHEN 5 THEN ' BM25 ' WHEN 6 THEN 'magic' END END AS method,
          CASE turn WHEN 3 THEN 20 WHEN 5 THEN 0 END AS top_k, turn * 0.2 AS alpha, NULL::DOUBLE AS beta,
          turn * 5 AS candidate_depth
   FROM conversations),
@@ -344,10 +349,18 @@ hybrid_lists AS (
   FROM asked a JOIN pool p USING (query_id) WHERE a.method = 'hybrid'),
 rerank_lists AS (
   SELECT a.request_id, a.method, s.doc_id, s.score, s.hybrid_rank, a.top_k
-  FROM asked a JOIN scored s USING (query_id) WHERE a.method = 'rerank' AND s.hybrid_rank <= a.candidate_depth),"""
+  FROM asked a JOIN scored s USING (query_id) WHERE a.method = 'rerank' AND s.hybrid_rank <= a.candidate_depth),
+ltr_rows AS (
+  SELECT a.request_id, a.method, s.doc_id, s.score AS ce_score, s.hybrid_rank, a.top_k,
+         len(list_intersect(list_distinct(""" + _tokens("a.query") + """), list_distinct(""" + _tokens("concat_ws(' ', d.lang, d.source)") + """))) AS title_overlap_count
+  FROM asked a JOIN scored s USING (query_id) JOIN documents d ON d.doc_id = s.doc_id
+  WHERE a.method = 'ltr' AND s.hybrid_rank <= a.candidate_depth),
+ltr_lists AS (SELECT *, """ + FOREST + """ AS score FROM ltr_rows),"""
     + ranked("hybrid_r", "hybrid_lists", 100, by="request_id")
     + ","
     + ranked("rerank_r", "rerank_lists", 100, by="request_id", tie="hybrid_rank")
+    + ","
+    + ranked("ltr_r", "ltr_lists", 100, by="request_id", tie="hybrid_rank")
     + r""",
 answers AS (
   SELECT a.request_id, a.method, t.doc_id, t.score, t.rank FROM asked a JOIN tfidf_top t USING (query_id)
@@ -357,7 +370,8 @@ answers AS (
   UNION ALL SELECT a.request_id, a.method, t.doc_id, t.score, t.rank FROM asked a JOIN e_top t USING (query_id)
     WHERE a.method = 'embedding' AND t.rank <= a.top_k
   UNION ALL SELECT request_id, method, doc_id, score, rank FROM hybrid_r WHERE rank <= top_k
-  UNION ALL SELECT request_id, method, doc_id, score, rank FROM rerank_r WHERE rank <= top_k),
+  UNION ALL SELECT request_id, method, doc_id, score, rank FROM rerank_r WHERE rank <= top_k
+  UNION ALL SELECT request_id, method, doc_id, score, rank FROM ltr_r WHERE rank <= top_k),
 response_items AS (
   SELECT request_id, method, rank, a.doc_id AS product_id, coalesce(concat_ws(' ', lang, source), '') AS title,
          round(score, 6) AS score,
@@ -591,6 +605,21 @@ FROM (SELECT unnest(['improved', 'unchanged', 'worsened']) AS outcome) o LEFT JO
 ORDER BY round(abs(diff), 9) DESC, query_id LIMIT 10)"""
             for o in ("improved", "worsened")
         ),
+        "largest_changes_lists": _with(
+            EVALUATED,
+            side_by_side("hybrid", "rerank"),
+            "cases AS ("
+            + " UNION ALL ".join(
+                f"""(SELECT query_id, outcome, diff FROM changed WHERE outcome = '{o}'
+ORDER BY round(abs(diff), 9) DESC, query_id LIMIT 10)"""
+                for o in ("improved", "worsened")
+            )
+            + ")",
+        )
+        + """SELECT query_id, any_value(outcome) AS outcome, round(any_value(diff), 6) AS diff,
+       string_agg(doc_id, ',' ORDER BY rank) FILTER (WHERE method = 'hybrid') AS hybrid,
+       string_agg(doc_id, ',' ORDER BY rank) FILTER (WHERE method = 'rerank') AS rerank
+FROM cases LEFT JOIN (SELECT * FROM rankings WHERE rank <= 5) USING (query_id) GROUP BY 1""",
         "stage_examples": _with(
             EVALUATED,
             side_by_side("hybrid", "rerank"),
@@ -626,8 +655,7 @@ WHERE length(product_text) > 0""",
         "arrow_pair_scores": _with(SHOP, bm25_scores(), dense_scores(), pool(), pair_scored())
         + "SELECT query_id, doc_id, round(score, 6) AS ce_score FROM scored",
         "forest_scores": _with(FEATURED)
-        + """SELECT query_id, doc_id, round(CASE WHEN ce_score <= 0.25 THEN -0.5 WHEN title_overlap_count <= 1 THEN 0.25 ELSE 0.75 END
-       + CASE WHEN hybrid_rank <= 10 THEN 0.125 ELSE -0.125 END, 6)::DOUBLE AS ltr_score FROM feats""",
+        + f"SELECT query_id, doc_id, round({FOREST}, 6) AS ltr_score FROM feats",
         "ltr_lambdas": _with(FEATURED, LAMBDAS)
         + "SELECT query_id, doc_id, round(grad, 6) AS grad, round(hess, 6) AS hess FROM lambdas",
         "ltr_root_sums": _with(FEATURED, LAMBDAS)
@@ -674,6 +702,11 @@ FROM log GROUP BY 1, 2""",
         """SELECT CAST(alpha AS DOUBLE) AS alpha, CAST(beta AS DOUBLE) AS beta, round(ndcg, 6) AS ndcg
 FROM means JOIN grid USING (method) ORDER BY round(ndcg, 9) DESC, method LIMIT 1"""
     )
+    sql["train_weights"] = (
+        sql["best_weights"]
+        .replace("\nmeans AS (", SPLITS + ",\nmeans AS (")
+        .replace("FROM per_query GROUP BY 1)", "FROM per_query JOIN splits USING (query_id) WHERE split <> 'test' GROUP BY 1)")
+    )
     sql["report_round_trip"] = sql["latency_stats"]
     sql["stream_requests"] = sql["search_batch"]
     sql["stream_latency"] = sql["windowed_latency"]

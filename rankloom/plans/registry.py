@@ -13,7 +13,7 @@ from rankloom.functions.vectors import letter_vector
 from rankloom.operators import bm25, compare, dense, hybrid, ltr, metrics, monitor, prepare
 from rankloom.operators import rerank as reranking
 from rankloom.operators import sampling, search, tfidf
-from rankloom.operators.forest import Forest, Tree, importance, score_rows
+from rankloom.operators.forest import importance, score_rows
 from rankloom.operators.ranking import result_rows
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
@@ -257,6 +257,17 @@ def weight_sweep(spark, sf_dir):
     )
 
 
+@registered
+def train_weights(spark, sf_dir):
+    """The best weights by the queries that train and validate, test queries left out."""
+    shop = Shop(spark, sf_dir)
+    names = [str(i) for i in range(len(hybrid.WEIGHT_GRID))]
+    scores = metrics.per_query(hybrid.sweep(shop.pool()), shop.queries.df, shop.qrels, names)
+    seen = shop.splits().filter(F.col("split") != "test").select("query_id")
+    means = metrics.by_method(scores.join(seen, "query_id", "left_semi"))
+    return hybrid.best_weights(means).select("alpha", "beta", *r6("ndcg"))
+
+
 @registered
 def best_weights(spark, sf_dir):
     best = hybrid.best_weights(_sweep_means(spark, sf_dir))
@@ -425,6 +436,19 @@ def largest_changes(spark, sf_dir):
     return both.select("query_id", "outcome", *r6("diff"))
 
 
+@registered
+def largest_changes_lists(spark, sf_dir):
+    """The top 5 before and after of the most improved and most worsened queries."""
+    _, rankings, scores = _evaluated(spark, sf_dir)
+    changed = compare.changes(scores, "hybrid", "rerank")
+    cases = materialize(
+        compare.largest(changed, "improved").unionByName(compare.largest(changed, "worsened")), "cases"
+    )
+    lists = compare.top_lists(cases, rankings, ["hybrid", "rerank"])
+    shown = [F.nullif(F.array_join(m, ","), F.lit("")).alias(m) for m in ("hybrid", "rerank")]
+    return lists.select("query_id", "outcome", *r6("diff"), *shown)
+
+
 @registered
 def stage_examples(spark, sf_dir):
     _, rankings, scores = _evaluated(spark, sf_dir)
@@ -554,14 +578,8 @@ def arrow_pair_scores(spark, sf_dir):
 @registered
 def forest_scores(spark, sf_dir):
     """A stored forest of two trees applied to the features of all candidates."""
-    def place(name):
-        return ltr.FEATURES.index(name)
-
-    by_pair = Tree([place("ce_score"), -1, place("title_overlap_count"), -1, -1], [0.25, 0, 1.0, 0, 0],
-                   [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0, -0.5, 0, 0.25, 0.75], [2.0, 0, 1.0, 0, 0])
-    by_rank = Tree([place("hybrid_rank"), -1, -1], [10.0, 0, 0], [1, -1, -1], [2, -1, -1], [0, 0.125, -0.125], [1.0, 0, 0])
     path = fresh_dir(spark, "forest")
-    save_forest(spark, Forest([by_pair, by_rank]), path)
+    save_forest(spark, inputs.stand_in_forest(), path)
     rows = Shop(spark, sf_dir).features()
     return score_rows(rows, load_forest(spark, path)).select("query_id", "doc_id", *r6("ltr_score"))
 
