@@ -25,9 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import binary, map_arrow, table
+from rankloom.runtime import hinted, materialize
 
 SIZE = 300
 TRAIN_DOCS = 20_000
+BROADCAST_LANGUAGES = 100_000
+BROADCAST_IDS = 1_000_000
 BITS = np.uint64(21)
 LARGEST = 0x110000
 
@@ -79,11 +82,14 @@ def train(
     train_docs: int = TRAIN_DOCS,
 ) -> dict[str, list[int]]:
     """Language → its profile, most frequent n-gram first."""
-    place = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = known.select(id_col, lang_col).withColumn("_n", F.row_number().over(place))
-    picked = ids.filter(F.col("_n") <= train_docs).select(id_col, lang_col).distinct()
-    chosen = known.join(picked, [id_col, lang_col], "left_semi").select(lang_col, text_col)
+    picked = materialize(
+        _picked(known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), train_docs),
+        "picked",
+    )
+    picked = hinted(picked, picked.count() <= BROADCAST_IDS)  # texts stay where they are
+    mine = (known[id_col] == picked["id"]) & (known[lang_col] == picked["lang"])
+    chosen = known.join(picked, mine, "left_semi").select(lang_col, text_col)
     letters = letter_table()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +124,22 @@ def train(
     return {lang: [code for _, code in sorted(found)] for lang, found in profiles.items()}
 
 
+def _picked(ids: DataFrame, most: int) -> DataFrame:
+    """The `most` documents per language with the smallest hashes.
+
+    Counts per language give a hash threshold that lets about twice as many through; only those
+    are ranked, so that a language with most of the rows is no large group.
+    """
+    counts = materialize(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    few = hinted(counts, counts.count() <= BROADCAST_LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(2.0 * most + 64) / F.col("n"))
+    hashed = ids.withColumn("h", F.xxhash64("id")).join(few, "lang")
+    near = hashed.filter(F.col("h").cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64))
+    place = Window.partitionBy("lang").orderBy("h", "id")
+    ranked_ids = near.withColumn("place", F.row_number().over(place))
+    return ranked_ids.filter(F.col("place") <= most).select("id", "lang").distinct()
+
+
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
     counts = np.bincount(where, weights=np.concatenate([n for _, n in held])) if len(codes) else []
