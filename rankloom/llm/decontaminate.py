@@ -16,15 +16,13 @@ id, never match; repeated items count by distinct id; repeated documents are jud
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import binary, map_arrow, table, words
+from rankloom.llm.common import binary, table, words
 from rankloom.runtime import materialize
 
 WINDOW = 13

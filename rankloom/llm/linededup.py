@@ -28,7 +28,6 @@ of an unknown id changes nothing; inserting a known id adds its new lines.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 

@@ -23,6 +23,7 @@ give empty tables; without entities a text is returned unchanged.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -120,21 +121,16 @@ def mentions(text: str | None) -> list[Mention]:
     taken: list[tuple[int, int]] = []
 
     def add(start: int, stop: int, kind: str) -> None:
-        if all(stop <= a or b <= start for a, b in taken):
-            taken.append((start, stop))
+        if not _overlaps(taken, start, stop):
+            bisect.insort(taken, (start, stop))
             found.append((start, stop, kind, canonical(kind, text[start:stop])))
 
     digits = any(c in text for c in "0123456789")
     for kind, pattern, trigger in PATTERNS:
         if (trigger == "@" and "@" in text) or (trigger == "digit" and digits):
-            own = [m.span() for m in pattern.finditer(text)]
-            spans = sorted(taken)
-            for start, stop in own:
-                if kind == "iban" and not valid_iban(text[start:stop]):
-                    continue
-                if not _overlaps(spans, start, stop):
-                    taken.append((start, stop))
-                    found.append((start, stop, kind, canonical(kind, text[start:stop])))
+            for start, stop in [m.span() for m in pattern.finditer(text)]:
+                if kind != "iban" or valid_iban(text[start:stop]):
+                    add(start, stop, kind)
     if NAMED.search(text):
         for m in TITLED.finditer(text):
             gender = GENDER[m[1]]
@@ -159,8 +155,6 @@ def mentions(text: str | None) -> list[Mention]:
 
 
 def _overlaps(spans: list[tuple[int, int]], start: int, stop: int) -> bool:
-    import bisect
-
     at = bisect.bisect_left(spans, (stop, -1))
     return at > 0 and spans[at - 1][1] > start
 
