@@ -239,9 +239,12 @@ def _sql() -> str:
                 for k, x in enumerate(t.words)
             )
             score = f"({same}) / {float(len(t.words))}"
+        # Words hold no blank, so the first phrase stands in `line` wherever it stands in `w`.
         return (
+            f"CASE WHEN contains(line, ' {' '.join(part)} ') THEN "
             f"list_transform(list_filter(range(len(w)), lambda i: {good}), lambda i: "
-            f"{{'label': '{t.label}', 'base': {str(t.base).lower()}, 'start': i, 'score': {score}}})"
+            f"{{'label': '{t.label}', 'base': {str(t.base).lower()}, 'start': i, 'score': {score}}}) "
+            "ELSE [] END"
         )
 
     every = ",\n        ".join(places(t) for t in templates())
@@ -254,7 +257,7 @@ WITH doc AS (
 place AS (
     SELECT doc_id, len(w) AS n_words, flatten([
         {every}]) AS p
-    FROM doc),
+    FROM (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM doc)),
 part AS (SELECT *, list_filter(p, lambda x: x.base) AS b FROM place)
 SELECT doc_id, n_words::BIGINT AS n_words, len(b)::BIGINT AS n_base,
     list_min(list_transform(b, lambda x: x.start))::BIGINT AS first_word,
