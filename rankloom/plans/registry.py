@@ -343,20 +343,17 @@ def ltr_training_rows(spark, sf_dir):
     return rows.select("query_id", "doc_id", *r6(*ltr.FEATURES), "label", "split")
 
 
-SMALL_FOREST = ltr.LtrParams(n_estimators=8, learning_rate=0.1, max_bin=255)
-
-
 @registered
 def ltr_topk(spark, sf_dir):
     rows = materialize(Shop(spark, sf_dir).training_rows(), "training")
-    forest = ltr.train(rows, SMALL_FOREST)
+    forest = ltr.train(rows, ltr.LtrParams())
     return ranked(ltr.rank(rows.filter(F.col("split") == "test"), forest))
 
 
 @registered
 def ltr_importance(spark, sf_dir):
     rows = materialize(Shop(spark, sf_dir).training_rows(), "training")
-    return importance(ltr.train(rows, SMALL_FOREST).table(spark)).select("feature", *r6("gain"))
+    return importance(ltr.train(rows, ltr.LtrParams()).table(spark)).select("feature", *r6("gain"))
 
 
 # --- evaluation --------------------------------------------------------------------------
