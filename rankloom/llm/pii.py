@@ -8,6 +8,12 @@ country and a valid checksum, phones their country code, addresses their family,
 gender and script: given names are permuted inside their gender and script, surnames are built
 from syllables of their script.
 
+Bounds of detection: phones need a country code, a trunk 0 or one of the grouped national forms;
+a number right behind a phone may be taken into it. Shortened IPv6 addresses need five hex digits
+(::1 stays) and are not unified with their long form; those with an embedded IPv4 part are not found
+as one address. Names are found only after a title of TITLES or as a name of GIVEN with a surname;
+other given names, surnames alone and other scripts are not found.
+
 A surrogate is a keyed hash of the canonical form and an attempt number. Collision checks: two
 entities that would share one, and an entity whose surrogate is a real entity of the corpus, are
 found by grouping and joining the entity table; the smallest entity keeps it, the others try
@@ -74,18 +80,31 @@ KNOWN = {n: (script, g) for (script, g), names in GIVEN.items() for n in names}
 
 CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яα-ω]"
 NAME = rf"{CAPITAL}[^\W\d_]+(?:-{CAPITAL}[^\W\d_]+)?"
+HEX_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
+# International numbers (without and with an area code in brackets) and trunk numbers that are no
+# dates; their groups may have any width, 8 to 15 digits in total.
+PHONES = "|".join(
+    (
+        r"(?<![\w.])\+\d(?:[ ./-]?\d){7,14}(?!\w)",
+        r"(?<![\w.])\+\d{1,3}[ ./-]?\(\d{1,4}\)(?:[ ./-]?\d){6,10}(?!\w)",
+        r"(?<![\w.+/:-])(?!\d\d([./-])\d\d\1\d\d(?:\d\d)?(?!\d|\1\d))(?=0\d{1,4}[ ./-]\d)00?[1-9](?:[ ./-]?\d){6,13}(?!\w)",
+        r"(?<![\w.])\(0[1-9]\d{0,3}\)(?:[ ./-]?\d){6,10}(?!\w)",
+    )
+)
+KEPT = re.compile(r"\+\d{1,3}(?=[ .(/-])|\+\d|\(?00?[1-9]")
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.U), "@"),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?\b"), "digit"),
     ("mac", re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b"), "digit"),
     ("ipv6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"), "digit"),
+    ("ipv6", re.compile(rf"(?<![\w:])(?=[0-9A-Fa-f:]*\d)(?=(?::*[0-9A-Fa-f]){{5}})(?:{HEX_GROUPS})?::(?:{HEX_GROUPS})?(?![\w:])"), "digit"),
     ("secret", re.compile(r"\b(?=[0-9A-Za-z]*\d)(?=[0-9A-Za-z]*[A-Za-z])[0-9A-Za-z]{32,}\b"), "digit"),
-    ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), "digit"),
+    ("card", re.compile(r"(?<![\w.-])(?!(?:(?<=\+)|(?=00[1-9]\d{0,2}[ -]))\d(?:[ -]?\d){12,14}(?![ -]?\d))\d(?:[ -]?\d){12,18}(?![\w-])"), "digit"),
     ("ipv4", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"), "digit"),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), "digit"),
     (
         "phone",
-        re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]?\d{2,4}(?:[ .-]?\d{2})?(?![\w-])|(?<![\w.])\+\d{9,14}(?!\w)"),
+        re.compile(PHONES + r"|(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]?\d{2,4}(?:[ .-]?\d{2})?(?![\w-])|(?<![\w.])\+\d{9,14}(?!\w)"),
         "digit",
     ),
 )
@@ -234,6 +253,8 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
         octets = form.split(".")
         keep = 1 if octets[0] in ("10", "127") else 2 if form.startswith(("192.168.", "172.16.")) else 0
         return ".".join([*octets[:keep], *(str(1 + rng.below(254)) for _ in octets[keep:])])
+    if kind == "ipv6" and "::" in form:  # digits stay digits, so that it still reads as an address
+        return "".join("abcdef"[rng.below(6)] if c.isalpha() else rng.like(c) for c in form)
     if kind in ("ipv6", "mac"):
         return "".join("0123456789abcdef"[rng.below(16)] if c != ":" else c for c in form)
     if kind == "secret":
@@ -255,7 +276,7 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
 def dressed(kind: str, mention: str, made: str) -> str:
     """The surrogate's canonical form in the format of the mention."""
     if kind in ("card", "phone", "ssn"):
-        stay = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", mention) if kind == "phone" else None
+        stay = KEPT.match(mention) if kind == "phone" else None
         head = mention[: stay.end()] if stay else ""
         rest = iter(made[sum(c.isdigit() for c in head) :])
         return head + "".join(next(rest) if c.isdigit() else c for c in mention[len(head) :])
@@ -315,7 +336,7 @@ def detected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def kept_digits(kind: str, mention: str) -> int:
     if kind != "phone":
         return 0
-    stay = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", mention)
+    stay = KEPT.match(mention)
     return sum(c.isdigit() for c in stay[0]) if stay else 0
 
 
