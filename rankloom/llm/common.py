@@ -65,6 +65,22 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that differ from all `columns`, whatever their case."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def blank_free(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

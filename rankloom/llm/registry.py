@@ -5,6 +5,7 @@ from __future__ import annotations
 from rankloom.llm import (
     decontaminate,
     edits,
+    fim,
     langid,
     licenses,
     linededup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op4_warc": warc.OP4_SQL,
     "op5_licenses": licenses.OP5_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }
