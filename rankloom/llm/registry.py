@@ -5,6 +5,7 @@ from __future__ import annotations
 from rankloom.llm import (
     decontaminate,
     edits,
+    filteraudit,
     fim,
     langid,
     licenses,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
+    "op11_filter_audit": filteraudit.op11_filter_audit,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
@@ -35,5 +37,6 @@ ORACLE_SQL = {
     "op4_warc": warc.OP4_SQL,
     "op5_licenses": licenses.OP5_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op11_filter_audit": filteraudit.OP11_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
 }
