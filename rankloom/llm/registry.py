@@ -13,6 +13,7 @@ from rankloom.llm import (
     packing,
     pii,
     quality,
+    secretscan,
     simhash,
     warc,
 )
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
     "op11_filter_audit": filteraudit.op11_filter_audit,
+    "op12_secrets": secretscan.op12_secrets,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
@@ -38,5 +40,6 @@ ORACLE_SQL = {
     "op5_licenses": licenses.OP5_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op11_filter_audit": filteraudit.OP11_SQL,
+    "op12_secrets": secretscan.OP12_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
 }
