@@ -3,8 +3,10 @@
 Every file of a table is one item of an available-now stream. A micro-batch turns each text into a
 hash and a mask of the filters that it fails by itself, looks up its labels and sums equal rows
 of a task before anything is dealt by text. State keyed by text holds the smallest id seen and
-the rows that have it. When a smaller id arrives, the rows of the earlier one become copies: their
-mask is taken back from the part counters and counted again with the copy filter's bit. What a
+the rows that have it; the texts of one range of hashes are kept and updated together, because a
+call per text costs a hundred times its work. When a smaller id arrives, the rows of the earlier
+one become copies: their mask is taken back from the part counters and counted again with the
+copy filter's bit. What a
 micro-batch changes is summed and written as one small file per batch (a batch that runs again
 replaces its own file), so the counters are the sum of these files after every batch, and new
 files of the table cost only their own rows.
@@ -15,8 +17,9 @@ combinations, whatever the number of documents.
 Scale. Texts are read once and never moved. Two exchanges of short rows per batch: by id for the
 labels (null ids are dealt out evenly) and by text for the state. A text that a third of all
 documents share is at most one row per part, label combination and `FOLD` rows of a task when it
-reaches the state. The state lives in RocksDB, on the executors' disks with its changes in the
-shared folder, so it may outgrow memory and a lost executor loses nothing.
+reaches the state. The number of hash ranges follows from the counted rows of the first run, so
+that one holds about `RANGE_ROWS` texts. The state lives in RocksDB, on the executors' disks with
+its changes in the shared folder, so it may outgrow memory and a lost executor loses nothing.
 
 Defined results: a null text is an empty text; a null part is the empty string; a document has
 quality or toxic if any of its label rows says 1; a row without an id fails no copy filter and
@@ -30,13 +33,13 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import json
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -52,7 +55,9 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 MIN_WORDS = 200
 BATCHES = 4
 FOLD = 100_000
+RANGE_ROWS = 20_000
 
+WHO = ["part", "mask", "good", "toxic"]
 COUNTERS = "part string, mask int, good boolean, toxic boolean, n long"
 STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -76,16 +81,20 @@ def own_mask(text: bytes) -> int:
     )
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
-    """id, part, key, mask, salt: what the audit needs of a document. Rows without an id get a
-    salt, which no label row has, that spreads them over the tasks."""
+def digests(
+    docs: DataFrame, ranges: int, id_col: str, text_col: str, part_col: str
+) -> DataFrame:
+    """id, part, key, range, mask, salt: what the audit needs of a document. Rows without an id
+    get a salt, which no label row has, that spreads them over the tasks."""
 
     def step(batch: pa.RecordBatch) -> dict[str, object]:
         texts = [t or b"" for t in binary(batch.column(1))]
+        keys = [hashlib.sha256(t).digest() for t in texts]
         return {
             "id": batch.column(0),
             "part": batch.column(2),
-            "key": [hashlib.sha256(t).digest() for t in texts],
+            "key": keys,
+            "range": [int.from_bytes(k[:4]) % ranges for k in keys],
             "mask": [own_mask(t) for t in texts],
             "salt": [0 if ok else 1 + row for row, ok in enumerate(batch.column(0).is_valid().to_pylist())],
         }
@@ -96,7 +105,9 @@ def digests(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataF
         F.col(quoted(text_col)).alias("text"),
         blank_free(F.col(quoted(part_col)).cast("string")).alias("part"),
     )
-    return map_arrow(chosen, step, f"id {kind}, part string, key binary, mask int, salt int")
+    return map_arrow(
+        chosen, step, f"id {kind}, part string, key binary, range int, mask int, salt int"
+    )
 
 
 def label_flags(labels: DataFrame, id_col: str) -> DataFrame:
@@ -114,7 +125,7 @@ def label_flags(labels: DataFrame, id_col: str) -> DataFrame:
 def folded(rows: DataFrame, id_type: str) -> DataFrame:
     """Rows of a task with the same text, part and labels as one: n of them, the smallest id and
     how many have it. Rows without an id are kept apart."""
-    by = ["key", "mask", "part", "good", "toxic", "known"]
+    by = ["range", "key", *WHO, "known"]
 
     def sums(found: list[pa.RecordBatch]) -> pa.RecordBatch:
         frame = pa.Table.from_batches(found).to_pandas()
@@ -137,55 +148,55 @@ def folded(rows: DataFrame, id_type: str) -> DataFrame:
             yield sums(held)
 
     filled = rows.select(
-        "key", "mask", "part", "good", "toxic",
+        "range", "key", *WHO,
         F.col("id").isNotNull().alias("known"),
         F.coalesce("id", F.lit("0").cast(id_type)).alias("id"),
     )
     return filled.mapInArrow(
         run,
-        "key binary, mask int, part string, good boolean, toxic boolean, known boolean, "
+        "range int, key binary, part string, mask int, good boolean, toxic boolean, known boolean, "
         f"n long, id {id_type}, n_id long",
     )
 
 
-def retracted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counter changes by the new rows of one text; its state is the smallest id and, as JSON,
-    the rows that have it: [[part, good, toxic, n], ...]."""
-    least, holders = (None, {})
-    if state.exists:
-        least, kept = state.get
-        holders = {(p, g, t): n for p, g, t, n in json.loads(kept)}
-    was, mask, change = least, 0, {}
-
-    def count(who: dict[tuple, int], bits: int, sign: int) -> None:
-        for (part, good, toxic), n in who.items():
-            place = (part, bits, good, toxic)
-            change[place] = change.get(place, 0) + sign * n
-
-    new = {}
-    for frame in frames:
-        for _, mask, part, good, toxic, known, n, doc_id, n_id in frame.itertuples(index=False):
-            mask, who = int(mask), (part, bool(good), bool(toxic))
-            if not known:
-                count({who: int(n)}, mask, 1)
-                continue
-            count({who: int(n)}, mask | COPY, 1)
-            if least is None or doc_id < least:
-                least, new = doc_id, {}
-            if doc_id == least:
-                new[who] = new.get(who, 0) + int(n_id)
-    if least is not None and least != was:  # a smaller id: its rows replace the earlier ones
-        count(holders, mask, -1)
-        count(holders, mask | COPY, 1)
-        holders = {}
-    count(new, mask, 1)
-    count(new, mask | COPY, -1)
-    if new:
-        for who, n in new.items():
-            holders[who] = holders.get(who, 0) + n
-        state.update((least, json.dumps([[*who, n] for who, n in holders.items()])))
-    rows = [(*place, n) for place, n in change.items() if n]
-    yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
+def retracted(
+    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """Counter changes by the new rows of one range of texts.
+
+    The state is an Arrow table with key, id, part, mask, good, toxic, n: the smallest id of every
+    text and how many rows have it, by part and labels."""
+    new = pd.concat(list(frames), ignore_index=True)
+    held = pa.ipc.open_stream(bytes(state.get[0])).read_pandas() if state.exists else None
+    changes = [counted(new[~new["known"]], 0, 1, "n"), counted(new[new["known"]], COPY, 1, "n")]
+    new = new[new["known"]]
+    least = new.groupby("key")["id"].min()
+    if held is not None:
+        older = held.groupby("key")["id"].min()
+        older = older.loc[older.index.intersection(least.index)]
+        lower = older.index[least.loc[older.index].to_numpy() < older.to_numpy()]
+        beaten = held["key"].isin(lower)
+        changes += [counted(held[beaten], 0, -1, "n"), counted(held[beaten], COPY, 1, "n")]
+        held = held[~beaten]
+        least = pd.concat([least, older]).groupby(level=0).min()
+    first = new[new["id"] == new["key"].map(least)]
+    changes += [counted(first, 0, 1, "n_id"), counted(first, COPY, -1, "n_id")]
+    if len(first):
+        first = first[["key", "id", *WHO, "n_id"]].rename(columns={"n_id": "n"})
+        both = first if held is None else pd.concat([held, first], ignore_index=True)
+        kept = both.groupby(["key", "id", *WHO], as_index=False, sort=False)["n"].sum()
+        table = pa.Table.from_pandas(kept, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+    summed = pd.concat(changes).groupby(WHO, as_index=False)["n"].sum()
+    yield summed[summed["n"] != 0].astype({"mask": "int32"})
+
+
+def counted(rows: pd.DataFrame, bits: int, sign: int, n: str) -> pd.DataFrame:
+    """part, mask, good, toxic, n: `rows` with `bits` added to their mask, as counter changes."""
+    return rows[WHO].assign(mask=rows["mask"] | bits, n=sign * rows[n])
 
 
 @contextmanager
@@ -229,21 +240,16 @@ class FilterAudit:
         source = self.spark.readStream.schema(known.schema).option("maxFilesPerTrigger", files)
         # The last letter as a pattern, because a stream takes a folder or a pattern but no file.
         docs = source.parquet(f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else path)
-        marked = digests(docs, id_col, text_col, part_col)
+        marked = digests(docs, self._ranges(known), id_col, text_col, part_col)
         same_id = (marked["id"] == flags["label_id"]) & (marked["salt"] == flags["label_salt"])
         rows = marked.join(flags, same_id, "left").withColumns(
             {c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")}
         )
         changes = (
             folded(rows, id_type)
-            .select("key", "mask", "part", "good", "toxic", "known", "n", "id", "n_id")
-            .groupBy("key")
+            .groupBy("range")
             .applyInPandasWithState(
-                retracted,
-                COUNTERS,
-                f"least {id_type}, holders string",
-                "append",
-                GroupStateTimeout.NoTimeout,
+                retracted, COUNTERS, "texts binary", "append", GroupStateTimeout.NoTimeout
             )
         )
         with settings(self.spark, STREAM_SETTINGS):
@@ -252,6 +258,18 @@ class FilterAudit:
             ).start().awaitTermination()
         return self
 
+    def _ranges(self, known: DataFrame) -> int:
+        """The number of hash ranges, chosen by the first run that finds rows and kept."""
+        place = f"{self.folder}/ranges"
+        try:
+            return self.spark.read.parquet(place).first()["ranges"]
+        except AnalysisException:
+            pass
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(4 * partitions, known.count() // RANGE_ROWS)
+        self.spark.range(1).select(F.lit(ranges).alias("ranges")).write.parquet(place)
+        return ranges
+
     def _add(self, changes: DataFrame, batch: int) -> None:
         summed = changes.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
         summed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counters/batch={batch}")

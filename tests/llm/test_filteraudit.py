@@ -132,27 +132,27 @@ class State:
 
 def test_any_order_of_batches_gives_the_same_counters():
     rng = random.Random(8)
-    columns = ["key", "mask", "part", "good", "toxic", "known", "n", "id", "n_id"]
+    columns = ["range", "key", "part", "mask", "good", "toxic", "known", "n", "id", "n_id"]
     for _ in range(100):
-        rows = [(rng.randrange(6), rng.choice("pq"), rng.random() < 0.5) for _ in range(12)]
-        least = min(i for i, _, _ in rows)
+        rows = [(rng.choice([b"k", b"l"]), rng.randrange(6), rng.choice("pq"), rng.random() < 0.5) for _ in range(12)]
         want = {}
-        for i, part, good in rows:
+        for text, i, part, good in rows:
+            least = min(j for t, j, _, _ in rows if t == text)
             place = (part, 3 if i == least else 3 | m.COPY, good, False)
             want[place] = want.get(place, 0) + 1
         rng.shuffle(rows)
         state, got = State(), {}
         while rows:
             some, rows = rows[:3], rows[3:]
-            frame = pd.DataFrame([(b"k", 3, p, g, False, True, 1, i, 1) for i, p, g in some], columns=columns)
-            for out in m.retracted((b"k",), iter([frame]), state):
+            frame = pd.DataFrame([(0, t, p, 3, g, False, True, 1, i, 1) for t, i, p, g in some], columns=columns)
+            for out in m.retracted((0,), iter([frame]), state):
                 for part, mask, good, toxic, n in out.itertuples(index=False):
                     got[part, mask, good, toxic] = got.get((part, mask, good, toxic), 0) + n
         assert {k: n for k, n in got.items() if n} == want
 
 
 def test_rows_of_a_hot_text_are_folded_before_the_state(spark):
-    rows = [(b"k", 1, "en", False, False, i) for i in range(5000)] + [(b"k", 1, "en", False, False, None)]
-    frame = spark.createDataFrame(rows, "key binary, mask int, part string, good boolean, toxic boolean, id long")
+    rows = [(0, b"k", "en", 1, False, False, i) for i in range(5000)] + [(0, b"k", "en", 1, False, False, None)]
+    frame = spark.createDataFrame(rows, "range int, key binary, part string, mask int, good boolean, toxic boolean, id long")
     out = m.folded(frame.coalesce(1), "bigint").collect()
     assert sorted((r["known"], r["n"], r["n_id"]) for r in out) == [(False, 1, 1), (True, 5000, 1)]
