@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import tie_key
+from rankloom.operators import blocksearch
 from rankloom.operators.ranking import top_k
 from rankloom.operators.textindex import TextIndex, pair_sums, sum_of_products
 from rankloom.runtime import QuerySet, hinted
@@ -29,10 +31,13 @@ def idf_table(index: TextIndex) -> DataFrame:
     return index.terms.select("term", "df", F.when(idf < 0, floor).otherwise(idf).alias("idf"))
 
 
+def _average_length(index: TextIndex) -> float:
+    return float((index.total_len / index.n_docs if index.n_docs else 1.0) or 1.0)
+
+
 def _term_value(index: TextIndex) -> Column:
-    average = index.total_len / index.n_docs if index.n_docs else 1.0
     tf, dl = F.col("tf"), F.col("dl")
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(average or 1.0))))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(_average_length(index))))
 
 
 def _weights(queries: QuerySet, index: TextIndex) -> DataFrame:
@@ -43,19 +48,26 @@ def _weights(queries: QuerySet, index: TextIndex) -> DataFrame:
 
 
 def scores(queries: QuerySet, index: TextIndex) -> DataFrame:
-    """query_id, doc_id, score of every document that shares a word with the query."""
+    """query_id, doc_id, score of every document that shares a word with one of few queries."""
     return sum_of_products(
         index.postings_of,
-        index.postings,
         index.vocabulary_of(queries.texts),
         _weights(queries, index),
-        index.terms,
-        index.total_len,
-        queries,
         _term_value(index),
     )
 
 
+def _best(queries: QuerySet, index: TextIndex, k: int) -> DataFrame:
+    if queries.terms_fit:
+        return top_k(scores(queries, index), k)
+    average = _average_length(index)
+
+    def value(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+
+    return blocksearch.retrieve(index.forward(), _weights(queries, index), queries, value, k)
+
+
 def pair_scores(
     pairs: DataFrame, queries: QuerySet, index: TextIndex, name: str = "score"
 ) -> DataFrame:
@@ -78,9 +90,10 @@ def retrieve(
     """query_id, doc_id, score, rank.
 
     Only documents sharing a word are returned. With `fill` (the documents' ids) short lists
-    are completed to k by score-0 documents in id order.
+    are completed to k by score-0 documents in id order. Queries too many to broadcast are
+    scored in blocks of documents.
     """
-    ranked = top_k(scores(queries, index), k)
+    ranked = _best(queries, index, k)
     return ranked if fill is None else fill_up(ranked, queries, fill, k)
 
 

@@ -17,8 +17,7 @@ from rankloom.functions.text import explode_terms, tokens
 from rankloom.runtime import QuerySet, by_document, hinted, materialize
 
 TERM_BUCKETS = 64
-# A term with more postings than this share of the corpus is split over several tasks.
-HOT_TERM_PARTS = 20_000
+# Postings of a bucket's file.
 HOT_TERM_ROWS = 1_000_000
 
 
@@ -26,6 +25,27 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
+def buckets_of(vocabulary: DataFrame) -> list[int]:
+    """The buckets of some terms: at most TERM_BUCKETS numbers, which as literals prune the
+    folders that are read."""
+    found = vocabulary.select(_bucket(F.col("term")).alias("b")).distinct().collect()
+    return [row["b"] for row in found]
+
+
+def write_buckets(postings: DataFrame, rows: int, path: str, first: Column) -> None:
+    """Store postings in a folder per term bucket, ordered by term and `first`. The files of a
+    bucket grow in number with the counted rows, and a frequent term is spread over all of them."""
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 + rows // (TERM_BUCKETS * HOT_TERM_ROWS)))
+    (
+        postings.withColumn("term_bucket", _bucket(F.col("term")))
+        .repartition("term_bucket", spread)
+        .sortWithinPartitions("term_bucket", "term", first)
+        .write.mode("overwrite")
+        .partitionBy("term_bucket")
+        .parquet(path)
+    )
+
+
 @dataclass(frozen=True)
 class TextIndex:
     terms: DataFrame  # term, df
@@ -34,6 +54,7 @@ class TextIndex:
     analyzer: Callable[[Column], Column]
     texts: DataFrame | None = None  # doc_id, dl, tokens
     stored: DataFrame | None = None  # doc_id, term, tf, dl, term_bucket
+    rows: DataFrame | None = None  # doc_id, dl, terms, amounts: a stored document's postings
 
     @staticmethod
     def build(docs: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> TextIndex:
@@ -67,6 +88,14 @@ class TextIndex:
             return self.stored.select("doc_id", "term", "tf", "dl")
         return self._count(explode_terms(self.texts, F.col("tokens"), "doc_id", "dl"))
 
+    def forward(self) -> DataFrame:
+        """doc_id, dl, terms (with repetitions, or with their amounts): a row per document."""
+        if self.rows is not None:
+            return self.rows
+        if self.texts is not None:
+            return self.texts.select("doc_id", "dl", F.col("tokens").alias("terms"))
+        return forward_rows(self.postings())
+
     @staticmethod
     def _count(occurrences: DataFrame) -> DataFrame:
         return (
@@ -78,9 +107,7 @@ class TextIndex:
     def postings_of(self, vocabulary: DataFrame) -> DataFrame:
         """Postings of a small `vocabulary(term)`, hash partitioned by document."""
         if self.stored is not None:
-            # At most TERM_BUCKETS numbers; as literals they prune the folders that are read.
-            buckets = vocabulary.select(_bucket(F.col("term")).alias("b")).distinct().collect()
-            kept = self.stored.filter(F.col("term_bucket").isin([row["b"] for row in buckets]))
+            kept = self.stored.filter(F.col("term_bucket").isin(buckets_of(vocabulary)))
             found = kept.join(F.broadcast(vocabulary), "term", "left_semi")
             found = found.select("doc_id", "term", "tf", "dl")
         else:
@@ -99,24 +126,18 @@ class TextIndex:
     def vocabulary_of(self, queries: DataFrame) -> DataFrame:
         return self.query_terms(queries).select("term").distinct()
 
-    def write(self, path: str) -> None:
+    def write(self, path: str, forward: bool = False) -> None:
         """Store the index. Postings are laid out by term bucket, so a query batch reads only
-        the buckets of its own terms. The files of a bucket grow in number with the counted
-        postings, and a frequent term is spread over all of them."""
+        the buckets of its own terms. With `forward` they are stored by document too, for
+        batches of very many queries."""
+        if forward:
+            forward_rows(self.postings()).write.mode("overwrite").parquet(f"{path}/forward")
         rows = self.terms.agg(F.sum("df")).first()[0] or 0
-        spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 + rows // (TERM_BUCKETS * HOT_TERM_ROWS)))
-        (
-            self.postings()
-            .withColumn("term_bucket", _bucket(F.col("term")))
-            .repartition("term_bucket", spread)
-            .sortWithinPartitions("term_bucket", "term")
-            .write.mode("overwrite")
-            .partitionBy("term_bucket")
-            .parquet(f"{path}/postings")
-        )
+        write_buckets(self.postings(), rows, f"{path}/postings", F.col("tf").desc())
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         sizes = [(self.n_docs, self.total_len)]
         stats = self.terms.sparkSession.createDataFrame(sizes, "n_docs long, total_len long")
+        stats = stats.withColumn("forward", F.lit(forward))
         stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
@@ -130,40 +151,33 @@ class TextIndex:
             stats["total_len"],
             analyzer,
             stored=spark.read.parquet(f"{path}/postings"),
+            rows=spark.read.parquet(f"{path}/forward") if stats["forward"] else None,
         )
 
 
+def forward_rows(postings: DataFrame, amount: str = "tf") -> DataFrame:
+    """doc_id, dl, terms, amounts from postings(doc_id, dl, term, <amount>)."""
+    listed = F.collect_list(F.struct("term", F.col(amount).cast("double").alias("amount")))
+    return (
+        by_document(postings)
+        .groupBy("doc_id", "dl")
+        .agg(listed.alias("p"))
+        .select("doc_id", "dl", F.col("p.term").alias("terms"), F.col("p.amount").alias("amounts"))
+    )
+
+
 def sum_of_products(
     postings_of: Callable[[DataFrame], DataFrame],
-    all_postings: Callable[[], DataFrame],
     vocabulary: DataFrame,
     weights: DataFrame,
-    terms: DataFrame,
-    total_rows: int,
-    queries: QuerySet,
     value: Column,
 ) -> DataFrame:
     """score(query, doc) = sum over shared terms of weight(query, term) * value(posting).
 
-    Few queries: their terms are broadcast, postings never move except by document.
-    Many queries: both sides are shuffled by term, and the postings of a frequent term are cut
-    into parts by document with that term's weights copied to each part.
+    For few queries: their terms are broadcast, postings never move except by document.
+    `blocksearch` has the way for many.
     """
-    if queries.terms_fit:
-        matched = postings_of(vocabulary).join(F.broadcast(weights), "term")
-    else:
-        # At most HOT_TERM_PARTS terms can have this many postings, so this side is bounded.
-        rows_per_part = F.lit(max(HOT_TERM_ROWS, total_rows // HOT_TERM_PARTS))
-        hot = terms.filter(F.col("df") > rows_per_part).select(
-            "term", F.ceil(F.col("df") / rows_per_part).cast("int").alias("parts")
-        )
-        parts = F.coalesce(F.col("parts"), F.lit(1))
-        left = all_postings().join(F.broadcast(hot), "term", "left")
-        left = left.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
-        right = weights.join(F.broadcast(hot), "term", "left").withColumn(
-            "part", F.explode(F.sequence(F.lit(0), parts - 1))
-        )
-        matched = left.drop("parts").join(right.drop("parts"), ["term", "part"])
+    matched = postings_of(vocabulary).join(F.broadcast(weights), "term")
     return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * value).alias("score"))
 
 

@@ -1,37 +1,49 @@
-"""TF-IDF over words and pairs of words, cosine ranked."""
+"""TF-IDF over words and pairs of words, cosine ranked.
+
+Documents are weighed in place: a task counts the terms of a row that the shared vocabulary
+holds and scales them to length 1, so no text and no count of a document is shuffled. Stored
+weights come in two layouts: by term bucket, the largest weights of a term first, for batches
+of few queries, and by document for batches of very many. Document ids must be unique.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankloom.functions.text import explode_ngrams, explode_terms, ngram_array, words
+from rankloom.operators import blocksearch
 from rankloom.operators.ranking import top_k
-from rankloom.operators.textindex import sum_of_products
-from rankloom.runtime import QuerySet, by_document, hinted, materialize
+from rankloom.operators.textindex import buckets_of, sum_of_products, write_buckets
+from rankloom.runtime import QuerySet, by_document, materialize
 
 # Fixed value: size of the vocabulary.
 MAX_FEATURES = 50_000
-# A vocabulary of at most this many terms may be broadcast.
+# A vocabulary of at most this many terms may be sent to every task.
 BROADCAST_TERMS = 500_000
 
 
 @dataclass(frozen=True)
 class TfidfIndex:
     vocabulary: DataFrame  # term, df, idf (at most MAX_FEATURES rows)
-    weights: DataFrame  # doc_id, term, value (rows of length 1)
-    by_document: bool  # weights already hash partitioned by doc_id
+    rows: DataFrame  # doc_id, dl (terms in the vocabulary), terms, amounts (rows of length 1)
+    stored: DataFrame | None = None  # doc_id, term, value, term_bucket
 
     @staticmethod
     def fit(docs: DataFrame, max_features: int = MAX_FEATURES) -> TfidfIndex:
-        """Choose the vocabulary, then weigh the postings of `docs(doc_id, text)`.
+        """Choose the vocabulary, then weigh the rows of `docs(doc_id, text)`.
 
         The first pass counts all occurrences and all documents of each term together, with
         map-side combine, and keeps the `max_features` most frequent terms (the earlier in
-        alphabetical order on a tie). The second one places the text by document; after that
-        term counts, row lengths and scores need no further shuffle.
+        alphabetical order on a tie). The second one weighs every row by itself.
         """
         grams = docs.select(words(F.col("text")).alias("words")).select(
             ngram_array(F.col("words")).alias("grams")
@@ -53,38 +65,109 @@ class TfidfIndex:
         idf = F.ln(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
         chosen = most_frequent(materialize(counted, "grams"), max_features)
         vocabulary = materialize(chosen.select("term", "df", idf.alias("idf")), "vocabulary")
-        small = max_features <= BROADCAST_TERMS
-
-        placed = by_document(docs.select("doc_id", "text"))
-        placed = placed.select("doc_id", words(F.col("text")).alias("words"))
-        counts = (
-            explode_ngrams(placed, "words", "doc_id")
-            .join(hinted(vocabulary.select("term"), small), "term")
-            .groupBy("doc_id", "term")
-            .agg(F.count(F.lit(1)).alias("tf"))
-        )
-        return TfidfIndex(vocabulary, _unit_rows(counts, vocabulary, "doc_id", small), True)
-
-    def postings(self) -> DataFrame:
-        return self.weights
+        # Read by several batches of queries; smaller than the texts.
+        return TfidfIndex(vocabulary, materialize(_weighed(docs, vocabulary), "tfidf-rows"))
 
     def postings_of(self, vocabulary: DataFrame) -> DataFrame:
-        found = self.weights.join(F.broadcast(vocabulary), "term", "left_semi")
-        return found if self.by_document else by_document(found)
+        """doc_id, term, value of a small `vocabulary(term)`, hash partitioned by document."""
+        if self.stored is not None:
+            kept = self.stored.filter(F.col("term_bucket").isin(buckets_of(vocabulary)))
+        else:
+            kept = self._exploded()
+        found = kept.join(F.broadcast(vocabulary), "term", "left_semi")
+        return by_document(found.select("doc_id", "term", "value"))
+
+    def _exploded(self) -> DataFrame:
+        pairs = F.arrays_zip(F.col("terms").alias("term"), F.col("amounts").alias("value"))
+        return self.rows.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
 
     def query_weights(self, queries: QuerySet) -> DataFrame:
         counts = _query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
         return _unit_rows(counts, self.vocabulary, "query_id").withColumnRenamed("value", "weight")
 
     def write(self, path: str) -> None:
+        """Store the weights by term bucket, large ones first, and by document."""
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.weights.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weights")
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        n_rows = self.vocabulary.agg(F.sum("df")).first()[0] or 0
+        write_buckets(self._exploded(), n_rows, f"{path}/weights", F.col("value").desc())
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> TfidfIndex:
         return TfidfIndex(
-            spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/weights"), False
+            *(spark.read.parquet(f"{path}/{name}") for name in ("vocabulary", "rows", "weights"))
+        )
+
+
+def _weighed(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, dl, terms, amounts: tf * idf of every row, scaled to length 1. Rows without a
+    term of the vocabulary have empty lists."""
+    spark = docs.sparkSession
+    if vocabulary.count() > BROADCAST_TERMS:
+        return _weighed_by_join(docs, vocabulary)
+    known = vocabulary.select("term", "idf").toArrow()
+    shared = spark.sparkContext.broadcast(
+        dict(zip(known.column("term").to_pylist(), known.column("idf").to_pylist()))
+    )
+    terms = T.ArrayType(T.StringType())
+    schema = T.StructType(
+        [
+            docs.schema["doc_id"],
+            T.StructField("dl", T.IntegerType()),
+            T.StructField("terms", terms),
+            T.StructField("amounts", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    split = docs.select("doc_id", words(F.col("text")).alias("words"))
+    return split.mapInArrow(_weigher(shared, to_arrow_schema(schema)), schema)
+
+
+def _weigher(shared, out: pa.Schema) -> Callable:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        for batch in batches:
+            sizes, found, amounts = [], [], []
+            for said in batch.column(1).to_pylist():
+                counts = Counter(w for w in said if w in idf)
+                counts.update(g for g in map(" ".join, zip(said, said[1:])) if g in idf)
+                weights = np.array([n * idf[w] for w, n in counts.items()])
+                sizes.append(len(counts))
+                found += counts
+                amounts.append(weights / np.sqrt((weights * weights).sum()) if counts else weights)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            flat = np.concatenate(amounts) if amounts else np.zeros(0)
+            columns = (
+                batch.column(0),
+                pa.array(sizes, pa.int32()),
+                pa.ListArray.from_arrays(ends, pa.array(found, pa.string())),
+                pa.ListArray.from_arrays(ends, pa.array(flat)),
+            )
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out)], schema=out)
+
+    return weigh
+
+
+def _weighed_by_join(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The same for a vocabulary too large for every task: only counts of its terms are moved."""
+    split = docs.select("doc_id", words(F.col("text")).alias("words"))
+    counts = (
+        explode_ngrams(split, "words", "doc_id")
+        .join(vocabulary.select("term"), "term")
+        .groupBy("doc_id", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    listed = F.collect_list(F.struct("term", "value")).alias("p")
+    return (
+        _unit_rows(counts, vocabulary, "doc_id")
+        .groupBy("doc_id")
+        .agg(listed)
+        .select(
+            "doc_id",
+            F.size("p").alias("dl"),
+            F.col("p.term").alias("terms"),
+            F.col("p.value").alias("amounts"),
         )
+    )
 
 
 def most_frequent(counted: DataFrame, n: int) -> DataFrame:
@@ -110,11 +193,9 @@ def _query_terms(queries: QuerySet) -> DataFrame:
     return explode_ngrams(split, "words", "query_id")
 
 
-def _unit_rows(
-    counts: DataFrame, vocabulary: DataFrame, key: str, small: bool = False
-) -> DataFrame:
+def _unit_rows(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """tf * idf, scaled so that the squares of one text's weights sum to 1."""
-    weighed = counts.join(hinted(vocabulary.select("term", "idf"), small), "term").withColumn(
+    weighed = counts.join(vocabulary.select("term", "idf"), "term").withColumn(
         "w", F.col("tf") * F.col("idf")
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
@@ -122,17 +203,21 @@ def _unit_rows(
 
 
 def scores(queries: QuerySet, index: TfidfIndex) -> DataFrame:
+    """query_id, doc_id, score of every document that shares a term with one of few queries."""
     return sum_of_products(
         index.postings_of,
-        index.postings,
         _query_terms(queries).select("term").distinct(),
         index.query_weights(queries),
-        index.vocabulary,
-        index.vocabulary.agg(F.sum("df")).first()[0] or 0,
-        queries,
         F.col("value"),
     )
 
 
+def _as_stored(amount: np.ndarray, dl: np.ndarray) -> np.ndarray:
+    return amount
+
+
 def retrieve(queries: QuerySet, index: TfidfIndex, k: int = 10) -> DataFrame:
-    return top_k(scores(queries, index), k)
+    """query_id, doc_id, score, rank; queries too many to broadcast are scored in blocks."""
+    if queries.terms_fit:
+        return top_k(scores(queries, index), k)
+    return blocksearch.retrieve(index.rows, index.query_weights(queries), queries, _as_stored, k)

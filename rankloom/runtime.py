@@ -128,8 +128,18 @@ class QuerySet:
     @property
     def terms_fit(self) -> bool:
         """Every text of c bytes gives at most c/2 + 1 words (and as many pairs of words)."""
+        return self._term_bytes <= self.limit
+
+    @property
+    def _term_bytes(self) -> int:
         n, chars, _ = self._measured
-        return 64 * (chars + n) <= self.limit
+        return 64 * (chars + n)
+
+    @property
+    def term_slices(self) -> int:
+        """Into how many slices the queries are cut so that the terms of each may be broadcast."""
+        wanted = -(-self._term_bytes // max(self.limit, 1))
+        return max(1, min(wanted, self.count))
 
     @property
     def vectors_fit(self) -> bool:
