@@ -18,8 +18,10 @@ Scale. Texts are read once and never moved. Two exchanges of short rows per batc
 labels (null ids are dealt out evenly) and by text for the state. A text that a third of all
 documents share is at most one row per part, label combination and `FOLD` rows of a task when it
 reaches the state. The number of hash ranges follows from the counted rows of the first run, so
-that one holds about `RANGE_ROWS` texts. The state lives in RocksDB, on the executors' disks with
-its changes in the shared folder, so it may outgrow memory and a lost executor loses nothing.
+that one holds about `RANGE_ROWS` texts. Where a task's share of the state would be more than
+`HEAP_BYTES`, by the same count, it lives in RocksDB on the executors' disks, below that in the
+session's own kind of store; both keep every change in the shared folder, so a lost executor
+loses nothing.
 
 Defined results: a null text is an empty text; a null part is the empty string; a document has
 quality or toxic if any of its label rows says 1; a row without an id fails no copy filter and
@@ -56,16 +58,14 @@ MIN_WORDS = 200
 BATCHES = 4
 FOLD = 100_000
 RANGE_ROWS = 20_000
+TEXT_BYTES = 150  # a text in the state, generously
+HEAP_BYTES = 32 * 1024 * 1024
 
 WHO = ["part", "mask", "good", "toxic"]
 COUNTERS = "part string, mask int, good boolean, toxic boolean, n long"
-STREAM_SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.metricsEnabled": "false",
-}
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 def own_mask(text: bytes) -> int:
@@ -240,7 +240,8 @@ class FilterAudit:
         source = self.spark.readStream.schema(known.schema).option("maxFilesPerTrigger", files)
         # The last letter as a pattern, because a stream takes a folder or a pattern but no file.
         docs = source.parquet(f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else path)
-        marked = digests(docs, self._ranges(known), id_col, text_col, part_col)
+        ranges, provider = self._layout(known)
+        marked = digests(docs, ranges, id_col, text_col, part_col)
         same_id = (marked["id"] == flags["label_id"]) & (marked["salt"] == flags["label_salt"])
         rows = marked.join(flags, same_id, "left").withColumns(
             {c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")}
@@ -252,23 +253,27 @@ class FilterAudit:
                 retracted, COUNTERS, "texts binary", "append", GroupStateTimeout.NoTimeout
             )
         )
-        with settings(self.spark, STREAM_SETTINGS):
+        with settings(self.spark, {PROVIDER: provider, CHANGELOG: "true"}):
             changes.writeStream.foreachBatch(self._add).trigger(availableNow=True).option(
                 "checkpointLocation", f"{self.folder}/stream"
             ).start().awaitTermination()
         return self
 
-    def _ranges(self, known: DataFrame) -> int:
-        """The number of hash ranges, chosen by the first run that finds rows and kept."""
-        place = f"{self.folder}/ranges"
+    def _layout(self, known: DataFrame) -> tuple[int, str]:
+        """The number of hash ranges and the kind of state store, chosen by the first run for
+        its rows and kept."""
+        place = f"{self.folder}/layout"
         try:
-            return self.spark.read.parquet(place).first()["ranges"]
+            return tuple(self.spark.read.parquet(place).first())
         except AnalysisException:
             pass
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        ranges = max(4 * partitions, known.count() // RANGE_ROWS)
-        self.spark.range(1).select(F.lit(ranges).alias("ranges")).write.parquet(place)
-        return ranges
+        rows, partitions = known.count(), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(4 * partitions, rows // RANGE_ROWS)
+        large = rows * TEXT_BYTES > partitions * HEAP_BYTES
+        chosen = ranges, ROCKSDB if large else self.spark.conf.get(PROVIDER)
+        layout = self.spark.createDataFrame([chosen], "ranges int, provider string")
+        layout.coalesce(1).write.parquet(place)
+        return chosen
 
     def _add(self, changes: DataFrame, batch: int) -> None:
         summed = changes.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))

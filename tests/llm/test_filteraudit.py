@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pandas as pd
+import pytest
 
 from rankloom.llm import filteraudit as m
 from tests.llm.helpers import AWKWARD, prose, same_rows
@@ -99,7 +100,9 @@ def test_brute_force_with_files_in_falling_and_mixed_order(spark, tmp_path):
     same_rows(m.report(audit.counters()).collect(), expected(docs, LABEL_ROWS))
 
 
-def test_new_files_retract_what_was_counted(spark, tmp_path):
+@pytest.mark.parametrize("heap", [m.HEAP_BYTES, 0])
+def test_new_files_retract_what_was_counted(spark, tmp_path, monkeypatch, heap):
+    monkeypatch.setattr(m, "HEAP_BYTES", heap)
     labels = spark.createDataFrame(LABEL_ROWS, LABELS)
     first = [(50, LONG, "en"), (51, LONG, "fr"), (52, "x", None), (101, "x", "de"), (101, "x", "de")]
     write(spark, first, f"{tmp_path}/docs")
@@ -109,6 +112,8 @@ def test_new_files_retract_what_was_counted(spark, tmp_path):
     write(spark, second, f"{tmp_path}/docs")
     again = m.FilterAudit(spark, f"{tmp_path}/audit").update(f"{tmp_path}/docs", labels)
     same_rows(m.report(again.counters()).collect(), expected(first + second, LABEL_ROWS))
+    layout = spark.read.parquet(f"{tmp_path}/audit/layout").first()
+    assert (layout["provider"] == m.ROCKSDB) == (heap == 0)
     unchanged = m.FilterAudit(spark, f"{tmp_path}/audit").update(f"{tmp_path}/docs", labels)
     same_rows(m.report(unchanged.counters()).collect(), expected(first + second, LABEL_ROWS))
 
