@@ -59,6 +59,7 @@ class Tree:
 class Forest:
     trees: list[Tree]
     features: tuple[str, ...] = FEATURES
+    history: list[tuple[int, float]] = field(default_factory=list)  # trees so far, NDCG
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))

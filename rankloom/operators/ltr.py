@@ -254,6 +254,11 @@ def _worth(g, h, out, p: LtrParams):
     return 2.0 * g * out - (h + p.reg_lambda) * out * out
 
 
+# Gains that differ by less than this share tie; the first feature and bin win. Sums of floats
+# differ that much with the order of their terms, so the choice does not depend on partitions.
+TIE = 1e-9
+
+
 def _best_split(sums: pd.DataFrame, leaf: _Leaf, allowed: list[int], p: LtrParams):
     """(gain, feature, bin, left output, right output) or None."""
     best = None
@@ -276,8 +281,12 @@ def _best_split(sums: pd.DataFrame, leaf: _Leaf, allowed: list[int], p: LtrParam
         if direction:
             fine &= direction * (right - left) >= 0
         gain = np.where(fine, gain, -np.inf)
-        at = int(np.argmax(gain))
-        if gain[at] > max(p.min_split_gain, 1e-12) and (best is None or gain[at] > best[0]):
+        most = gain.max()
+        if not np.isfinite(most):
+            continue
+        at = int(np.argmax(gain >= most - TIE * abs(most)))
+        floor = max(p.min_split_gain, 1e-12)
+        if gain[at] > (floor if best is None else best[0] + TIE * abs(best[0])):
             bin_ = int(part["bin"].to_numpy()[at])
             best = (float(gain[at]), feature, bin_, float(left[at]), float(right[at]))
     return best
@@ -380,20 +389,31 @@ def _with_values(tree: Tree, edges: list[np.ndarray]) -> Tree:
     return Tree(tree.feature, threshold, tree.left, tree.right, tree.value, tree.gain)
 
 
+def first_tree(rows: DataFrame, edges: list[np.ndarray], params: LtrParams) -> Forest:
+    """The first tree over all `rows`, with given cut points in place of the sketch's. The same
+    passes as in `train`, for results that can be followed by hand."""
+    packed = materialize(pack(rows.withColumn("split", F.lit("train")), edges), "packed")
+    tree, _ = _grow(packed, [], 0, params)
+    return Forest([_with_values(tree, edges)])
+
+
 def train(rows: DataFrame, params: LtrParams = LtrParams()) -> Forest:
     """Fit on `rows(query_id, doc_id, split, label, <features>)`; rows of split `validation`
-    stop the training, other splits than these two are ignored."""
+    stop the training, other splits than these two are ignored. The forest's history holds the
+    validation NDCG before every tree."""
     p = params
     used = materialize(rows.filter(F.col("split").isin("train", "validation")), "rows")
     edges = bin_edges(used.filter(F.col("split") == "train"), p.max_bin)
     packed = materialize(pack(used, edges), "packed")
     trees: list[Tree] = []
     pending: list[Tree] = []
+    history: list[tuple[int, float]] = []
     best_metric, best_size = -math.inf, None
     for t in range(p.n_estimators):
         tree, metric = _grow(packed, pending, t, p)
         # The metric measured while growing tree t belongs to the t trees before it.
         if metric is not None:
+            history.append((t, metric))
             if metric > best_metric + 1e-12:
                 best_metric, best_size = metric, t
             elif t - best_size >= p.early_stopping:
@@ -408,7 +428,7 @@ def train(rows: DataFrame, params: LtrParams = LtrParams()) -> Forest:
         final = _validation_metric(packed, pending, p)
         kept = len(trees) if final is not None and final > best_metric + 1e-12 else max(1, best_size)
         trees = trees[:kept]
-    return Forest([_with_values(tree, edges) for tree in trees])
+    return Forest([_with_values(tree, edges) for tree in trees], history=history)
 
 
 def _validation_metric(packed: DataFrame, pending: list[Tree], p: LtrParams) -> float | None:

@@ -406,6 +406,84 @@ lambdas AS (
   FROM listed l LEFT JOIN pushes p ON p.query_id = l.query_id AND p.doc_id = l.doc_id
        LEFT JOIN totals t ON t.query_id = l.query_id GROUP BY 1, 2, 3)"""
 
+TURNS = "queries AS (SELECT conv_id * 100 + turn AS query_id, text FROM conversations)"
+
+
+def first_tree() -> str:
+    """Root split and the better split of its two sides, each from a histogram per feature."""
+    bins = ", ".join(
+        f"CAST(least(832, greatest(0, ceil(({f} + 0.9863) * 16))) AS INTEGER)" for f in FEATURE_NAMES
+    )
+    signs = "[1, -1, 1, 1, 1, 0, -1, 0, 0, 0, 1, 1, 1, 1, 1]"
+
+    def out(g: str, h: str) -> str:
+        return f"greatest(low, least(high, ({g}) / ({h} + 5.0)))"
+
+    def worth(g: str, h: str, o: str) -> str:
+        return f"(2.0 * ({g}) * ({o}) - ({h} + 5.0) * ({o}) * ({o}))"
+
+    def best(name: str, rows: str) -> str:
+        """The best split of `rows(g, h, b, low, high)`: one row, or none."""
+        left, right, whole = out("gl", "hl"), out("ga - gl", "ha - hl"), out("ga", "ha")
+        gain = f"{worth('gl', 'hl', left)} + {worth('ga - gl', 'ha - hl', right)} - {worth('ga', 'ha', whole)}"
+        return f"""
+{name}_h AS (
+  SELECT feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n, any_value(low) AS low, any_value(high) AS high
+  FROM (SELECT g, h, low, high, unnest(range(1, 16)) AS feature, unnest(b) AS bin FROM {rows}) GROUP BY 1, 2),
+{name}_c AS (
+  SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl,
+         sum(g) OVER f AS ga, sum(h) OVER f AS ha, sum(n) OVER f AS na
+  FROM {name}_h WINDOW w AS (PARTITION BY feature ORDER BY bin), f AS (PARTITION BY feature)),
+{name}_g AS (
+  SELECT feature, bin, low, high, {left} AS ol, {right} AS o_r, {gain} AS gain
+  FROM {name}_c WHERE nl >= 50 AND na - nl >= 50 AND hl >= 1e-3 AND ha - hl >= 1e-3
+    AND {signs}[feature] * ({right} - {left}) >= 0),
+{name} AS (
+  SELECT * FROM {name}_g WHERE gain > 1e-12 AND gain >= (SELECT max(gain) FROM {name}_g) * (1 - 1e-9)
+  ORDER BY feature, bin LIMIT 1)"""
+
+    def side(name: str, test: str, sign: int) -> str:
+        """Rows of one side of the root with the bounds that its split leaves."""
+        middle = "(ol + o_r) / 2.0"
+        return f"""
+{name} AS (
+  SELECT t.g, t.h, t.b,
+         CASE WHEN {sign} * s.sign < 0 THEN greatest(s.low, {middle}) ELSE s.low END AS low,
+         CASE WHEN {sign} * s.sign > 0 THEN least(s.high, {middle}) ELSE s.high END AS high
+  FROM t JOIN (SELECT *, {signs}[feature] AS sign FROM root) s ON t.b[s.feature] {test} s.bin)"""
+
+    return (
+        f"""
+t AS (
+  SELECT grad AS g, hess AS h, [{bins}] AS b, -1e300::DOUBLE AS low, 1e300::DOUBLE AS high
+  FROM lambdas JOIN feats USING (query_id, doc_id) JOIN splits USING (query_id) WHERE split = 'train'),"""
+        + best("root", "t")
+        + ","
+        + side("lt", "<=", 1)
+        + ","
+        + side("rt", ">", -1)
+        + ","
+        + best("lbest", "lt")
+        + ","
+        + best("rbest", "rt")
+        + """,
+second AS (
+  SELECT * FROM (SELECT 1 AS side, * FROM lbest UNION ALL SELECT 2 AS side, * FROM rbest)
+  ORDER BY gain DESC, side LIMIT 1),
+nodes AS (
+  SELECT 0 AS node, feature, bin, 1 AS left, 2 AS right, 0.0 AS value, gain FROM root
+  UNION ALL SELECT k, s.feature, s.bin, coalesce(s.l, -1), coalesce(s.r, -1), r.value * 0.03, coalesce(s.gain, 0)
+  FROM (SELECT 1 AS k, ol AS value FROM root UNION ALL SELECT 2, o_r FROM root) r
+       LEFT JOIN (SELECT *, 3 AS l, 4 AS r FROM second) s ON s.side = r.k
+  UNION ALL SELECT 3, NULL, NULL, -1, -1, ol * 0.03, 0 FROM second
+  UNION ALL SELECT 4, NULL, NULL, -1, -1, o_r * 0.03, 0 FROM second)"""
+    )
+
+
+FIRST_TREE_ROWS = f"""SELECT CAST(node AS INTEGER) AS node, {FEATURE_NAMES!r}[feature] AS feature,
+       round(coalesce(-0.9863 + bin / 16.0, 0)::DOUBLE, 6) AS threshold, CAST("left" AS INTEGER) AS "left",
+       CAST("right" AS INTEGER) AS "right", round(value::DOUBLE, 6) AS value, round(gain::DOUBLE, 6) AS gain FROM nodes"""
+
 LOG = r"""
 log AS (
   SELECT event_id, ts AS time, event_type AS method, '/' || event_type AS path,
@@ -511,6 +589,10 @@ SELECT example_id, query, product_id, relevance_score FROM rest WHERE place <= 5
             ranked("r", "tfidf", 10),
         )
         + f"SELECT {RANKED} FROM r",
+        "bm25_many_queries": _with(TURNS, bm25_scores(docs="documents"), ranked("r", "bm25", 10))
+        + "SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r",
+        "tfidf_many_queries": _with(TURNS, tfidf_scores(docs="documents"), ranked("r", "tfidf", 10))
+        + f"SELECT {RANKED} FROM r",
         "dense_topk": _with(
             UNIT_VECTORS,
             "queries AS (SELECT vec_id AS query_id, vec FROM unit)",
@@ -661,6 +743,7 @@ WHERE length(product_text) > 0""",
         "ltr_root_sums": _with(FEATURED, LAMBDAS)
         + """SELECT label, title_overlap_count, round(sum(grad), 4) AS grad, round(sum(hess), 4) AS hess, count(*) AS n
 FROM lambdas JOIN feats USING (query_id, doc_id) GROUP BY 1, 2""",
+        "ltr_first_tree": _with(FEATURED, LAMBDAS, SPLITS, first_tree()) + FIRST_TREE_ROWS,
         "request_validation": _with(VALIDATED)
         + "SELECT request_id, query, method, top_k, round(alpha, 6) AS alpha, beta, candidate_depth, error FROM validated",
         "search_batch": _with(SEARCHED)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +15,14 @@ from rankloom.operators import bm25, compare, dense, hybrid, ltr, metrics, monit
 from rankloom.operators import rerank as reranking
 from rankloom.operators import sampling, search, tfidf
 from rankloom.operators.forest import importance, score_rows
-from rankloom.operators.ranking import result_rows
+from rankloom.operators.ranking import as_ranking, result_rows
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
 from rankloom.plans import inputs
 from rankloom.plans.inputs import Shop
-from rankloom.runtime import QuerySet, fresh_dir, materialize
+from rankloom.runtime import QuerySet, fresh_dir, materialize, shared_dir
 from rankloom.sources import reports, tables
-from rankloom.sources.models import load_forest, save_forest
+from rankloom.sources.models import TrainingRuns, load_forest, save_forest
 from rankloom.sources.scores import ScoreStore
 from rankloom.sources.vectors import ensure_vectors, id_differences
 from rankloom.streaming.monitor import windowed
@@ -183,6 +184,31 @@ def bm25_topk(spark, sf_dir):
     return ranked(inputs.bm25_over_documents(spark, sf_dir))
 
 
+# Slices of the batches below: so small that the given tables need several.
+SLICE_BYTES = 4 * 1024 * 1024
+
+
+def _turns(spark, sf_dir):
+    """Every turn of every conversation as a query: more than a batch of few queries holds."""
+    turns = inputs.table(spark, sf_dir, "conversations")
+    asked = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text")
+    return QuerySet(asked, limit=SLICE_BYTES)
+
+
+@registered
+def bm25_many_queries(spark, sf_dir):
+    index = TextIndex.build(inputs.documents(spark, sf_dir))
+    best = bm25.retrieve(_turns(spark, sf_dir), index)
+    # Long turns have large sums, whose sixth decimal is near their last digits.
+    return best.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+@registered
+def tfidf_many_queries(spark, sf_dir):
+    index = TfidfIndex.fit(inputs.documents(spark, sf_dir))
+    return ranked(tfidf.retrieve(_turns(spark, sf_dir), index))
+
+
 @registered
 def bm25_fill(spark, sf_dir):
     shop = Shop(spark, sf_dir)
@@ -343,17 +369,52 @@ def ltr_training_rows(spark, sf_dir):
     return rows.select("query_id", "doc_id", *r6(*ltr.FEATURES), "label", "split")
 
 
+def _trained(spark, rows):
+    """The ranker of these rows: one stored run serves every query of the session's folder."""
+    runs = TrainingRuns(spark, f"{shared_dir(spark)}/rankloom-training")
+    return runs.get(rows, ltr.LtrParams(), ltr.train)
+
+
 @registered
 def ltr_topk(spark, sf_dir):
     rows = materialize(Shop(spark, sf_dir).training_rows(), "training")
-    forest = ltr.train(rows, ltr.LtrParams())
+    forest = _trained(spark, rows)
     return ranked(ltr.rank(rows.filter(F.col("split") == "test"), forest))
 
 
 @registered
 def ltr_importance(spark, sf_dir):
     rows = materialize(Shop(spark, sf_dir).training_rows(), "training")
-    return importance(ltr.train(rows, ltr.LtrParams()).table(spark)).select("feature", *r6("gain"))
+    return importance(_trained(spark, rows).table(spark)).select("feature", *r6("gain"))
+
+
+@registered
+def heldout_six_methods(spark, sf_dir):
+    """All six methods on the held-out queries, the sixth by the trained ranker."""
+    shop, rankings, _ = _evaluated(spark, sf_dir)
+    rows = materialize(shop.training_rows(), "training")
+    held = shop.splits().filter(F.col("split") == "test").select("query_id")
+    best = ltr.rank(rows.filter(F.col("split") == "test"), _trained(spark, rows))
+    six = rankings.unionByName(as_ranking(best, "ltr"))
+    asked = shop.queries.df.join(held, "query_id", "left_semi")
+    scores = metrics.per_query(six, asked, shop.qrels, [*METHODS, "ltr"])
+    return metrics.by_method(scores).select("method", *r6(*metrics.METRICS))
+
+
+# Cut points between the values that features usually take, so that noise in the last digit of
+# a float cannot move a row to another bin.
+GRID_START, GRID_STEP, GRID_SIZE = -0.9863, 1 / 16, 832
+
+
+@registered
+def ltr_first_tree(spark, sf_dir):
+    """The first boosting round with three leaves over all training rows: bins, histograms,
+    best splits under the monotone directions, leaf values."""
+    rows = Shop(spark, sf_dir).training_rows().filter(F.col("split") == "train")
+    edges = [GRID_START + GRID_STEP * np.arange(GRID_SIZE)] * len(ltr.FEATURES)
+    params = ltr.LtrParams(num_leaves=3, subsample=1.0, colsample=1.0)
+    tree = ltr.first_tree(rows, edges, params).table(spark)
+    return tree.select("node", "feature", *r6("threshold"), "left", "right", *r6("value", "gain"))
 
 
 # --- evaluation --------------------------------------------------------------------------
