@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rankloom.operators.features import FEATURES, MONOTONE
 from rankloom.operators.forest import Forest, Tree, score_rows
 from rankloom.operators.ranking import top_k
-from rankloom.runtime import materialize
+from rankloom.runtime import materialize, scratch
 
 
 
@@ -392,16 +392,21 @@ def _with_values(tree: Tree, edges: list[np.ndarray]) -> Tree:
 def first_tree(rows: DataFrame, edges: list[np.ndarray], params: LtrParams) -> Forest:
     """The first tree over all `rows`, with given cut points in place of the sketch's. The same
     passes as in `train`, for results that can be followed by hand."""
-    packed = materialize(pack(rows.withColumn("split", F.lit("train")), edges), "packed")
-    tree, _ = _grow(packed, [], 0, params)
+    with scratch(rows.sparkSession):
+        packed = materialize(pack(rows.withColumn("split", F.lit("train")), edges), "packed")
+        tree, _ = _grow(packed, [], 0, params)
     return Forest([_with_values(tree, edges)])
 
 
 def train(rows: DataFrame, params: LtrParams = LtrParams()) -> Forest:
     """Fit on `rows(query_id, doc_id, split, label, <features>)`; rows of split `validation`
     stop the training, other splits than these two are ignored. The forest's history holds the
-    validation NDCG before every tree."""
-    p = params
+    validation NDCG before every tree. The tables of the rounds are deleted at the end."""
+    with scratch(rows.sparkSession):
+        return _train(rows, params)
+
+
+def _train(rows: DataFrame, p: LtrParams) -> Forest:
     used = materialize(rows.filter(F.col("split").isin("train", "validation")), "rows")
     edges = bin_edges(used.filter(F.col("split") == "train"), p.max_bin)
     packed = materialize(pack(used, edges), "packed")

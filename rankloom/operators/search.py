@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.config import SearchOptions
@@ -51,6 +51,25 @@ class SearchIndex:
     known_scores: ScoreStore | None = None
     options: SearchOptions = field(default_factory=SearchOptions)
 
+    def write(self, path: str) -> None:
+        """Store the tables; models and encoders are code or stored by themselves."""
+        self.catalog.write.mode("overwrite").parquet(f"{path}/catalog")
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        self.text_index.write(f"{path}/text")
+        self.tfidf_index.write(f"{path}/tfidf")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str, encode, **models) -> SearchIndex:
+        """A stored index with the encoder and models of this process."""
+        return SearchIndex(
+            catalog=spark.read.parquet(f"{path}/catalog"),
+            text_index=TextIndex.read(spark, f"{path}/text"),
+            tfidf_index=TfidfIndex.read(spark, f"{path}/tfidf"),
+            vectors=spark.read.parquet(f"{path}/vectors"),
+            encode=encode,
+            **models,
+        )
+
     @property
     def ready(self) -> tuple[str, ...]:
         """Methods that this index has the models for."""
@@ -148,24 +167,7 @@ def answer(requests: DataFrame, index: SearchIndex) -> DataFrame:
         of = asked.filter(F.col("method").isin(*methods)).select(
             "request_id", "query_id", "method", "top_k"
         )
-        lists = ranking.select("query_id", "doc_id", "score", "rank")
-        counts = of.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        popular = F.broadcast(
-            counts.filter(F.col("n") * HOT_SHARE > of.count()).select(
-                "query_id", F.lit(HOT_PARTS).alias("parts")
-            )
-        )
-        parts = F.coalesce("parts", F.lit(1))
-        of = of.join(popular, "query_id", "left").withColumn(
-            "part", F.pmod(F.xxhash64("request_id"), parts).cast("int")
-        )
-        lists = lists.join(popular, "query_id", "left").withColumn(
-            "part", F.explode(F.sequence(F.lit(0), parts - 1))
-        )
-        joined = of.drop("parts").join(lists.drop("parts"), ["query_id", "part"])
-        return joined.filter(F.col("rank") <= F.col("top_k")).select(
-            "request_id", "method", "doc_id", "score", "rank"
-        )
+        return _delivered(of, ranking.select("query_id", "doc_id", "score", "rank"), ["query_id"])
 
     if "tfidf" in present:
         found = tfidf.retrieve(QuerySet(texts_for(["tfidf"])), index.tfidf_index, depth["tfidf"])
@@ -187,10 +189,7 @@ def answer(requests: DataFrame, index: SearchIndex) -> DataFrame:
         )
         if "hybrid" in staged:
             parts.append(_hybrid(asked, cands, depth["hybrid"]))
-        if "rerank" in staged:
-            parts.append(_second_stage(asked, cands, queries, index, "rerank"))
-        if "ltr" in staged:
-            parts.append(_second_stage(asked, cands, queries, index, "ltr"))
+        parts += _second_stage(asked, cands, queries, index, [m for m in staged if m != "hybrid"])
     if not parts:
         doc_type = index.catalog.schema["doc_id"].dataType.simpleString()
         return asked.limit(0).select(
@@ -207,6 +206,30 @@ def answer(requests: DataFrame, index: SearchIndex) -> DataFrame:
     return materialize(whole, "answers")
 
 
+def _delivered(of: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """request_id, method, doc_id, score, rank: each request's rows of the list with its keys.
+
+    A list that more than one in HOT_SHARE requests read is copied HOT_PARTS times, and its
+    requests are dealt out over the copies, so a popular query is not one task's work."""
+    counts = of.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    popular = F.broadcast(
+        counts.filter(F.col("n") * HOT_SHARE > of.count()).select(
+            *keys, F.lit(HOT_PARTS).alias("parts")
+        )
+    )
+    parts = F.coalesce("parts", F.lit(1))
+    of = of.join(popular, keys, "left").withColumn(
+        "part", F.pmod(F.xxhash64("request_id"), parts).cast("int")
+    )
+    lists = lists.join(popular, keys, "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), parts - 1))
+    )
+    joined = of.drop("parts").join(lists.drop("parts"), [*keys, "part"])
+    return joined.filter(F.col("rank") <= F.col("top_k")).select(
+        "request_id", "method", "doc_id", "score", "rank"
+    )
+
+
 def _hybrid(asked: DataFrame, cands: DataFrame, max_top_k: int) -> DataFrame:
     """Fuse with each request's own weights. Equal (query, weights) are ranked once."""
     of = asked.filter(F.col("method") == "hybrid")
@@ -219,25 +242,22 @@ def _hybrid(asked: DataFrame, cands: DataFrame, max_top_k: int) -> DataFrame:
         by=tuple(keys),
     )
     lists = lists.filter(F.col("rank") <= F.col("deepest")).select(*keys, "doc_id", "score", "rank")
-    return (
-        of.select("request_id", "method", "top_k", *keys)
-        .join(lists, keys)
-        .filter(F.col("rank") <= F.col("top_k"))
-        .select("request_id", "method", "doc_id", "score", "rank")
-    )
+    return _delivered(of.select("request_id", "method", "top_k", *keys), lists, keys)
 
 
 def _second_stage(
-    asked: DataFrame, cands: DataFrame, queries: QuerySet, index: SearchIndex, method: str
-) -> DataFrame:
+    asked: DataFrame, cands: DataFrame, queries: QuerySet, index: SearchIndex, methods: list[str]
+) -> list[DataFrame]:
     """Re-rank (and, for ltr, score by the forest) the default-weight hybrid list.
 
-    Pairs are scored once to the largest depth asked for; a request with depth d uses the
-    first d of them.
+    A pair is scored once, to the largest depth that a request of either method asks for; a
+    request with depth d uses the first d pairs.
     """
+    if not methods:
+        return []
     options = index.options
-    of = asked.filter(F.col("method") == method)
-    depths = of.select("query_id", "candidate_depth").distinct()
+    of = asked.filter(F.col("method").isin(*methods))
+    depths = of.select("method", "query_id", "candidate_depth").distinct()
     deepest = options.candidate_pool_size
     first = hybrid.fuse(cands, options.alpha, options.beta, deepest)
     limits = depths.groupBy("query_id").agg(F.max("candidate_depth").alias("deepest"))
@@ -251,19 +271,18 @@ def _second_stage(
         _pair_scores(pairs, queries, index, small).withColumnRenamed("rank", "hybrid_rank"),
         "pair-scores",
     )
-    by = ("query_id", "candidate_depth")
-    lists = depths.join(scored, "query_id").filter(F.col("hybrid_rank") <= F.col("candidate_depth"))
-    if method == "rerank":
-        lists = lists.withColumn("score", F.col("ce_score"))
-    else:
-        lists = _forest_scores(lists, queries, index, small)
-    lists = top_k(lists, options.max_top_k, by=by, tie="hybrid_rank")
-    return (
-        of.select("request_id", "method", "top_k", *by)
-        .join(lists.select(*by, "doc_id", "score", "rank"), list(by))
-        .filter(F.col("rank") <= F.col("top_k"))
-        .select("request_id", "method", "doc_id", "score", "rank")
-    )
+    by, found = ["query_id", "candidate_depth"], []
+    for method in methods:
+        mine = depths.filter(F.col("method") == method).drop("method")
+        lists = mine.join(scored, "query_id").filter(F.col("hybrid_rank") <= F.col("candidate_depth"))
+        if method == "rerank":
+            lists = lists.withColumn("score", F.col("ce_score"))
+        else:
+            lists = _forest_scores(lists, queries, index, small)
+        lists = top_k(lists, options.max_top_k, by=tuple(by), tie="hybrid_rank")
+        readers = of.filter(F.col("method") == method).select("request_id", "method", "top_k", *by)
+        found.append(_delivered(readers, lists.select(*by, "doc_id", "score", "rank"), by))
+    return found
 
 
 def _pair_scores(

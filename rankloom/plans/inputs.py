@@ -233,17 +233,33 @@ def _stored_tfidf_index(goods: DataFrame) -> TfidfIndex:
     return TfidfIndex.read(goods.sparkSession, path)
 
 
-def text_search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """All documents, letter-count vectors and token-overlap pair scores. The indexes are
-    written once; batches and micro-batches read them and tokenise no document again."""
+def search_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a catalog."""
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
-    goods = docs.select(
+    return docs.select(
         "doc_id",
         F.concat_ws(" ", "lang", "source").alias("title"),
         F.lit("").alias("brand"),
         F.lit("").alias("color"),
         "text",
     )
+
+
+def text_only_index(spark: SparkSession, goods: DataFrame, text_path: str) -> SearchIndex:
+    """A catalog with a stored text index, for keyword search alone."""
+    return SearchIndex(
+        catalog=goods,
+        text_index=TextIndex.read(spark, text_path),
+        tfidf_index=None,
+        vectors=None,
+        encode=None,
+    )
+
+
+def text_search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """All documents, letter-count vectors and token-overlap pair scores. The indexes are
+    written once; batches and micro-batches read them and tokenise no document again."""
+    goods = search_catalog(spark, sf_dir)
     return SearchIndex(
         catalog=goods,
         text_index=_stored_text_index(goods),

@@ -409,6 +409,11 @@ lambdas AS (
 TURNS = "queries AS (SELECT conv_id * 100 + turn AS query_id, text FROM conversations)"
 
 
+VALIDATED_TURNS = rf"""queries AS (
+  SELECT conv_id * 100 + turn AS query_id, {STRIPPED.replace("query", "text")} AS text FROM conversations
+  WHERE length({STRIPPED.replace("query", "text")}) BETWEEN 1 AND 256)"""
+
+
 def first_tree() -> str:
     """Root split and the better split of its two sides, each from a histogram per feature."""
     bins = ", ".join(
@@ -791,6 +796,12 @@ FROM means JOIN grid USING (method) ORDER BY round(ndcg, 9) DESC, method LIMIT 1
         .replace("FROM per_query GROUP BY 1)", "FROM per_query JOIN splits USING (query_id) WHERE split <> 'test' GROUP BY 1)")
     )
     sql["report_round_trip"] = sql["latency_stats"]
+    sql["stream_index_refresh"] = (
+        _with(VALIDATED_TURNS, bm25_scores(docs="documents"), ranked("r", "bm25", 5))
+        + """SELECT r.query_id AS request_id, r.rank, r.doc_id, CASE WHEN r.query_id % 200 < 100 THEN t.title ELSE upper(t.title) END AS title,
+       round(r.score, 6) AS score
+FROM r JOIN (SELECT doc_id, concat_ws(' ', lang, source) AS title FROM documents) t USING (doc_id)"""
+    )
     sql["stream_requests"] = sql["search_batch"]
     sql["stream_latency"] = sql["windowed_latency"]
     return sql

@@ -25,6 +25,7 @@ from rankloom.sources import reports, tables
 from rankloom.sources.models import TrainingRuns, load_forest, save_forest
 from rankloom.sources.scores import ScoreStore
 from rankloom.sources.vectors import ensure_vectors, id_differences
+from rankloom.sources.versions import Versions
 from rankloom.streaming.monitor import windowed
 from rankloom.streaming.requests import serve
 
@@ -803,6 +804,41 @@ def stream_requests(spark, sf_dir):
     )
 
 
+@registered
+def stream_index_refresh(spark, sf_dir):
+    """The turns of half of the conversations are answered from the first version of an index.
+    Then a second version with other titles is published, and all turns are sent: what was
+    answered before is not answered again, the rest comes from the second version."""
+    out = fresh_dir(spark, "refresh")
+    versions = Versions(spark, f"{out}/index")
+    goods = inputs.search_catalog(spark, sf_dir)
+    stored = {"text": f"{out}/text"}
+    TextIndex.build(goods).write(stored["text"])
+
+    def publish(titled):
+        versions.publish(lambda path: titled.write.parquet(f"{path}/catalog"))
+
+    def current():
+        catalog = spark.read.parquet(f"{versions.current()}/catalog")
+        return inputs.text_only_index(spark, catalog, stored["text"])
+
+    turns = inputs.table(spark, sf_dir, "conversations")
+    asked = inputs.requests(turns).withColumns({"method": F.lit("bm25"), "top_k": F.lit(5)})
+    first = F.col("request_id") % 200 < 100
+    for titled, sent in (
+        (goods, asked.filter(first)),
+        (goods.withColumn("title", F.upper("title")), asked),
+    ):
+        publish(titled)
+        sent.write.mode("append").parquet(f"{out}/requests")
+        stream = spark.readStream.schema(asked.schema).parquet(f"{out}/requests")
+        serve(stream, current, out, f"{out}/checkpoint", once=True).awaitTermination()
+    answers = spark.read.parquet(f"{out}/answers")
+    return answers.select(
+        "request_id", "rank", F.col("product_id").alias("doc_id"), "title", "score"
+    )
+
+
 CLOSING = "/closing"
 
 

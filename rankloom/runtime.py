@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,31 +64,35 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.parquet(path)
-    for owned in _scopes:
+    for owned in _scopes.get():
         owned.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_scopes: list[list[str]] = []
+# The open blocks of this thread: what another stream or query writes meanwhile is not ours.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables that `materialize` writes inside this block when it ends.
+    """Delete the tables that this thread's `materialize` writes inside the block when it ends.
 
     For callers that write their result before they return, such as a micro-batch.
     """
     owned: list[str] = []
-    _scopes.append(owned)
+    token = _scopes.set((*_scopes.get(), owned))
     try:
         yield
     finally:
-        _scopes.remove(owned)
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        _scopes.reset(token)
         for path in owned:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 class QuerySet:

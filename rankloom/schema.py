@@ -46,6 +46,7 @@ TREE_NODES = _struct(
     tree=_I, node=_I, feature=_S, threshold=_D, left=_I, right=_I, value=_D, gain=_D
 )
 
+VERSIONS = _struct(number=_I, path=_S)
 TRAINING_HISTORY = _struct(trees=_I, ndcg=_D)
 TRAINING_RUN = _struct(version=_S, params=_S, rows=_L, trees=_I)
 
