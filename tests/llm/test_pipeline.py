@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from rankloom.llm import packing, tokens
 from rankloom.llm.registry import ORACLE_SQL, QUERIES
-from tests.llm import test_decontaminate, test_linededup, test_simhash
+from tests.llm import test_decontaminate, test_linededup, test_neardup
 from tests.llm.helpers import frame, same_rows
 from tools.check import _rows
 
@@ -36,7 +36,7 @@ def test_same_rows_as_sql(spark, engine, name):
 
 def test_every_operator_is_registered():
     names = contract.queries()
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in names)] == []
     assert "pipeline" in names
 
 
@@ -45,12 +45,7 @@ def plain_stages(docs, items):
     yield kept
     kept = [(i, text) for i, _, _, text in test_linededup.expected(kept)]
     yield kept
-    prints = [test_simhash.plain_fingerprint(t, 3) for _, t in kept]
-    roots = test_simhash.classes(prints, 2)
-    least = {}
-    for (i, _), r in zip(kept, roots):
-        least[r] = min(i, least.get(r, i))
-    kept = [(i, t) for (i, t), r in zip(kept, roots) if least[r] == i]
+    kept = test_neardup.plain_kept(kept)
     yield kept
     bad = [r[-1] for r in test_decontaminate.expected(kept, items)]
     yield [x for x, b in zip(kept, bad) if not b]
