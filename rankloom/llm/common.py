@@ -70,15 +70,23 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def unused(columns: list[str], *wanted: str) -> list[str]:
-    """Names like the wanted ones that differ from all `columns`, whatever their case."""
-    taken, found = {c.lower() for c in columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        found.append(name)
-    return found
+def on_safe_names(
+    docs: DataFrame, run: Callable[[DataFrame, dict[str, str]], DataFrame]
+) -> DataFrame:
+    """`run(docs, names)` under column names that clash with nothing and need no quoting; `names`
+    leads from the given names to those. Columns that `run` adds replace given ones of the same
+    name, so an operator may be run again over its own result."""
+    safe = [f"c{i}" for i in range(len(docs.columns))]
+    back = dict(zip(safe, docs.columns))
+    found = run(docs.toDF(*safe), dict(zip(docs.columns, safe)))
+    added = {c.lower() for c in found.columns if c not in back}
+    return found.select(
+        *(
+            F.col(c).alias(back.get(c, c))
+            for c in found.columns
+            if c not in back or back[c].lower() not in added
+        )
+    )
 
 
 def blank_free(text: Column) -> Column:

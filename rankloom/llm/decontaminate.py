@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import binary, table, words
+from rankloom.llm.common import binary, on_safe_names, table, words
 from rankloom.runtime import materialize
 
 WINDOW = 13
@@ -128,21 +128,25 @@ def scan_documents(
     """`docs` plus `_hit_words` (number of words), `_hit_spans` (word ranges inside occurrences,
     merged, end exclusive) and `_hit_items` (distinct ids of items with an occurrence)."""
     spark = docs.sparkSession
-    plain = docs.schema
-    schema = docs.select(
-        "*",
-        F.lit(0).cast("long").alias("_hit_words"),
-        F.array().cast("array<struct<s:int,e:int>>").alias("_hit_spans"),
-        F.array().cast("array<string>").alias("_hit_items"),
-    ).schema
-    groups = pattern_groups(items, item_col, item_text_col, size, block_windows, group_bytes)
-    group = next(groups, [])
-    while True:
-        docs = _pass(spark, docs, plain.names, schema, text_col, group, size)
-        group = next(groups, None)
-        if group is None:
-            return docs
-        docs = materialize(docs, "scanned")
+
+    def run(docs: DataFrame, safe: dict[str, str]) -> DataFrame:
+        plain = docs.columns
+        schema = docs.select(
+            "*",
+            F.lit(0).cast("long").alias("_hit_words"),
+            F.array().cast("array<struct<s:int,e:int>>").alias("_hit_spans"),
+            F.array().cast("array<string>").alias("_hit_items"),
+        ).schema
+        groups = pattern_groups(items, item_col, item_text_col, size, block_windows, group_bytes)
+        group = next(groups, [])
+        while True:
+            docs = _pass(spark, docs, plain, schema, safe[text_col], group, size)
+            group = next(groups, None)
+            if group is None:
+                return docs
+            docs = materialize(docs, "scanned")
+
+    return on_safe_names(docs, run)
 
 
 def _pass(
@@ -208,7 +212,13 @@ def judged(
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are not contaminated, columns unchanged."""
-    return judged(docs, items, **options).filter(~F.col("_contaminated")).select(docs.columns)
+    text_col = options.pop("text_col", "text")
+
+    def run(docs: DataFrame, safe: dict[str, str]) -> DataFrame:
+        marked = judged(docs, items, text_col=safe[text_col], **options)
+        return marked.filter(~F.col("_contaminated")).select(docs.columns)
+
+    return on_safe_names(docs, run)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

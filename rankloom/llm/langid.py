@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import binary, map_arrow, table
+from rankloom.llm.common import binary, map_arrow, on_safe_names, table
 from rankloom.runtime import hinted, materialize
 
 SIZE = 300
@@ -181,22 +181,25 @@ def predict(
     docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", size: int = SIZE
 ) -> DataFrame:
     """`docs` plus `_lang_pred` and `_lang_score`."""
-    place = docs.columns.index(text_col)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
     held: dict[str, RankOrder] = {}
 
-    def step(batch: pa.RecordBatch) -> dict[str, object]:
-        if "model" not in held:
-            held["model"] = RankOrder(sent.value, size)
-        found = [held["model"].predict(t) for t in binary(batch.column(place))]
-        return {n: batch.column(i) for i, n in enumerate(names)} | {
-            "_lang_pred": [x for x, _ in found],
-            "_lang_score": [y for _, y in found],
-        }
+    def run(docs: DataFrame, safe: dict[str, str]) -> DataFrame:
+        names, place = docs.columns, docs.columns.index(safe[text_col])
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema]
 
-    return map_arrow(docs, step, ", ".join([*kinds, "_lang_pred string", "_lang_score double"]))
+        def step(batch: pa.RecordBatch) -> dict[str, object]:
+            if "model" not in held:
+                held["model"] = RankOrder(sent.value, size)
+            found = [held["model"].predict(t) for t in binary(batch.column(place))]
+            return {n: batch.column(i) for i, n in enumerate(names)} | {
+                "_lang_pred": [x for x, _ in found],
+                "_lang_score": [y for _, y in found],
+            }
+
+        return map_arrow(docs, step, ", ".join([*kinds, "_lang_pred string", "_lang_score double"]))
+
+    return on_safe_names(docs, run)
 
 
 def held_out(doc_id):

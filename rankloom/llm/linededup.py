@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import BLANKS, binary, code_points, map_arrow, same, table
+from rankloom.llm.common import BLANKS, binary, code_points, map_arrow, on_safe_names, same, table
 from rankloom.runtime import materialize
 
 MIN_DOCS = 3
@@ -270,8 +270,13 @@ class LineIndex:
         """`docs` (documents of this index) with the kept text in place of the old one, and
         `_n_lines`, `_n_dropped`."""
         drops = self.drops().withColumnsRenamed({"doc_id": "_drop_id", "keys": "_drop_keys"})
-        joined = docs.join(drops, same(docs[id_col], drops["_drop_id"]), "left").drop("_drop_id")
-        return _rewritten(joined, docs.columns, text_col, self.min_chars)
+
+        def run(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+            here = same(docs[names[id_col]], drops["_drop_id"])
+            joined = docs.join(drops, here, "left").drop("_drop_id")
+            return _rewritten(joined, docs.columns, names[text_col], self.min_chars)
+
+        return on_safe_names(docs, run)
 
 
 def _counted(postings: DataFrame) -> DataFrame:
@@ -458,8 +463,12 @@ def _rewritten(joined: DataFrame, names: list[str], text_col: str, min_chars: in
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without its repeated lines, columns unchanged."""
-    index = LineIndex.build(docs, id_col, text_col, **options)
-    return index.dedup(docs, id_col, text_col).select(docs.columns)
+
+    def run(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+        index = LineIndex.build(docs, names[id_col], names[text_col], **options)
+        return index.dedup(docs, names[id_col], names[text_col]).select(docs.columns)
+
+    return on_safe_names(docs, run)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

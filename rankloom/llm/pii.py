@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import map_arrow, same, table
+from rankloom.llm.common import map_arrow, on_safe_names, same, table
 from rankloom.runtime import materialize
 
 KEY = b"rankloom-surrogates"
@@ -387,6 +387,10 @@ def pseudonymize(
 ) -> DataFrame:
     """`docs` with surrogates in the texts, and `_n_entities` (mentions replaced) and
     `_entity_kinds` (their sorted distinct kinds)."""
+    return on_safe_names(docs, lambda d, names: _replaced(d, names[id_col], names[text_col], key))
+
+
+def _replaced(docs: DataFrame, id_col: str, text_col: str, key: bytes) -> DataFrame:
     found = materialize(detected(docs, id_col, text_col), "mentions")
     entities = materialize(
         found.groupBy("kind", "form").agg(F.max("code").alias("code")), "entities"

@@ -16,12 +16,15 @@ Payloads are hashed where they are read; only records that were cut are moved.
 
 Defined results: a null payload is empty; a null id is written as such and read back as null;
 repeated ids are written once per row; control characters in an address are percent-encoded; a
-file that does not start with the magic, or an empty folder, has no records; a chain ends at the
-first successor that is no candidate, and what follows it is not trusted.
+file that does not start with the magic, or an empty folder, has no records; one of another
+version of the format is an error; a chain ends at the first successor that is no candidate, and
+what follows it is not trusted. A revisit's digest is the one that its own header states, its
+length that of the referred response with this digest, if there is one.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -38,6 +41,7 @@ from rankloom.runtime import materialize, shared_dir
 
 MAGIC = "WARC/1.1\r\n"
 DELIMITER = len(MAGIC)
+OTHER = b"WARC/"
 END = "\r\n\r\n"
 MIN_BYTES = 1000
 ID = "urn:rankloom:page:"
@@ -183,7 +187,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-FACTS = "kind string, record_id string, page_id long, refers_to long, payload_bytes long, payload_digest string"
+FACTS = "kind string, record_id string, page_id long, refers_to long, payload_bytes long, payload_digest string, stated_digest string"
 
 
 def facts(chunk: bytes, parsed, payload: bytes | None) -> tuple:
@@ -195,9 +199,22 @@ def facts(chunk: bytes, parsed, payload: bytes | None) -> tuple:
         _page(fields.get(b"warc-refers-to", b"")),
         None if payload is None else len(payload),
         None if payload is None else hashlib.sha1(payload).hexdigest(),
+        _sha1(fields.get(b"warc-payload-digest", b"")),
     )
 
 
+def _sha1(value: bytes) -> str | None:
+    """A stated SHA-1 in hex; archives write it in hex or in base 32."""
+    kind, _, digest = value.partition(b":")
+    if kind.lower() != b"sha1":
+        return None
+    try:
+        raw = bytes.fromhex(digest.decode()) if len(digest) == 40 else base64.b32decode(digest.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """One row per cut: file, split, at (offset in the split of the byte after the magic), size,
     next (offset of the successor, null for no header), exit (first offset of its chain beyond
@@ -228,8 +245,10 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                     if rows:
                         yield close()
                     rows, current, at = [], (file, split), 0
+                if not split and not at and chunk.startswith(OTHER):
+                    raise ValueError(f"{file} is no archive of version 1.1")
                 parsed = parse_header(chunk)
-                row = [file, split, at, len(chunk), None, None, False, *[None] * 6]
+                row = [file, split, at, len(chunk), None, None, False, *[None] * 7]
                 if parsed:
                     head, size, fields = parsed
                     row[4] = at + head + size + len(END) + DELIMITER
@@ -282,10 +301,21 @@ def _entries(cuts: DataFrame, bases: DataFrame) -> DataFrame:
 def _walk(cuts: DataFrame, bases: DataFrame, entries: DataFrame) -> DataFrame:
     """The cuts with `offset` in the file, `on_chain`, and `owner`: the offset of the chain's
     record that holds the piece (null for pieces before the split's entry)."""
-    placed = bases.join(entries, "file", "left")
-    inside = (F.col("offset") >= F.col("base")) & (F.col("offset") < F.col("until"))
-    entry = placed.filter(inside).groupBy("file", "split").agg(
-        F.min(F.col("offset") - F.col("base")).alias("entry")
+    # A row per split and per entry: the split of an entry is the last one that begins before it.
+    places = bases.select("file", F.col("base").alias("offset"), F.lit(0).alias("kind"), "split", "base", "until")
+    none = F.lit(None).cast("long")
+    events = places.unionByName(
+        entries.select(
+            "file", "offset", F.lit(1).alias("kind"), *(none.alias(c) for c in ("split", "base", "until"))
+        )
+    )
+    upto = Window.partitionBy("file").orderBy("offset", "kind")
+    latest = {c: F.last(c, ignorenulls=True).over(upto) for c in ("split", "base", "until")}
+    entry = (
+        events.withColumns(latest)
+        .filter("kind = 1 and offset < until")
+        .groupBy("file", "split")
+        .agg(F.min(F.col("offset") - F.col("base")).alias("entry"))
     )
     narrow = cuts.select("file", "split", "at", "next").join(entry, ["file", "split"], "left")
 
@@ -400,16 +430,17 @@ def _mended(spark: SparkSession, path: str, walked: DataFrame, broken: DataFrame
 def resolved(records: DataFrame) -> DataFrame:
     """`records` with the payload facts of revisits taken from the response they refer to."""
     records = materialize(records, "records")
+    own = ["page_id", "kind", "refers_to", "payload_bytes", "payload_digest"]
     origin = (
         records.filter("kind = 'response' and page_id is not null")
-        .groupBy(F.col("page_id").alias("refers_to"))
-        .agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("origin"))
+        .select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+        .distinct()
     )
-    stored = records.filter("kind <> 'revisit'").select("page_id", "kind", "refers_to", "payload_bytes", "payload_digest")
-    revisits = records.filter("kind = 'revisit'").select("page_id", "kind", "refers_to").join(origin, "refers_to", "left")
-    return stored.unionByName(
-        revisits.select("page_id", "kind", "refers_to", "origin.payload_bytes", "origin.payload_digest")
+    revisits = records.filter("kind = 'revisit'").select(
+        "page_id", "kind", "refers_to", F.col("stated_digest").alias("payload_digest")
     )
+    found = revisits.join(origin, ["refers_to", "payload_digest"], "left")
+    return records.filter("kind <> 'revisit'").select(own).unionByName(found.select(own))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

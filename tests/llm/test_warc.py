@@ -1,3 +1,5 @@
+import base64
+import gzip
 import hashlib
 import random
 import uuid
@@ -83,6 +85,35 @@ def test_splits_of_any_size(spark, tmp_path, size):
             spark.conf.set(k, v)
 
 
+def test_one_id_with_several_payloads(spark, tmp_path):
+    pages = [(1, "u", "A" * 1200), (1, "u", "B" * 1500), (0, "u", "A" * 1200), (0, "u", "B" * 1500), (0, "u", "C")]
+    got, _ = round_trip(spark, pages, tmp_path)
+    same_rows(got, expected(pages))
+
+
+def test_compressed_archives_and_other_versions(spark, tmp_path):
+    _, path = round_trip(spark, PAGES[:8], tmp_path)
+    whole = b"".join(p.read_bytes() for p in sorted(Path(path).glob("part*")))
+    start = [i for i in range(len(whole)) if whole.startswith(warc.MAGIC.encode() + b"WARC-Type: re", i)]
+    (tmp_path / "gz").mkdir()
+    members = [gzip.compress(whole[a:b]) for a, b in zip(start, [*start[1:], len(whole)])]
+    (tmp_path / "gz" / "a.warc.gz").write_bytes(b"".join(members))
+    got = warc.resolved(warc.read_archives(spark, str(tmp_path / "gz")))
+    rows = got.select("page_id", "payload_bytes", "payload_digest", "kind", "refers_to").collect()
+    same_rows(rows, expected(PAGES[:8]))
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "a.warc").write_bytes(whole.replace(b"WARC/1.1", b"WARC/1.0"))
+    with pytest.raises(Exception, match="no archive of version 1.1"):
+        warc.read_archives(spark, str(tmp_path / "old")).collect()
+
+
+def test_stated_digests():
+    raw = hashlib.sha1(b"x")
+    assert warc._sha1(b"sha1:" + raw.hexdigest().encode()) == raw.hexdigest()
+    assert warc._sha1(b"SHA1:" + base64.b32encode(raw.digest())) == raw.hexdigest()
+    assert [warc._sha1(x) for x in (b"", b"md5:00", b"sha1:zz", b"sha1:" + b"z" * 40)] == [None] * 4
+
+
 def test_empty_table(spark, tmp_path):
     assert round_trip(spark, [], tmp_path)[0] == []
 
