@@ -801,6 +801,14 @@ FROM means JOIN grid USING (method) ORDER BY round(ndcg, 9) DESC, method LIMIT 1
         + """SELECT r.query_id AS request_id, r.rank, r.doc_id, CASE WHEN r.query_id % 200 < 100 THEN t.title ELSE upper(t.title) END AS title,
        round(r.score, 6) AS score
 FROM r JOIN (SELECT doc_id, concat_ws(' ', lang, source) AS title FROM documents) t USING (doc_id)"""
+    )
+    sql["incremental_bm25_topk"] = sql["bm25_topk"]
+    sql["scoring_runs"] = (
+        _with(SHOP, bm25_scores(), dense_scores(), pool(), pair_scored())
+        + """, pairs AS (SELECT query_id, doc_id, min(hybrid_rank) AS place FROM scored GROUP BY 1, 2),
+counts AS (SELECT count(*) AS n, count(*) FILTER (WHERE place <= 25) AS half FROM pairs)
+SELECT 1 AS run, half AS new_pairs, 0::BIGINT AS reused_pairs, half > 0 AS timed FROM counts
+UNION ALL SELECT 2, n - half, half, n > half FROM counts UNION ALL SELECT 3, 0, n, false FROM counts"""
     )
     sql["stream_requests"] = sql["search_batch"]
     sql["stream_latency"] = sql["windowed_latency"]

@@ -15,6 +15,7 @@ from rankloom.operators import bm25, compare, dense, hybrid, ltr, metrics, monit
 from rankloom.operators import rerank as reranking
 from rankloom.operators import sampling, search, tfidf
 from rankloom.operators.forest import importance, score_rows
+from rankloom.operators.indexlog import IndexLog
 from rankloom.operators.ranking import as_ranking, result_rows
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
@@ -185,6 +186,18 @@ def bm25_topk(spark, sf_dir):
     return ranked(inputs.bm25_over_documents(spark, sf_dir))
 
 
+@registered
+def incremental_bm25_topk(spark, sf_dir):
+    """An index taken in by changes: outdated texts first, then all documents under the same
+    ids, then a removal of documents that do not belong. Its answers are those of a fresh one."""
+    docs = inputs.documents(spark, sf_dir)
+    log = IndexLog(spark, fresh_dir(spark, "log"))
+    log.upsert(docs.withColumn("text", F.reverse("text")))
+    log.upsert(docs.unionByName(docs.withColumn("doc_id", -1 - F.col("doc_id"))))
+    log.remove(docs.select((-1 - F.col("doc_id")).alias("doc_id")))
+    return ranked(bm25.retrieve(inputs.text_queries(spark, sf_dir), log.read()))
+
+
 # Slices of the batches below: so small that the given tables need several.
 SLICE_BYTES = 4 * 1024 * 1024
 
@@ -344,6 +357,28 @@ def score_store_resume(spark, sf_dir):
     return store.lookup(pairs).select("query_id", "doc_id", *r6("ce_score"))
 
 
+@registered
+def scoring_runs(spark, sf_dir):
+    """The numbers of three runs into one store: the first half of every list, the whole lists
+    in two chunks, and the same once more after the commits were merged."""
+    shop = Shop(spark, sf_dir)
+    queries = shop.queries
+    top = hybrid.fuse(shop.pool(), 0.4, 0.6, inputs.DEPTH).select("query_id", "doc_id", "rank")
+    small = queries.rows_fit(inputs.DEPTH, 128)
+    pairs = materialize(
+        reranking.text_pairs(top, queries.texts, shop.corpus, None, small, queries.texts_fit), "pairs"
+    )
+    store = ScoreStore(spark, fresh_dir(spark, "scores"), "token-cosine")
+    runs = [
+        store.score_missing(pairs.filter(F.col("rank") <= inputs.DEPTH // 2), token_cosine),
+        store.score_missing(pairs, token_cosine, chunks=2),
+    ]
+    store.merge()
+    runs.append(store.score_missing(pairs, token_cosine))
+    rows = [(i + 1, r.new_pairs, r.reused_pairs, r.pairs_per_second is not None) for i, r in enumerate(runs)]
+    return spark.createDataFrame(rows, "run int, new_pairs long, reused_pairs long, timed boolean")
+
+
 @registered
 def missing_pairs(spark, sf_dir):
     pool = materialize(_text_pool(spark, sf_dir), "pool")

@@ -47,6 +47,7 @@ TREE_NODES = _struct(
 )
 
 VERSIONS = _struct(number=_I, path=_S)
+SCORE_COMMITS = _struct(folder=_S, replaces=T.ArrayType(T.StringType()))
 TRAINING_HISTORY = _struct(trees=_I, ndcg=_D)
 TRAINING_RUN = _struct(version=_S, params=_S, rows=_L, trees=_I)
 
