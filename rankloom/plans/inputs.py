@@ -21,7 +21,8 @@ from rankloom.operators.rerank import reorder, score_pairs, text_pairs
 from rankloom.operators.search import SearchIndex
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
-from rankloom.runtime import QuerySet, fresh_dir, materialize, spread
+from rankloom.runtime import QuerySet, fresh_dir, materialize, shared_dir, spread
+from rankloom.sources.models import TrainingRuns
 
 DEPTH = 50
 
@@ -274,6 +275,11 @@ def text_search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     )
 
 
+def training_runs(spark: SparkSession) -> TrainingRuns:
+    """The runs of this application; those of an earlier one may be of older code."""
+    return TrainingRuns(spark, f"{shared_dir(spark)}/rankloom-training/{spark.sparkContext.applicationId}")
+
+
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` read as a log: method, phase, latency_ms, status_code, cached."""
     return log_columns(table(spark, sf_dir, "events"))

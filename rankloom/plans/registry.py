@@ -21,9 +21,9 @@ from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
 from rankloom.plans import inputs
 from rankloom.plans.inputs import Shop
-from rankloom.runtime import QuerySet, fresh_dir, materialize, shared_dir
+from rankloom.runtime import QuerySet, fresh_dir, materialize
 from rankloom.sources import reports, tables
-from rankloom.sources.models import TrainingRuns, load_forest, save_forest
+from rankloom.sources.models import load_forest, save_forest
 from rankloom.sources.scores import ScoreStore
 from rankloom.sources.vectors import ensure_vectors, id_differences
 from rankloom.sources.versions import Versions
@@ -406,9 +406,8 @@ def ltr_training_rows(spark, sf_dir):
 
 
 def _trained(spark, rows):
-    """The ranker of these rows: one stored run serves every query of the session's folder."""
-    runs = TrainingRuns(spark, f"{shared_dir(spark)}/rankloom-training")
-    return runs.get(rows, ltr.LtrParams(), ltr.train)
+    """The ranker of these rows: one stored run serves every query of the application."""
+    return inputs.training_runs(spark).get(rows, ltr.LtrParams(), ltr.train)
 
 
 @registered

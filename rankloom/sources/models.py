@@ -25,7 +25,7 @@ def load_forest(spark: SparkSession, path: str) -> Forest:
 
 @dataclass(frozen=True)
 class TrainingRuns:
-    """Training runs in one folder, each under the hash of its rows and parameters.
+    """Training runs in one folder, each under the hash of its rows, parameters and trainer.
 
     A run is `nodes` (the forest), `history` (validation NDCG before every tree) and `run` (its
     parameters and counts). `run` is written last: a run without it was cut short and is made
@@ -35,14 +35,15 @@ class TrainingRuns:
     spark: SparkSession
     folder: str
 
-    def version(self, rows: DataFrame, params) -> str:
-        """The same for equal rows, in whatever order, and equal parameters. Numbers count to 9
-        decimals, because sums of floats differ beyond that from run to run."""
+    def version(self, rows: DataFrame, params, train: Callable) -> str:
+        """The same for equal rows, in whatever order, equal parameters and the same trainer.
+        Numbers count to 9 decimals, because sums of floats differ beyond that from run to run."""
         cells = [F.round(c, 9) if t == "double" else F.col(c) for c, t in sorted(rows.dtypes)]
         row = rows.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64(*cells).cast("decimal(38,0)"))
         ).first()
-        about = json.dumps([asdict(params), sorted(rows.dtypes), row[0], str(row[1])])
+        trainer = f"{train.__module__}.{train.__qualname__}"
+        about = json.dumps([trainer, asdict(params), sorted(rows.dtypes), row[0], str(row[1])])
         return hashlib.sha256(about.encode()).hexdigest()[:32]
 
     def path(self, version: str, part: str) -> str:
@@ -56,7 +57,7 @@ class TrainingRuns:
 
     def get(self, rows: DataFrame, params, train: Callable[[DataFrame, object], Forest]) -> Forest:
         """The run of these rows and parameters, trained now if there is none."""
-        version = self.version(rows, params)
+        version = self.version(rows, params, train)
         if not self.finished(version):
             self.save(version, train(rows, params), params, rows.count())
         forest = load_forest(self.spark, self.path(version, "nodes"))

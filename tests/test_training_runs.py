@@ -6,9 +6,9 @@ import pytest
 
 from rankloom.operators import ltr
 from rankloom.operators.features import FEATURES, MONOTONE
-from rankloom.plans.inputs import Shop
+from rankloom.plans.inputs import Shop, training_runs
 from rankloom.plans.registry import METHODS, QUERIES
-from rankloom.runtime import materialize, shared_dir
+from rankloom.runtime import materialize
 from rankloom.sources.models import TrainingRuns
 
 SF = "/root/testdata/sf0.001"
@@ -31,11 +31,12 @@ def test_a_finished_run_is_read_and_a_cut_one_made_again(spark, rows, tmp_path):
     again = runs.get(rows.orderBy("doc_id"), SMALL, train)
     assert calls == [SMALL] and again.trees == first.trees and again.history == first.history
     assert 1 <= len(first.trees) <= 3 and [t for t, _ in first.history] == [0, 1, 2]
-    version = runs.version(rows, SMALL)
+    version = runs.version(rows, SMALL, train)
     about = spark.read.parquet(runs.path(version, "run")).first()
     assert json.loads(about["params"])["max_bin"] == 31 and about["rows"] == rows.count()
     other = ltr.LtrParams(n_estimators=1)
-    assert runs.version(rows, other) != version and not runs.finished(runs.version(rows, other))
+    assert len({version, runs.version(rows, other, train), runs.version(rows, SMALL, ltr.train)}) == 3
+    assert not runs.finished(runs.version(rows, other, train))
     forest = runs.get(rows, other, train)
     runs.save("cut", forest, other, 1)
     spark.createDataFrame([], "version string").write.mode("overwrite").parquet(runs.path("cut", "run"))
@@ -69,7 +70,7 @@ def test_registered_ranker(spark, rows):
     assert {m: six[m] for m in METHODS} == five
     assert all(0 <= six["ltr"][c] <= 1 for c in ("precision", "recall", "ndcg", "ap", "rr"))
 
-    forest = TrainingRuns(spark, f"{shared_dir(spark)}/rankloom-training").get(rows, ltr.LtrParams(), None)
+    forest = training_runs(spark).get(rows, ltr.LtrParams(), ltr.train)
     measured = dict(forest.history)
     best = max(measured, key=lambda t: (round(measured[t], 12), -t))
     assert len(forest.trees) in (max(1, best), len(measured) - 1, len(measured))
