@@ -80,3 +80,34 @@ def test_word_splitting_of_whole_texts(spark):
     df = spark.createDataFrame([(t,) for _, t in TEXTS], "text string")
     rows = df.select("text", m.text_words(F.coalesce("text", F.lit(""))).alias("w")).collect()
     assert all(r["w"] == words(r["text"]) for r in rows)
+
+
+def many(count):
+    names = [f"licence{i:03d} of the maker{i:03d}" for i in range(count)]
+    return m.templates()[:4] + [m.Template.of(f"own-{i}", f"under the {n} terms", (n,)) for i, n in enumerate(names)]
+
+
+def test_hundreds_of_templates_have_the_plan_of_a_few(spark):
+    """Index and templates are constants: nothing is unrolled by template."""
+
+    def size(known):
+        plan = m.scan(frame(spark, TEXTS), known=known)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("lambdafunction("), plan.count("split("), len(plan.splitlines())
+
+    assert size(many(20)) == size(many(500))
+
+
+def test_hundreds_of_templates_are_told_apart(spark):
+    texts = [(1, "Under the LICENCE007 of the maker007 terms, MIT license"), (2, "licence007 of the maker008")]
+    rows = m.scan(frame(spark, texts), known=many(500)).collect()
+    found = {r["doc_id"]: [(p["label"], p["start"], round(p["score"], 3)) for p in r["_places"]] for r in rows}
+    assert found == {1: [("mit", 7, 0.5), ("own-7", 0, 1.0)], 2: []}
+
+
+def test_rows_of_the_full_notices(spark):
+    """Every template's own notice is found at its start with the full score."""
+    own = [t for t in m.templates() if not t.base]
+    rows = m.scan(frame(spark, [(i, "x " + " ".join(t.words)) for i, t in enumerate(own)])).collect()
+    for r in rows:
+        t = own[r["doc_id"]]
+        assert (t.label, 1, 1.0) in {(p["label"], p["start"], round(p["score"], 9)) for p in r["_places"]}
