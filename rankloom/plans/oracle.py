@@ -598,14 +598,17 @@ SELECT example_id, query, product_id, relevance_score FROM rest WHERE place <= 5
         + "SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r",
         "tfidf_many_queries": _with(TURNS, tfidf_scores(docs="documents"), ranked("r", "tfidf", 10))
         + f"SELECT {RANKED} FROM r",
-        "dense_topk": _with(
-            UNIT_VECTORS,
-            "queries AS (SELECT vec_id AS query_id, vec FROM unit)",
-            "docs AS (SELECT vec_id AS doc_id, vec FROM unit)",
-            dense_scores(),
-            ranked("r", "emb", 10),
-        )
-        + f"SELECT {RANKED} FROM r",
+        **dict.fromkeys(
+            ["dense_topk", "dense_cells_topk"],
+            _with(
+                UNIT_VECTORS,
+                "queries AS (SELECT vec_id AS query_id, vec FROM unit)",
+                "docs AS (SELECT vec_id AS doc_id, vec FROM unit)",
+                dense_scores(),
+                ranked("r", "emb", 10),
+            )
+            + f"SELECT {RANKED} FROM r",
+        ),
         "encoded_dense_topk": _with(
             letter_vectors("docs", "documents", "doc_id"),
             letter_vectors(

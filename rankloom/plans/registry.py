@@ -14,6 +14,7 @@ from rankloom.functions.vectors import letter_vector
 from rankloom.operators import bm25, compare, dense, hybrid, ltr, metrics, monitor, prepare
 from rankloom.operators import rerank as reranking
 from rankloom.operators import sampling, search, tfidf
+from rankloom.operators.cells import CellIndex, write_cells
 from rankloom.operators.forest import importance, score_rows
 from rankloom.operators.indexlog import IndexLog
 from rankloom.operators.ranking import as_ranking, result_rows
@@ -243,6 +244,16 @@ def dense_topk(spark, sf_dir):
     return ranked(dense.retrieve(queries, dense.vector_table(stored, "vec_id", "embedding")))
 
 
+@registered
+def dense_cells_topk(spark, sf_dir):
+    """The rows of `dense_topk` from vectors stored by cell: only cells within reach are read."""
+    stored = inputs.table(spark, sf_dir, "embeddings")
+    path = fresh_dir(spark, "cells")
+    write_cells(dense.vector_table(stored, "vec_id", "embedding"), path)
+    queries = QuerySet(dense.vector_table(stored, "vec_id", "embedding", "query_id"))
+    return ranked(CellIndex(spark, path).retrieve(queries))
+
+
 @registered
 def encoded_dense_topk(spark, sf_dir):
     docs = dense.encode_texts(inputs.documents(spark, sf_dir), letter_vector)
