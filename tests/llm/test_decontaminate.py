@@ -21,14 +21,14 @@ def expected(docs, items, size=13):
         own, hit, found = split(text), set(), set()
         for item_id, item in items:
             words = split(item)
-            if not words or item_id is None:
+            if not words:
                 continue
             n = min(size, len(words))
             wins = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
             for i in range(len(own) - n + 1):
                 if tuple(own[i : i + n]) in wins:
                     hit.update(range(i, i + n))
-                    found.add(str(item_id))
+                    found.update([] if item_id is None else [str(item_id)])
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append(
             (doc_id, len(own), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(own))
@@ -65,7 +65,8 @@ DOCS = [
     (8, prose(54, 30_000) + " " + PASSAGE),
     (None, PASSAGE),
 ]
-ITEMS = [(1, PASSAGE), (2, "Tiny item"), (10, prose(55, 30)), (3, None), (4, " ! "), (None, prose(54, 50)), (1, PASSAGE)]
+# Of the items without an id, one occurs in document 4: its words are hit, no item is named.
+ITEMS = [(None, prose(52, 20)), (1, PASSAGE), (2, "Tiny item"), (10, prose(55, 30)), (3, None), (4, " ! "), (None, prose(54, 50)), (1, PASSAGE)]
 
 
 def test_brute_force(spark):
@@ -78,6 +79,23 @@ def test_blocks_and_passes_change_nothing(spark):
     same_rows(run(spark, DOCS, ITEMS, block_windows=7, group_bytes=1), want)
 
 
+def test_pieces_hold_every_window_once():
+    item = [str(i).encode() for i in range(50)]
+    for most in (1, 4, 37, 38, 100):
+        got = [w for piece, n in d.cut(item, 13, most) for w in d.windows(piece, 13)]
+        assert got == list(d.windows(item, 13))
+        assert sum(n for _, n in d.cut(item, 13, most)) == len(got)
+    assert list(d.cut([], 13, 4)) == [] and list(d.cut(item[:5], 13, 4)) == [(item[:5], 1)]
+
+
+def test_documents_are_scanned_once_whatever_the_number_of_groups(spark):
+    docs = frame(spark, DOCS)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    marked = d.scan_documents(docs, bench, block_windows=7, group_bytes=1)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
 def test_empty_tables(spark):
     assert run(spark, [], ITEMS) == []
     same_rows(run(spark, DOCS, []), expected(DOCS, []))
