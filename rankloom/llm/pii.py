@@ -18,6 +18,10 @@ A surrogate is a keyed hash of the canonical form and an attempt number. Collisi
 entities that would share one, and an entity whose surrogate is a real entity of the corpus, are
 found by grouping and joining the entity table; the smallest entity keeps it, the others try
 again with the next attempt number until none is left. So different entities stay different.
+Private address blocks and social security numbers are closed spaces that a corpus may fill: one of
+which more than a third occurs is permuted as a whole by a keyed circle without fixed points, like
+the given names; only there may a surrogate be another real entity. Elsewhere an attempt finds
+a free value as long as there is one; `ROUNDS` attempts in a row that place nothing are an error.
 
 Scale: the entity table holds distinct entities, combined before the shuffle; mentions join it by
 entity (a skewed join if one entity is everywhere) and are gathered per document, bounded by the
@@ -226,6 +230,78 @@ def given_order(key: bytes, script: str, gender: str) -> list[str]:
     return sorted(names, key=lambda n: hashlib.blake2b(n.encode(), key=key[:64], digest_size=16).digest())
 
 
+class Circle:
+    """All numbers below n in one keyed circle; `step` leads to the next. A permutation that moves
+    every number (n > 1), computed without a table: a Feistel network numbers the places, and values
+    beyond n are walked over."""
+
+    TURNS = 6
+
+    def __init__(self, key: bytes, label: str, n: int):
+        self.n, self.key, self.label = n, key[:64], label.encode()
+        self.width = max(1, ((n - 1).bit_length() + 1) // 2)
+        self.mask = (1 << self.width) - 1
+
+    def _mix(self, half: int, turn: int) -> int:
+        data = self.label + bytes([0, turn]) + half.to_bytes(16, "big")
+        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=16).digest(), "big") & self.mask
+
+    def place(self, x: int) -> int:
+        while True:
+            left, right = x >> self.width, x & self.mask
+            for turn in range(self.TURNS):
+                left, right = right, left ^ self._mix(right, turn)
+            x = left << self.width | right
+            if x < self.n:
+                return x
+
+    def at(self, place: int) -> int:
+        while True:
+            left, right = place >> self.width, place & self.mask
+            for turn in reversed(range(self.TURNS)):
+                left, right = right ^ self._mix(left, turn), left
+            place = left << self.width | right
+            if place < self.n:
+                return place
+
+    def step(self, x: int) -> int:
+        return self.at((self.place(x) + 1) % self.n)
+
+
+PLAIN_OCTETS = [str(i) for i in range(256)]
+PADDED_OCTETS = [f"0{i}" for i in range(10)]
+DIGITS = list("0123456789")
+BLOCK = re.compile(r"(?:10|127|192\.168|172\.16)(?=\.)")
+
+
+def closed_space(kind: str, form: str) -> tuple[str, int] | None:
+    """Name and size of the small space whose members an entity's surrogate must come from."""
+    if kind == "ssn":
+        return f"ssn {len(form)}", 10 ** len(form)
+    block = BLOCK.match(form) if kind == "ipv4" else None
+    return (f"ipv4 {block[0]}", 256 ** (3 - block[0].count("."))) if block else None
+
+
+def permuted(key: bytes, kind: str, form: str) -> str:
+    """The next form in the keyed circle of a closed space; padded octets stay padded."""
+    name, _ = closed_space(kind, form)
+    head = name.split(" ")[1].split(".") if kind == "ipv4" else []
+    parts = form.split(".")[len(head) :] if kind == "ipv4" else list(form)
+    if kind == "ssn":
+        sets = [DIGITS] * len(parts)
+    else:
+        sets = [PADDED_OCTETS if p in PADDED_OCTETS else PLAIN_OCTETS for p in parts]
+    number, n = 0, 1
+    for part, values in zip(parts, sets):
+        number, n = number * len(values) + values.index(part), n * len(values)
+    number = Circle(key, f"{name} {[len(v) for v in sets]}", n).step(number)
+    out = []
+    for values in reversed(sets):
+        number, value = divmod(number, len(values))
+        out.append(values[value])
+    return (".".join if kind == "ipv4" else "".join)([*head, *reversed(out)])
+
+
 def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
     """The canonical form of the surrogate."""
     rng = Stream(key, kind, form, str(attempt))
@@ -354,10 +430,11 @@ def assign(entities: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataF
             "made": made,
         }
 
+    entities, settled = _crowded(entities, key)
     pending = entities.withColumn("attempt", F.lit(0))
     taken = entities.select("kind", F.col("form").alias("made"))
-    settled = None
-    for _ in range(rounds):
+    left, idle = entities.count(), 0
+    while left and idle < rounds:
         tried = materialize(
             map_arrow(
                 pending.select("kind", "form", "code", "attempt"),
@@ -368,18 +445,48 @@ def assign(entities: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataF
         )
         # A proposal is free unless it is an entity of the corpus or given away already; given
         # names are permuted inside their list, which cannot collide.
-        real = taken.filter(~F.col("kind").startswith("given:"))
-        if settled is not None:
-            real = real.union(settled.select("kind", "made"))
+        real = taken.filter(~F.col("kind").startswith("given:")).union(settled.select("kind", "made"))
         free = tried.join(real, ["kind", "made"], "left_anti")
         won = free.groupBy("kind", "made").agg(F.min("form").alias("form"))
         won = materialize(won.select("kind", "form", "made"), "settled")
-        settled = won if settled is None else settled.union(won)
+        settled = settled.union(won)
         pending = tried.join(won, ["kind", "form"], "left_anti").withColumn("attempt", F.col("attempt") + 1)
         pending = materialize(pending.select("kind", "form", "code", "attempt"), "pending")
-        if pending.isEmpty():
-            return settled
-    raise RuntimeError("surrogates are still colliding; the space of some kind of entity is exhausted")
+        before, left = left, pending.count()
+        idle = idle + 1 if left == before else 0
+    if left:
+        raise RuntimeError("surrogates are still colliding; the space of some kind of entity is exhausted")
+    return settled
+
+
+def _crowded(entities: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame]:
+    """The entities to be placed by attempts, and those of crowded closed spaces with surrogates."""
+
+    def spaces(batch: pa.RecordBatch) -> dict[str, object]:
+        found = [closed_space(k, f) for k, f in zip(*(batch.column(i).to_pylist() for i in range(2)))]
+        return {n: batch.column(i) for i, n in enumerate(("kind", "form", "code"))} | {
+            "space": [x and x[0] for x in found],
+            "size": [x and x[1] for x in found],
+        }
+
+    def permute(batch: pa.RecordBatch) -> dict[str, object]:
+        kinds, forms = (batch.column(i).to_pylist() for i in range(2))
+        made = [permuted(key, kind, form) for kind, form in zip(kinds, forms)]
+        return {"kind": kinds, "form": forms, "made": made}
+
+    kinds = F.col("kind").isin("ssn", "ipv4")
+    placed = map_arrow(
+        entities.filter(kinds).select("kind", "form", "code"),
+        spaces,
+        f"{ENTITY}, code int, space string, size long",
+    )
+    counts = placed.filter("space IS NOT NULL").groupBy("space", "size").count()
+    full = [r["space"] for r in counts.filter("3 * count > size").collect()]  # one row per block
+    crowd = F.coalesce(F.col("space").isin(full), F.lit(False))
+    made = map_arrow(placed.filter(crowd).select("kind", "form"), permute, f"{ENTITY}, made string")
+    rest = placed.filter(~crowd).select("kind", "form", "code")
+    rest = entities.filter(~kinds).select("kind", "form", "code").unionByName(rest)
+    return materialize(rest, "uncrowded"), materialize(made, "permuted")
 
 
 def pseudonymize(
