@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from rankloom.operators import bm25, tfidf
+from rankloom.operators import blocksearch, bm25, tfidf
 from rankloom.operators.blocksearch import Block, Slice
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
@@ -135,3 +136,39 @@ def test_bounds_skip_queries_without_changing_the_best(monkeypatch):
             if hits:
                 want.append((-np.rint(sum(w * n / (1 + len(t)) for w, n in hits) * 1e9), i))
         assert [i for _, i in sorted(best[q])[:5]] == [i for _, i in sorted(want)[:5]]
+
+
+def test_slices_follow_the_written_weights(spark):
+    """Ten long texts that repeat two words have twenty weights: one slice, not one per query."""
+    queries = QuerySet(spark.createDataFrame([(i, "the of " * 500) for i in range(10)], "query_id long, text string"), limit=2000)
+    assert queries.term_slices == 10
+    index = TextIndex.build(spark.createDataFrame([(1, "the x"), (2, "of y"), (3, "z")], "doc_id long, text string"))
+    assert blocksearch._slices(bm25._weights(queries, index), queries) == 1
+
+
+def test_pair_scores_do_not_multiply_postings(spark, tables, tmp_path):
+    docs, queries = tables
+    index = TextIndex.build(docs)
+    index.write(str(tmp_path / "pairs"), forward=True)
+    stored = TextIndex.read(spark, str(tmp_path / "pairs"))
+    some = docs.select("doc_id").orderBy("doc_id").limit(60)
+    unknown = some.limit(1).withColumn("doc_id", F.lit("-7").cast(docs.schema["doc_id"].dataType))
+    pairs = queries.select("query_id").crossJoin(some.union(unknown)).withColumn("note", F.lit("é"))
+    few = QuerySet(queries)
+
+    def rows(df):
+        assert df.columns == ["query_id", "doc_id", "note", "score"]
+        return sorted((r[0], r[1], r[2], round(r[3], 9)) for r in df.collect())
+
+    want = rows(bm25.pair_scores(pairs, few, stored))  # from the term buckets
+    assert len(want) == 62 * 61 and any(r[3] for r in want)
+    for known, asked in ((index, few), (stored, QuerySet(queries, limit=2_000))):
+        found = bm25.pair_scores(pairs, asked, known)
+        assert rows(found) == want
+        assert "term" not in found.columns and "Generate explode(terms" not in plan(found)
+
+
+def test_repeated_ids_are_summed_as_before(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a c"), (3, "d")], "doc_id long, text string")
+    queries = QuerySet(spark.createDataFrame([(1, "a")], "query_id long, text string"))
+    assert [r["doc_id"] for r in bm25.retrieve(queries, TextIndex.build(docs), 5).orderBy("rank").collect()] == [1, 2]
