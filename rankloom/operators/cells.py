@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rankloom.functions.scores import TIE_DECIMALS
 from rankloom.functions.vectors import as_doubles
 from rankloom.operators.dense import _arrow_rows, _best_of_block, _block
 from rankloom.operators.ranking import top_k
@@ -184,7 +185,7 @@ class CellIndex:
             nearest, first = self._nearest(matrix, k)
             lower = self._lower_bounds(ids, matrix, nearest, first, k, schema)
             wanted = self._reachable(matrix, lower)
-            found = found.union(self._scan(ids, matrix, lower, wanted, k, schema, _reaches))
+            found = found.union(self._scan(ids, matrix, lower, wanted, k, schema, _reaches, True))
             cells.update(numbers[wanted].tolist())
         return found, sorted(cells)
 
@@ -242,8 +243,11 @@ class CellIndex:
         k: int,
         schema: T.StructType,
         concerned: Callable,
+        at_least: bool = False,
     ) -> DataFrame:
-        """Scores of the vectors of the `used` cells against the queries concerned by each."""
+        """Scores of the vectors of the `used` cells against the queries concerned by each, with
+        `at_least` those alone that reach the limit of their query, so that what is sorted does
+        not grow with the number of cells that a query reaches."""
         numbers, centres, radii, _ = self._cells
         described = {int(n): (centres[i], radii[i]) for i, n in enumerate(numbers) if used[i]}
         shared = self.spark.sparkContext.broadcast((ids, matrix, limit, described))
@@ -257,8 +261,10 @@ class CellIndex:
                 for cell in np.unique(of):
                     rows = of == cell
                     some = concerned(queries, limits, *cells[int(cell)])
-                    best = _best_of_block(doc_ids[rows], vecs[rows], query_ids[some], queries[some], k)
-                    yield from _arrow_rows(best, out)
+                    best = _best_of_block(doc_ids[rows], vecs[rows], np.flatnonzero(some), queries[some], k)
+                    if at_least:
+                        best = _reaching(best, limits)
+                    yield from _arrow_rows(((query_ids[q], d, s) for q, d, s in best), out)
 
         read = self.vectors.filter(F.col("cell").isin([int(n) for n in numbers[used]]))
         return read.select("doc_id", "vec", "cell").mapInArrow(scan, schema)
@@ -274,3 +280,11 @@ def _reaches(queries: np.ndarray, lower: np.ndarray, centre: np.ndarray, radius:
     lengths = np.linalg.norm(queries, axis=1)
     slack = SLACK * (1 + lengths * (np.linalg.norm(centre) + radius))
     return queries @ centre + lengths * radius + slack >= lower
+
+
+def _reaching(best: Iterator[tuple], lower: np.ndarray) -> Iterator[tuple]:
+    """The rows whose score is not below the lower bound of their query; equal scores tie."""
+    for query, doc_id, score in best:
+        kept = score >= lower[query] - 2.0 * 10.0**-TIE_DECIMALS
+        if kept.any():
+            yield query[kept], doc_id[kept], score[kept]
