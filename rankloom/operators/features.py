@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import any_shared, contains_query, shared_tokens, token_set, tokens
-from rankloom.operators.ranking import rank_by
+from rankloom.operators.ranking import rank_by, with_grades
 from rankloom.operators.rerank import attach
 from rankloom.runtime import hinted
 
@@ -84,10 +84,14 @@ def features(
     return rows.select("query_id", "doc_id", *columns)
 
 
-def training_rows(feature_rows: DataFrame, qrels: DataFrame, splits: DataFrame) -> DataFrame:
-    """Features plus `label` (0 where unjudged) and `split`; the group is the query id."""
+def training_rows(
+    feature_rows: DataFrame, qrels: DataFrame, splits: DataFrame, small: bool = False
+) -> DataFrame:
+    """Features plus `label` (0 where unjudged) and `split`; the group is the query id.
+
+    `small`: the pairs were checked to fit a broadcast."""
     return (
-        feature_rows.join(qrels, ["query_id", "doc_id"], "left")
+        with_grades(feature_rows, qrels, small)
         .withColumn("label", F.coalesce("rel", F.lit(0)).cast("int"))
         .drop("rel")
         .join(splits.select("query_id", "split"), "query_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import discount_sums, discounted
+from rankloom.operators.ranking import with_grades
 
 METRICS = ("precision", "recall", "ndcg", "ap", "rr")
 
@@ -44,11 +45,13 @@ def per_query(
     methods: list[str],
     k: int = 10,
     threshold: int = 1,
+    small: bool = False,
 ) -> DataFrame:
     """method, query_id and the five metrics at k.
 
     Starts from the query list, so a query that got nothing back counts as 0. Precision
-    divides by k; the other four are NULL where no judged item can be found.
+    divides by k; the other four are NULL where no judged item can be found. `small`: the
+    ranked rows were checked to fit a broadcast.
     """
     hit = (F.col("rel") >= threshold).cast("int")
     so_far = (
@@ -56,10 +59,9 @@ def per_query(
         .orderBy("rank")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    top = rankings.filter(F.col("rank") <= k).select("method", "query_id", "doc_id", "rank")
     found = (
-        rankings.filter(F.col("rank") <= k)
-        .select("method", "query_id", "doc_id", "rank")
-        .join(qrels, ["query_id", "doc_id"], "left")
+        with_grades(top, qrels, small)
         .withColumn("rel", F.coalesce("rel", F.lit(0)))
         .withColumn("hit", hit)
         .withColumn("hits_so_far", F.sum("hit").over(so_far))

@@ -36,10 +36,24 @@ def as_ranking(df: DataFrame, method: str) -> DataFrame:
     return df.select(F.lit(method).alias("method"), "query_id", "doc_id", "score", "rank")
 
 
-def result_rows(rankings: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
+def with_grades(rows: DataFrame, qrels: DataFrame, small: bool = False) -> DataFrame:
+    """Add `rel`, NULL where a (query, document) pair is not judged.
+
+    `small`: the rows were checked to fit a broadcast. Their pairs then thin out the judgments
+    where these lie, so that the large table is neither shuffled nor sorted.
+    """
+    keys = ["query_id", "doc_id"]
+    if small:
+        qrels = qrels.join(F.broadcast(rows.select(*keys).distinct()), keys, "left_semi")
+    return rows.join(qrels, keys, "left")
+
+
+def result_rows(
+    rankings: DataFrame, queries: DataFrame, qrels: DataFrame, small: bool = False
+) -> DataFrame:
     """The flat result table: text of the query, score at 6 decimals, grade or 0."""
     return (
-        rankings.join(qrels, ["query_id", "doc_id"], "left")
+        with_grades(rankings, qrels, small)
         .join(queries.select("query_id", F.col("text").alias("query")), "query_id")
         .select(
             "method",

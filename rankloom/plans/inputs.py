@@ -7,6 +7,7 @@ Texts: `documents` is the corpus, `benchmark` the query list.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,13 @@ from rankloom.functions.vectors import letter_vector
 from rankloom.operators import bm25, dense, hybrid, prepare, sampling, tfidf
 from rankloom.operators.features import FEATURES, features, training_rows
 from rankloom.operators.forest import Forest, Tree
+from rankloom.operators.metrics import per_query
 from rankloom.operators.ranking import as_ranking
 from rankloom.operators.rerank import reorder, score_pairs, text_pairs
 from rankloom.operators.search import SearchIndex
 from rankloom.operators.textindex import TextIndex
 from rankloom.operators.tfidf import TfidfIndex
-from rankloom.runtime import QuerySet, fresh_dir, materialize, shared_dir, spread
+from rankloom.runtime import QuerySet, by_document, fresh_dir, materialize, shared_dir, spread
 from rankloom.sources.models import TrainingRuns
 
 DEPTH = 50
@@ -110,22 +112,33 @@ def text_hybrid(spark: SparkSession, sf_dir: str) -> tuple[QuerySet, DataFrame,
 
 @dataclass
 class Shop:
-    """The shop's queries, corpus and candidate pool, each written once and read often."""
+    """The shop's queries, corpus and candidate pool, each written once and read often.
+
+    A catalog packs into few bytes: millions of goods may lie in one split of a file, which one
+    task would tokenise, encode and score. So the corpus is dealt out by document first."""
 
     spark: SparkSession
     sf_dir: str
 
     def __post_init__(self) -> None:
         self.queries = QuerySet(materialize(shop_queries(self.spark, self.sf_dir), "queries"))
-        self.corpus = corpus(self.spark, self.sf_dir)
+        self.corpus = materialize(by_document(corpus(self.spark, self.sf_dir)), "corpus")
         encoded = dense.encode_texts(self.corpus, letter_vector).select("doc_id", "vec")
         self.vectors = materialize(encoded, "vectors")
         self.qrels = materialize(qrels(self.spark, self.sf_dir), "qrels")
 
-    def pool(self) -> DataFrame:
+    @cached_property
+    def _pool(self) -> DataFrame:
         index = TextIndex.build(self.corpus)
         return materialize(hybrid.candidates(self.queries, index, self.vectors), "pool")
 
+    def pool(self) -> DataFrame:
+        return self._pool
+
+    @cached_property
+    def _scored(self) -> DataFrame:
+        return materialize(self.scored_candidates(self.pool()), "scored")
+
     def tfidf(self) -> DataFrame:
         return as_ranking(tfidf.retrieve(self.queries, TfidfIndex.fit(self.corpus)), "tfidf")
 
@@ -151,25 +164,33 @@ class Shop:
 
     def all_methods(self) -> DataFrame:
         """Rankings of the five methods that need no trained model."""
-        pool = self.pool()
-        scored = self.scored_candidates(pool)
-        whole = self.first_stage(pool).unionByName(self.tfidf()).unionByName(self.reranked(scored))
+        first, second = self.first_stage(self.pool()), self.reranked(self._scored)
+        whole = first.unionByName(self.tfidf()).unionByName(second)
         return materialize(whole, "rankings")
 
     def features(self) -> DataFrame:
-        scored = self.scored_candidates(self.pool()).withColumnsRenamed(
-            {"rank": "hybrid_rank", "score": "hybrid_score"}
-        )
+        scored = self._scored.withColumnsRenamed({"rank": "hybrid_rank", "score": "hybrid_score"})
         small = self.queries.rows_fit(DEPTH, 128)
-        return features(
-            materialize(scored, "scored"), self.queries.texts, self.corpus, small, self.queries.texts_fit
-        )
+        return features(scored, self.queries.texts, self.corpus, small, self.queries.texts_fit)
+
+    def lists_fit(self, methods: int, k: int = 10) -> bool:
+        """Do the ranked rows of so many methods fit a broadcast?"""
+        return self.queries.rows_fit(methods * k, 128)
+
+    def metrics(
+        self, rankings: DataFrame, methods: list[str], queries: DataFrame | None = None
+    ) -> DataFrame:
+        """The metrics of every query (or of those given) and method."""
+        asked = self.queries.df if queries is None else queries
+        small = self.lists_fit(len(methods))
+        return per_query(rankings, asked, self.qrels, methods, small=small)
 
     def splits(self) -> DataFrame:
         return sampling.split_queries(self.queries.df.select("query_id"), "query_id")
 
     def training_rows(self) -> DataFrame:
-        return training_rows(self.features(), self.qrels, self.splits())
+        small = self.queries.rows_fit(DEPTH, 128)
+        return training_rows(self.features(), self.qrels, self.splits(), small)
 
 
 def requests(conversations: DataFrame) -> DataFrame:

@@ -290,11 +290,14 @@ def hybrid_topk(spark, sf_dir):
     return ranked(hybrid.fuse(_text_pool(spark, sf_dir), 0.5, 0.5))
 
 
-def _sweep_means(spark, sf_dir):
-    shop = Shop(spark, sf_dir)
+def _sweep_scores(shop):
     names = [str(i) for i in range(len(hybrid.WEIGHT_GRID))]
-    rankings = hybrid.sweep(shop.pool())
-    return metrics.by_method(metrics.per_query(rankings, shop.queries.df, shop.qrels, names))
+    rankings = materialize(hybrid.sweep(shop.pool()), "sweep")
+    return shop.metrics(rankings, names)
+
+
+def _sweep_means(spark, sf_dir):
+    return metrics.by_method(_sweep_scores(Shop(spark, sf_dir)))
 
 
 @registered
@@ -312,8 +315,7 @@ def weight_sweep(spark, sf_dir):
 def train_weights(spark, sf_dir):
     """The best weights by the queries that train and validate, test queries left out."""
     shop = Shop(spark, sf_dir)
-    names = [str(i) for i in range(len(hybrid.WEIGHT_GRID))]
-    scores = metrics.per_query(hybrid.sweep(shop.pool()), shop.queries.df, shop.qrels, names)
+    scores = _sweep_scores(shop)
     seen = shop.splits().filter(F.col("split") != "test").select("query_id")
     means = metrics.by_method(scores.join(seen, "query_id", "left_semi"))
     return hybrid.best_weights(means).select("alpha", "beta", *r6("ndcg"))
@@ -441,9 +443,9 @@ def heldout_six_methods(spark, sf_dir):
     rows = materialize(shop.training_rows(), "training")
     held = shop.splits().filter(F.col("split") == "test").select("query_id")
     best = ltr.rank(rows.filter(F.col("split") == "test"), _trained(spark, rows))
-    six = rankings.unionByName(as_ranking(best, "ltr"))
+    six = materialize(rankings.unionByName(as_ranking(best, "ltr")), "rankings")
     asked = shop.queries.df.join(held, "query_id", "left_semi")
-    scores = metrics.per_query(six, asked, shop.qrels, [*METHODS, "ltr"])
+    scores = shop.metrics(six, [*METHODS, "ltr"], asked)
     return metrics.by_method(scores).select("method", *r6(*metrics.METRICS))
 
 
@@ -469,14 +471,14 @@ def ltr_first_tree(spark, sf_dir):
 def _evaluated(spark, sf_dir):
     shop = Shop(spark, sf_dir)
     rankings = shop.all_methods()
-    scores = metrics.per_query(rankings, shop.queries.df, shop.qrels, METHODS)
-    return shop, rankings, scores
+    return shop, rankings, shop.metrics(rankings, METHODS)
 
 
 @registered
 def unjudged_zero(spark, sf_dir):
     shop = Shop(spark, sf_dir)
-    return result_rows(shop.all_methods(), shop.queries.df, shop.qrels)
+    small = shop.lists_fit(len(METHODS))
+    return result_rows(shop.all_methods(), shop.queries.df, shop.qrels, small)
 
 
 @registered
