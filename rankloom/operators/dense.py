@@ -17,6 +17,9 @@ from rankloom.functions.vectors import cosine, inner_product, unit_vector
 from rankloom.operators.ranking import top_k
 from rankloom.runtime import QuerySet, hinted
 
+# Scores of a block that are held at once, of which there are up to four arrays.
+CELLS = 1_000_000
+
 
 def vector_table(df: DataFrame, id_col: str, vec_col: str, key: str = "doc_id") -> DataFrame:
     """Any id and array columns as the common (key, vec) table of unit vectors."""
@@ -51,7 +54,7 @@ def _best_of_block(doc_ids, doc_vecs, query_ids, query_vecs, k) -> Iterator[tupl
     by_id = np.argsort(doc_ids, kind="stable")
     doc_ids, doc_vecs = doc_ids[by_id], doc_vecs[by_id]
     keep = min(k, len(doc_ids))
-    step = max(1, 4_000_000 // len(doc_ids))
+    step = max(1, CELLS // len(doc_ids))
     for start in range(0, len(query_ids), step):
         block = query_vecs[start : start + step] @ doc_vecs.T
         rounded = np.round(block, TIE_DECIMALS)

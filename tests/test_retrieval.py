@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -203,3 +204,14 @@ def test_top_k_is_cut_before_the_shuffle_and_stays_in_the_jvm(tables):
     assert "Python" not in text and "Pandas" not in text
     assert "CartesianProduct" not in text and "NestedLoop" not in text
     assert F is not None
+
+
+def test_a_block_of_scores_stays_small():
+    """However many queries there are, a task holds few scores at once."""
+    rng = np.random.default_rng(1)
+    docs, asked = rng.normal(size=(10_000, 8)), rng.normal(size=(2_000, 8))
+    tracemalloc.start()
+    rows = sum(len(q) for q, _, _ in dense._best_of_block(np.arange(10_000), docs, np.arange(2_000), asked, 10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 20_000 and peak < 60_000_000
