@@ -11,14 +11,18 @@ from rankloom.operators.ranking import with_grades
 METRICS = ("precision", "recall", "ndcg", "ap", "rr")
 
 
-def judged_totals(qrels: DataFrame, k: int = 10, threshold: int = 1) -> DataFrame:
+def grade_counts(qrels: DataFrame, query: str = "query_id") -> DataFrame:
+    """query_id, rel, n: how often each grade occurs."""
+    return qrels.groupBy(query, "rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+def judged_totals(grades: DataFrame, k: int = 10, threshold: int = 1) -> DataFrame:
     """query_id, n_relevant, ideal_dcg.
 
     The ideal order only needs how often each grade occurs, so judgments are counted per
     (query, grade) before anything moves; a query with very many judgments costs no more than
     any other.
     """
-    grades = qrels.groupBy("query_id", "rel").agg(F.count(F.lit(1)).alias("n"))
     down = (
         Window.partitionBy("query_id")
         .orderBy(F.col("rel").desc())
@@ -46,13 +50,16 @@ def per_query(
     k: int = 10,
     threshold: int = 1,
     small: bool = False,
+    grades: DataFrame | None = None,
 ) -> DataFrame:
     """method, query_id and the five metrics at k.
 
     Starts from the query list, so a query that got nothing back counts as 0. Precision
     divides by k; the other four are NULL where no judged item can be found. `small`: the
-    ranked rows were checked to fit a broadcast.
+    ranked rows were checked to fit a broadcast; `grades`: the `grade_counts` of `qrels`, where
+    they were counted before.
     """
+    grades = grade_counts(qrels) if grades is None else grades
     hit = (F.col("rel") >= threshold).cast("int")
     so_far = (
         Window.partitionBy("method", "query_id")
@@ -77,7 +84,7 @@ def per_query(
         "method", F.explode(F.array(*[F.lit(m) for m in methods]))
     )
     joined = every.join(found, ["method", "query_id"], "left").join(
-        judged_totals(qrels, k, threshold), "query_id", "left"
+        judged_totals(grades, k, threshold), "query_id", "left"
     )
     hits = F.coalesce("hits", F.lit(0))
     relevant = F.col("n_relevant")

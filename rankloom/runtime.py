@@ -191,13 +191,13 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan if wanted is None else scan.repartition(int(wanted), key)
 
 
-def by_document(df: DataFrame) -> DataFrame:
+def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hash partition by document into the session's full number of shuffle partitions.
 
     The number is given explicitly because the rows fan out afterwards (one posting meets many
     queries): merging partitions that look small now would leave too few tasks for that.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def hinted(df: DataFrame, fits: bool) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import hybrid, metrics
 from rankloom.operators.ranking import result_rows, with_grades
+from rankloom.plans import inputs
 from rankloom.plans.inputs import Shop
 
 WORDS = ["large", "hot", "ring", "bolt", "steel", "blue"]
@@ -81,3 +82,25 @@ def test_metrics_and_result_rows_with_short_lists(spark, judged):
     few, many = (metrics.per_query(rankings, queries, qrels, ["m", "n"], small=s) for s in (True, False))
     assert rows(few) == rows(many)
     assert rows(result_rows(rankings, queries, qrels, True)) == rows(result_rows(rankings, queries, qrels))
+
+
+def test_counts_of_grades_move_numbers_and_count_null_and_repeated_keys(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    parts = [(1, "hot ring", "B#1", "LARGE"), (1, "hot ring", "B#1", "LARGE"), (2, "hot bolt", "B#1", "LARGE")]
+    parts += [(3, "bolt", None, "SMALL"), (4, "ring", "B#2", None), (5, "unasked", "B#9", "SMALL"), (None, "x", "B#7", "BIG")]
+    parts_schema = "p_partkey long, p_name string, p_brand string, p_type string"
+    spark.createDataFrame(parts, parts_schema).write.parquet(f"{folder}/part.parquet")
+    lines = [(1, 1, 10, 1), (1, 2, 10, 2), (2, 1, 10, 2), (2, 3, None, 1), (3, 1, 10, 3), (4, 2, 10, 4), (5, 2, 11, 4)]
+    lines += [(6, None, 12, 1), (7, 1, 13, None), (8, 1, 13, 99)]
+    lines = [(o, n, p, s, 1.0, "A") for o, n, p, s in lines]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    written, write = [], inputs.materialize
+    monkeypatch.setattr(inputs, "materialize", lambda df, label="table": written.append(label) or write(df, label))
+    shop, plain = Shop(spark, folder), inputs.qrels(spark, folder)
+    assert rows(shop.grades) == rows(metrics.grade_counts(plain)) and len(rows(plain)) == 5
+    assert rows(shop.qrels) == rows(plain)
+    asked = inputs.judgments(spark, folder).select(F.col("query").alias("query_id")).distinct()
+    assert rows(shop.queries.df.select("query_id")) == rows(asked)
+    assert "grades" in written and "qrels" not in written  # the judgments are not written once more
