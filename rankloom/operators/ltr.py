@@ -2,20 +2,23 @@
 
 Training rows are kept as one row per query: a candidate list of bounded length with its
 labels, binned features and current scores. Once per tree that table is turned into lambda
-gradients. A pass over those adds them to gradient histograms per partition, and sums the
-histograms by (node, feature, bin) in one small shuffle. The driver only sees those sums, whose number
-depends on the model's size and not on the data, and picks the splits.
+gradients, which the executors keep (lost ones are made again from the table). A pass over those adds
+them to gradient histograms per partition, and partitions are summed by a tree reduction. The driver
+only sees those sums, whose number depends on the model's size and not on the data, and picks the
+splits. A tree takes about ten passes, so each is a plain RDD job without a query to be planned.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,19 +153,19 @@ def list_ndcg(labels, scores, k: int) -> float | None:
     return float((top * discount[: len(top)]).sum() / ideal)
 
 
-def _graded(packed: DataFrame, pending: list[Tree], t: int, p: LtrParams) -> DataFrame:
-    """query_id, bins, g, h of every training list for tree t, rows outside the tree's sample
-    left out; validation lists give their NDCG under the finished trees instead. Written down,
-    so that the passes over a tree's leaves compute no gradient again."""
+def _graded(packed: DataFrame, pending: list[Tree], t: int, p: LtrParams) -> RDD:
+    """(bins, g, h, ndcgs) per Arrow batch of lists for tree t: the training rows in the tree's
+    sample with their gradients, and the NDCG of the validation lists under the finished trees.
+    Kept by the executors, so that the passes over a tree's leaves compute no gradient again."""
     width = len(FEATURES)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            bins_of, grads, curves, ndcgs = [], [], [], []
             for query_id, split, labels, bins, scores in zip(
                 batch["query_id"], batch["split"], batch["labels"], batch["bins"], batch["scores"]
             ):
-                x = np.asarray(bins, dtype=np.int64).reshape(-1, width)
+                x = np.asarray(bins, dtype=np.int32).reshape(-1, width)
                 y = np.asarray(labels, dtype=np.float64)
                 s = np.array(scores, dtype=np.float64)
                 for done in pending:
@@ -170,61 +173,69 @@ def _graded(packed: DataFrame, pending: list[Tree], t: int, p: LtrParams) -> Dat
                 if split == "validation":
                     value = list_ndcg(y, s, p.eval_at)
                     if value is not None:
-                        rows.append(([], [], [], value))
+                        ndcgs.append(value)
                     continue
                 g, h = lambda_gradients(y, s, p.truncation)
                 draw = np.random.default_rng([p.seed, t, zlib.crc32(str(query_id).encode())])
                 taken = draw.random(len(y)) < p.subsample
-                rows.append((x[taken].ravel().astype(np.int32), g[taken], h[taken], None))
-            yield pd.DataFrame(rows, columns=["bins", "g", "h", "ndcg"])
+                bins_of.append(x[taken])
+                grads.append(g[taken])
+                curves.append(h[taken])
+            x = np.concatenate([np.zeros((0, width), np.int32), *bins_of])
+            block = x, np.concatenate([[], *grads]), np.concatenate([[], *curves]), np.array(ndcgs)
+            yield pd.DataFrame({"block": [pickle.dumps(block)]})
 
-    schema = "bins array<int>, g array<double>, h array<double>, ndcg double"
-    return materialize(packed.mapInPandas(grade, schema), "gradients")
+    blocks = packed.mapInPandas(grade, "block binary").rdd
+    return blocks.map(lambda row: pickle.loads(row[0])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _histograms(graded: DataFrame, tree: Tree, nodes: list[int], p: LtrParams) -> pd.DataFrame:
-    """Sums (node, feature, bin, g, h, n) for the given leaves of the tree being grown."""
-    width = len(FEATURES)
-    wanted = np.array(sorted(nodes))
+def _mean_ndcg(graded: RDD) -> float | None:
+    """Mean NDCG of the validation lists, None without any."""
+    parts = graded.map(lambda block: (float(block[3].sum()), len(block[3])))
+
+    def both(a: tuple[float, int], b: tuple[float, int]) -> tuple[float, int]:
+        return a[0] + b[0], a[1] + b[1]
+
+    total, n = parts.treeAggregate((0.0, 0), both, both)
+    return total / n if n else None
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _histograms(
+    graded: RDD, tree: Tree, nodes: list[int], allowed: list[int], p: LtrParams
+) -> dict[int, np.ndarray]:
+    """By leaf of the tree being grown the sums of g, h and rows: an array (3, allowed features,
+    bins). Partitions are summed in the executors first; a leaf without rows is left out."""
+    wanted, size = sorted(nodes), p.max_bin + 1
+    shift = np.arange(len(allowed)) * size
+
+    def scan(blocks: Iterator[tuple]) -> Iterator[dict[int, np.ndarray]]:
         sums: dict[int, np.ndarray] = {}
-        size = p.max_bin + 1
-        for batch in batches:
-            # All lists of a batch at once: the sums do not depend on the list.
-            x = np.concatenate([np.asarray(b, dtype=np.int64) for b in batch["bins"]] or [[]])
-            x = x.astype(np.int64).reshape(-1, width)
-            g, h = (np.concatenate([np.asarray(v, float) for v in batch[c]] or [[]]) for c in "gh")
+        for x, g, h, _ in blocks:
             leaf = tree.leaf_of(x)
             for node in wanted:
                 rows = np.nonzero(leaf == node)[0]
                 if not len(rows):
                     continue
-                table = sums.setdefault(int(node), np.zeros((3, width * size)))
-                cell = (x[rows] + np.arange(width) * size).ravel()
+                table = sums.setdefault(node, np.zeros((3, len(allowed) * size)))
+                cell = (x[np.ix_(rows, allowed)] + shift).ravel()
                 for i, weight in enumerate((g[rows], h[rows], np.ones(len(rows)))):
-                    table[i] += np.bincount(cell, np.repeat(weight, width), width * size)
-        for node, table in sums.items():
-            cell = np.nonzero(table[2])[0]
-            yield pd.DataFrame(
-                {
-                    "node": node,
-                    "feature": cell // size,
-                    "bin": cell % size,
-                    "g": table[0][cell],
-                    "h": table[1][cell],
-                    "n": table[2][cell],
-                }
-            )
-
-    schema = "node int, feature int, bin int, g double, h double, n double"
-    return (
-        graded.filter(F.col("ndcg").isNull())
-        .mapInPandas(scan, schema)
-        .groupBy("node", "feature", "bin")
-        .agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-        .toPandas()
-    )
+                    table[i] += np.bincount(cell, np.repeat(weight, len(allowed)), len(allowed) * size)
+        yield sums
+
+    def both(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        return {n: a[n] + b[n] if n in a and n in b else a.get(n, b.get(n)) for n in {*a, *b}}
+
+    found = graded.mapPartitions(scan).treeAggregate({}, both, both)
+    return {node: table.reshape(3, len(allowed), size) for node, table in found.items()}
+
+
+def _sums_table(table: np.ndarray | None, allowed: list[int]) -> pd.DataFrame:
+    """feature, bin, g, h, n of the bins in which a leaf has rows, in this order."""
+    if table is None:
+        table = np.zeros((3, len(allowed), 1))
+    feature, bin_ = np.nonzero(table[2])
+    g, h, n = table[:, feature, bin_]
+    return pd.DataFrame({"feature": np.array(allowed)[feature], "bin": bin_, "g": g, "h": h, "n": n})
 
 
 def first_gradients(packed: DataFrame, truncation: int = 30) -> DataFrame:
@@ -262,11 +273,13 @@ TIE = 1e-9
 def _best_split(sums: pd.DataFrame, leaf: _Leaf, allowed: list[int], p: LtrParams):
     """(gain, feature, bin, left output, right output) or None."""
     best = None
+    order = np.lexsort((sums["bin"], sums["feature"]))
+    features, bins, *amounts = (sums[c].to_numpy()[order] for c in ("feature", "bin", "g", "h", "n"))
     for feature in allowed:
-        part = sums[sums["feature"] == feature].sort_values("bin")
-        if len(part) < 2:
+        begin, end = np.searchsorted(features, [feature, feature + 1])
+        if end - begin < 2:
             continue
-        g, h, n = (part[c].to_numpy().cumsum() for c in ("g", "h", "n"))
+        g, h, n = (a[begin:end].cumsum() for a in amounts)
         gl, hl, nl = g[:-1], h[:-1], n[:-1]
         gr, hr, nr = g[-1] - gl, h[-1] - hl, n[-1] - nl
         left = _output(gl, hl, p, leaf.low, leaf.high)
@@ -287,7 +300,7 @@ def _best_split(sums: pd.DataFrame, leaf: _Leaf, allowed: list[int], p: LtrParam
         at = int(np.argmax(gain >= most - TIE * abs(most)))
         floor = max(p.min_split_gain, 1e-12)
         if gain[at] > (floor if best is None else best[0] + TIE * abs(best[0])):
-            bin_ = int(part["bin"].to_numpy()[at])
+            bin_ = int(bins[begin + at])
             best = (float(gain[at]), feature, bin_, float(left[at]), float(right[at]))
     return best
 
@@ -319,12 +332,21 @@ def _grow(packed: DataFrame, pending: list[Tree], t: int, p: LtrParams):
     allowed = sorted(rng.choice(len(FEATURES), n_features, replace=False).tolist())
     tree = Tree()
     graded = _graded(packed, pending, t, p)
-    metric = graded.agg(F.avg("ndcg")).first()[0]
+    try:
+        metric = _mean_ndcg(graded)
+        chosen = _split_leaves(graded, tree, allowed, p)
+    finally:
+        graded.unpersist()
+    return _prune(tree, chosen, p.learning_rate), metric
+
+
+def _split_leaves(graded: RDD, tree: Tree, allowed: list[int], p: LtrParams) -> set[int]:
+    """Divide the leaves of a tree of one leaf; the nodes whose splits are to be kept."""
 
     def measure(leaves: list[_Leaf]) -> None:
-        sums = _histograms(graded, tree, [x.node for x in leaves], p)
+        sums = _histograms(graded, tree, [x.node for x in leaves], allowed, p)
         for leaf in leaves:
-            leaf.split = _best_split(sums[sums["node"] == leaf.node], leaf, allowed, p)
+            leaf.split = _best_split(_sums_table(sums.get(leaf.node), allowed), leaf, allowed, p)
 
     root = _Leaf(0)
     measure([root])
@@ -345,7 +367,7 @@ def _grow(packed: DataFrame, pending: list[Tree], t: int, p: LtrParams):
         frontier.remove(best)
         frontier += children[best.node]
         chosen.add(best.node)
-    return _prune(tree, chosen, p.learning_rate), metric
+    return chosen
 
 
 def _prune(tree: Tree, chosen: set[int], rate: float) -> Tree:
@@ -438,7 +460,11 @@ def _train(rows: DataFrame, p: LtrParams) -> Forest:
 
 def _validation_metric(packed: DataFrame, pending: list[Tree], p: LtrParams) -> float | None:
     held = packed.filter(F.col("split") == "validation")
-    return _graded(held, pending, 0, p).agg(F.avg("ndcg")).first()[0]
+    graded = _graded(held, pending, 0, p)
+    try:
+        return _mean_ndcg(graded)
+    finally:
+        graded.unpersist()
 
 
 def rank(rows: DataFrame, forest: Forest, k: int = 10) -> DataFrame:
