@@ -215,3 +215,17 @@ def test_a_block_of_scores_stays_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 20_000 and peak < 60_000_000
+
+
+def test_later_blocks_hand_on_only_scores_that_reach_the_kth():
+    rng = np.random.default_rng(9)
+    vecs, asked, k = rng.integers(-3, 4, (600, 5)).astype(float), rng.integers(-3, 4, (20, 5)).astype(float), 4
+    kept, least, rows = dense.Kept(20, k), np.full(20, -np.inf), []
+    for at in range(0, 600, 50):
+        block = dense._best_of_block(np.arange(at, at + 50), vecs[at : at + 50], np.arange(20), asked, k, kept, least)
+        rows += [row for part in block for row in zip(*(x.tolist() for x in part))]
+    assert len(rows) < 12 * 20 * k  # as many as every block for itself would give
+    scores = asked @ vecs.T
+    for q in range(20):
+        best = sorted((-s, d) for query, d, s in rows if query == q)[:k]
+        assert best == sorted((-s, d) for d, s in enumerate(scores[q].tolist()))[:k]
