@@ -8,12 +8,12 @@ of few queries, and by document for batches of very many. Document ids must be u
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,10 +105,9 @@ def _weighed(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     if vocabulary.count() > BROADCAST_TERMS:
         return _weighed_by_join(docs, vocabulary)
-    known = vocabulary.select("term", "idf").toArrow()
-    shared = spark.sparkContext.broadcast(
-        dict(zip(known.column("term").to_pylist(), known.column("idf").to_pylist()))
-    )
+    known = vocabulary.select("term", "idf").toArrow().combine_chunks()
+    parts = known.column("term").combine_chunks(), known.column("idf").to_numpy()
+    shared = spark.sparkContext.broadcast(parts)
     terms = T.ArrayType(T.StringType())
     schema = T.StructType(
         [
@@ -124,29 +123,49 @@ def _weighed(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def _weigher(shared, out: pa.Schema) -> Callable:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
+        vocabulary, idf = shared.value
         for batch in batches:
-            sizes, found, amounts = [], [], []
-            for said in batch.column(1).to_pylist():
-                counts = Counter(w for w in said if w in idf)
-                counts.update(g for g in map(" ".join, zip(said, said[1:])) if g in idf)
-                weights = np.array([n * idf[w] for w, n in counts.items()])
-                sizes.append(len(counts))
-                found += counts
-                amounts.append(weights / np.sqrt((weights * weights).sum()) if counts else weights)
+            row, term = _known_grams(batch.column(1), vocabulary)
+            cell, amount = np.unique(row * max(len(idf), 1) + term, return_counts=True)
+            row, term = cell // max(len(idf), 1), cell % max(len(idf), 1)
+            weight = amount * idf[term]
+            length = np.sqrt(np.bincount(row, weight * weight, batch.num_rows))
+            sizes = np.bincount(row, minlength=batch.num_rows)
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            flat = np.concatenate(amounts) if amounts else np.zeros(0)
             columns = (
                 batch.column(0),
-                pa.array(sizes, pa.int32()),
-                pa.ListArray.from_arrays(ends, pa.array(found, pa.string())),
-                pa.ListArray.from_arrays(ends, pa.array(flat)),
+                pa.array(sizes),
+                pa.ListArray.from_arrays(ends, vocabulary.take(pa.array(term))),
+                pa.ListArray.from_arrays(ends, pa.array(weight / length[row])),
             )
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out)], schema=out)
 
     return weigh
 
 
+def _known_grams(said: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number in the vocabulary of every word and pair of neighbouring words of some word
+    lists that the vocabulary holds. Texts of pairs are only made once per distinct pair."""
+    coded = said.flatten().dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(said).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(said)), sizes)
+    wide = max(len(words), 1)
+    beside = row[1:] == row[:-1]
+    pair, of = np.unique((code[:-1] * wide + code[1:])[beside], return_inverse=True)
+    ends = words.take(pa.array(pair // wide)), words.take(pa.array(pair % wide))
+    single = _numbers(words, vocabulary)[code]
+    double = _numbers(pc.binary_join_element_wise(*ends, " "), vocabulary)[of]
+    row, term = np.concatenate([row, row[1:][beside]]), np.concatenate([single, double])
+    return row[term >= 0], term[term >= 0]
+
+
+def _numbers(terms: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """The place of each term in the vocabulary, -1 where it is not there."""
+    found = pc.index_in(terms, value_set=vocabulary).fill_null(-1)
+    return found.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _weighed_by_join(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The same for a vocabulary too large for every task: only counts of its terms are moved."""
     split = docs.select("doc_id", words(F.col("text")).alias("words"))

@@ -477,8 +477,8 @@ def _evaluated(spark, sf_dir):
 @registered
 def unjudged_zero(spark, sf_dir):
     shop = Shop(spark, sf_dir)
-    small = shop.lists_fit(len(METHODS))
-    return result_rows(shop.all_methods(), shop.queries.df, shop.qrels, small)
+    small, rankings = shop.lists_fit(len(METHODS)), shop.all_methods()
+    return result_rows(rankings, shop.queries.df, shop.qrels_of(rankings, 10 * len(METHODS)), small)
 
 
 @registered

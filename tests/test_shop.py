@@ -104,3 +104,23 @@ def test_counts_of_grades_move_numbers_and_count_null_and_repeated_keys(spark, t
     asked = inputs.judgments(spark, folder).select(F.col("query").alias("query_id")).distinct()
     assert rows(shop.queries.df.select("query_id")) == rows(asked)
     assert "grades" in written and "qrels" not in written  # the judgments are not written once more
+
+
+def test_listed_products_are_told_by_key_before_judgments_get_texts(spark, tmp_path):
+    folder = str(tmp_path)
+    parts = [(1, "hot ring", "B#1", "LARGE"), (2, "hot bolt", "B#2", "LARGE"), (None, "x", "B#7", "BIG")]
+    spark.createDataFrame(
+        parts, "p_partkey long, p_name string, p_brand string, p_type string"
+    ).write.parquet(f"{folder}/part.parquet")
+    lines = [(1, 10, 1), (2, 10, 1), (3, 10, 2), (3, 11, 1), (2, None, 1), (1, 12, 2), (2, 12, None)]
+    spark.createDataFrame(lines, "l_linenumber int, l_partkey long, l_suppkey long").write.parquet(
+        f"{folder}/lineitem.parquet"
+    )
+    listed = spark.createDataFrame([("10",), ("10",), ("13",), (None,), ("no key",)], "doc_id string")
+    shop = Shop(spark, folder)
+    found = shop.qrels_of(listed, 10)
+    assert rows(found) == rows(shop.qrels.filter("doc_id = '10'")) and found.count() == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi, (l_partkey") > plan.index("Join Inner")
+    shop.queries.limit = 0
+    assert rows(shop.qrels_of(listed, 10)) == rows(shop.qrels)
