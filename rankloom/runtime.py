@@ -55,15 +55,16 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/rankloom-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", by: str | None = None) -> DataFrame:
     """Write `df` as a parquet table in the shared folder and read it back.
 
     Used where several branches of one job read the same result: lineage is cut, a lost
-    executor costs nothing, and the readers get column pruning and exact file sizes.
+    executor costs nothing, and the readers get column pruning and exact file sizes. `by`: the
+    values of this column lie in folders of their own, so that a filter reads only what it keeps.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     for owned in _scopes.get():
         owned.append(path)
     return spark.read.schema(df.schema).parquet(path)
